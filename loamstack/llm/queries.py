@@ -19,8 +19,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstack.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_bpe": op8_bpe}
+    return {
+        "op7_exact_dedup": op7_exact_dedup,
+        "op8_bpe": op8_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
