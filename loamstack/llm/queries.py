@@ -37,10 +37,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstack.llm.ppm_langid import languages
+
+    return languages(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_simhash": op3_simhash,
+        "op5_language_id": op5_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_bpe": op8_bpe,
     }
