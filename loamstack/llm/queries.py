@@ -43,11 +43,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstack.llm.toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_simhash": op3_simhash,
         "op5_language_id": op5_language_id,
+        "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_bpe": op8_bpe,
     }
