@@ -29,9 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage."""
+#: Rows of narrow tables that one task may well hold.
+ROWS_PER_TASK = 100_000
+
+
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage.
+
+    ``rows``, if known, sets the number of tasks that write: as many as the rows need, not more.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
     path = f"{shared_dir(spark)}/loamstack-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from loamstack.llm.common import written
 
 
-def _star(links: DataFrame, larger: bool) -> DataFrame:
+def _star(links: DataFrame, larger: bool, rows: int) -> DataFrame:
     """One star step over directed links (a, b), each meaning {a, b}."""
     both = links if not larger else links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not larger:
         both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    both = written(both.distinct(), "links")
-    least = written(both.groupBy("a").agg(F.min("b").alias("m")), "least")
+    both = written(both.distinct(), "links", rows)
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")), "least", rows)
     met = both.join(least, "a").withColumn("m", F.least("a", "m"))
     if larger:
         return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -29,13 +29,14 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node with a link; root is the least node reachable. ``links`` has columns a, b of one ordered type."""
-    current, before = written(links.where("a <> b").select("a", "b").distinct(), "links"), None
+    """(node, root) for every node with a link; root is the least node reachable. ``links`` (a written table) has columns a, b of one ordered type."""
+    rows, before = 2 * links.count(), None
+    current = written(links.where("a <> b").select("a", "b").distinct(), "links", rows)
     while True:
-        current = written(_star(_star(current, True), False).distinct(), "stars")
+        current = written(_star(_star(current, True, rows), False, rows).distinct(), "stars", rows)
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
     roots = current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    return written(roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
+    return written(roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components", rows)

@@ -281,10 +281,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """For each row: id_col, fingerprint (16 hex digits), component_id (the least id reachable over links of at most ``radius`` bits)."""
     rows = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(written(links_within(nodes.select("node"), radius), "near"))
-    rooted = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    size = nodes.count()
+    roots = components(written(links_within(nodes.select("node"), radius), "near", size))
+    rooted = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted", size)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = written(rooted.join(named, "root").select("node", "component_id"), "named")
+    by_node = written(rooted.join(named, "root").select("node", "component_id"), "named", size)
     return rows.join(by_node, "node").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
