@@ -55,8 +55,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstack.llm.brown_lm import held_out_scores
+
+    return held_out_scores(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown_lm": op1_brown_lm,
         "op2_decontamination": op2_decontamination,
         "op3_simhash": op3_simhash,
         "op5_language_id": op5_language_id,
