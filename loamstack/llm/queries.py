@@ -61,18 +61,68 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(_read(spark, sf_dir, "documents"))
 
 
+#: Capture day of a page, and the dated list of the query: entries for about two thirds of the hosts seen, by digits of their MD5, and three wider ones.
+_CAPTURES = "SELECT page_id, url, {day}(DATE '2024-01-01', CAST((page_id * 37) % 366 AS INT)) AS fetched_on FROM pages"
+_HOSTS = "SELECT DISTINCT regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:@]*)', 1) AS h FROM pages WHERE url IS NOT NULL"
+_ENTRIES = """
+SELECT list_name, pattern, action, {day}(DATE '2024-01-01', CAST(d AS INT)) AS effective_on FROM (
+  SELECT CASE WHEN v % 3 = 0 THEN 'ads' ELSE 'spam' END AS list_name, h AS pattern, 'add' AS action, v % 180 AS d FROM v WHERE v % 3 < 2
+  UNION ALL SELECT CASE WHEN v % 3 = 0 THEN 'ads' ELSE 'spam' END, h, 'remove', v % 180 + 60 + v % 50 FROM v WHERE v % 3 < 2 AND v % 2 = 0
+  UNION ALL SELECT CASE WHEN v % 3 = 0 THEN 'ads' ELSE 'spam' END, h, 'add', v % 180 + 150 FROM v WHERE v % 3 < 2 AND v % 4 = 0
+  UNION ALL SELECT 'locale', h || '/fr/', 'add', v % 90 FROM v WHERE v % 5 = 0
+  UNION ALL SELECT 'wide', 'example.org', 'add', 300
+  UNION ALL SELECT 'wide', 'example.org', 'remove', 330
+  UNION ALL SELECT 'wide', 'ads-track.example.com', 'add', 100
+) e"""
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstack.llm.url_filter import judge
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    pages.createOrReplaceTempView("op4_pages")
+    sql = lambda text: spark.sql(text.replace("FROM pages", "FROM op4_pages").format(day="date_add"))
+    sql(f"SELECT h, CAST(conv(substring(md5(h), 1, 4), 16, 10) AS INT) AS v FROM ({_HOSTS})").createOrReplaceTempView("op4_hosts")
+    entries = sql(_ENTRIES.replace("FROM v ", "FROM op4_hosts "))
+    return judge(sql(_CAPTURES), entries).select("page_id", "host", "fetched_on", "n_active", "lists", "since", "blocked")
+
+
+_OP4_ORACLE = (
+    "WITH v AS (SELECT h, CAST('0x' || substring(md5(h), 1, 4) AS INT) AS v FROM (" + _HOSTS + ")), entries AS (" + _ENTRIES.replace("{day}(DATE '2024-01-01', CAST(d AS INT))", "CAST(DATE '2024-01-01' + CAST(d AS INT) AS DATE)") + "), "
+    "captures AS (" + _CAPTURES.replace("{day}(DATE '2024-01-01', CAST((page_id * 37) % 366 AS INT))", "CAST(DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INT) AS DATE)") + "), "
+    """hosts AS (SELECT *, rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.') AS host,
+      regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM captures),
+    spans AS (SELECT list_name, split_part(pattern, '/', 1) AS domain,
+      CASE WHEN contains(pattern, '/') THEN substring(pattern, strpos(pattern, '/')) ELSE '' END AS prefix, action, effective_on AS valid_from,
+      lead(effective_on) OVER (PARTITION BY list_name, pattern ORDER BY effective_on, action) AS valid_to FROM entries),
+    hits AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists, max(valid_from) AS since
+      FROM hosts JOIN spans ON action = 'add' AND valid_from <= fetched_on AND (valid_to IS NULL OR valid_to > fetched_on)
+      AND (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY page_id)
+    SELECT hosts.page_id, coalesce(host, '') AS host, fetched_on, coalesce(n, 0) AS n_active, coalesce(lists, '') AS lists, since, n IS NOT NULL AS blocked
+    FROM hosts LEFT JOIN hits USING (page_id)"""
+)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstack.llm.chat_transcripts import recovered_turns
+
+    return recovered_turns(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_brown_lm": op1_brown_lm,
         "op2_decontamination": op2_decontamination,
         "op3_simhash": op3_simhash,
+        "op4_url_filter": op4_url_filter,
         "op5_language_id": op5_language_id,
         "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
+        "op10_chat": op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": _OP4_ORACLE}
