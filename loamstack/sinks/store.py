@@ -1,0 +1,68 @@
+"""A store of tables as generations of Parquet, with an atomic pointer to the current one.
+
+``put`` writes ``table/generation=<n>/`` and then renames a pointer file into place, so a reader sees the old or the
+new generation and a write that dies leaves only a folder that nothing points to (``recover`` deletes those). The
+paths may be in any Hadoop file system.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+class Store:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._jvm = spark._jvm.org.apache.hadoop.fs
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _path(self, *parts: str):
+        return self._jvm.Path("/".join([self.root, *parts]))
+
+    def _fs(self):
+        return self._path().getFileSystem(self._conf)
+
+    def generation(self, table: str) -> int:
+        """The current generation; 0 if there is none. Between the two steps of a pointer's change the draft counts."""
+        name = next((n for n in ("CURRENT", "NEXT") if self._fs().exists(self._path(table, n))), None)
+        if name is None:
+            return 0
+        rows = self.spark.read.text(f"{self.root}/{table}/{name}").collect()
+        return int(rows[0][0]) if rows else 0
+
+    def get(self, table: str, schema: StructType) -> DataFrame:
+        n = self.generation(table)
+        if not n:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/generation={n}")
+
+    def put(self, table: str, df: DataFrame, expected: int | None = None) -> int:
+        """Write the next generation; ``expected`` makes it a compare and set."""
+        now = self.generation(table)
+        if expected is not None and expected != now:
+            raise RuntimeError(f"{table} is at generation {now}, not {expected}")
+        df.write.mode("overwrite").parquet(f"{self.root}/{table}/generation={now + 1}")
+        fs, draft, pointer = self._fs(), self._path(table, "NEXT"), self._path(table, "CURRENT")
+        out = fs.create(draft, True)
+        out.write(bytearray(str(now + 1).encode()))
+        out.close()
+        fs.delete(pointer, False)
+        if not fs.rename(draft, pointer):
+            raise OSError(f"{table}: the pointer could not be renamed")
+        return now + 1
+
+    def recover(self, table: str) -> list[int]:
+        """Restore a pointer whose rename was cut off, then delete generations that no pointer names; returns those deleted."""
+        fs = self._fs()
+        if not fs.exists(self._path(table)):
+            return []
+        if not fs.exists(self._path(table, "CURRENT")) and fs.exists(self._path(table, "NEXT")):
+            fs.rename(self._path(table, "NEXT"), self._path(table, "CURRENT"))
+        now, gone = self.generation(table), []
+        for s in fs.listStatus(self._path(table)):
+            name = s.getPath().getName()
+            if name.startswith("generation=") and int(name[11:]) > now:
+                fs.delete(s.getPath(), True)
+                gone.append(int(name[11:]))
+        return gone
