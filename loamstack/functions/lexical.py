@@ -36,7 +36,10 @@ def valid_query(terms: Column) -> Column:
 def summary_terms(*parts: Column) -> Column:
     """Terms of accepted parts, cut at the first that passes a bound; a term that is too long alone is left out."""
     every = F.array_distinct(F.flatten(F.array(*[content_terms(p) for p in parts])))
-    fit = F.filter(every, lambda x: F.char_length(x) <= MAX_TERM_RUNES)
+    return _let(F.filter(every, lambda x: F.char_length(x) <= MAX_TERM_RUNES), _bounded)
+
+
+def _bounded(fit: Column) -> Column:
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("runes"))
     count = F.aggregate(
         fit,
@@ -63,7 +66,8 @@ def term_pattern(terms: list[str]) -> str:
     """An expression that matches the first complete token among the terms, after everything before it."""
     inside = r"[\p{L}\p{N}]"
     either = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True)) or r"\z."
-    return rf"(?s)^(.*?)(?<!{inside})(?<!{inside}\p{{M}}{{1,16}})({either})(?![\p{{L}}\p{{N}}\p{{M}}])"
+    # the letters are looked for first: what stands before them is checked only there
+    return rf"(?s)^(.*?)(?={either})(?<!{inside})(?<!{inside}\p{{M}}{{1,16}})({either})(?![\p{{L}}\p{{N}}\p{{M}}])"
 
 
 def contains_term(text: Column, terms: list[str]) -> Column:

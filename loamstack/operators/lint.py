@@ -66,23 +66,40 @@ def page_findings(pages: DataFrame, parsed: DataFrame, raw_refs: DataFrame) -> D
     """``pages``: page_id, path, body; ``parsed``: page_id, path, meta (frontmatter); ``raw_refs``: ref of valid sources."""
     repeated = pages.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("path"))).where("n > 1")
     at = dict(path=F.col("path"), page=F.col("page_id"))
-    good = parsed.where("meta.ok")
-    blank = lambda name: F.coalesce(F.col(f"meta.{name}"), F.lit("")) == ""
-    cited = good.select("path", "page_id", F.explode("meta.source_refs").alias("ref"))
+    ok = F.col("meta.ok")
+    blank = lambda name: ok & (F.coalesce(F.col(f"meta.{name}"), F.lit("")) == "")
+    # the rules on one page are read off its parsed frontmatter in one pass
+    own = _each(
+        parsed,
+        {
+            "frontmatter.malformed": ~ok,
+            "frontmatter.id_missing": blank("id"),
+            "frontmatter.id_mismatch": ok & ~blank("id") & (F.col("meta.id") != F.col("page_id")),
+            "frontmatter.title_missing": blank("title"),
+            "frontmatter.type_missing": blank("type"),
+            "citation.missing": ok & (F.size("meta.source_refs") == 0),
+        },
+        ERROR,
+        **at,
+    )
+    cited = parsed.where(ok).select("path", "page_id", F.explode("meta.source_refs").alias("ref"))
     parts = [
         _finding(repeated, "page.duplicate_id", ERROR, **at),
-        _finding(parsed.where("NOT meta.ok"), "frontmatter.malformed", ERROR, **at),
-        _finding(good.where(blank("id")), "frontmatter.id_missing", ERROR, **at),
-        _finding(good.where(~blank("id") & (F.col("meta.id") != F.col("page_id"))), "frontmatter.id_mismatch", ERROR, **at),
-        _finding(good.where(blank("title")), "frontmatter.title_missing", ERROR, **at),
-        _finding(good.where(blank("type")), "frontmatter.type_missing", ERROR, **at),
-        _finding(good.where(F.size("meta.source_refs") == 0), "citation.missing", ERROR, **at),
+        own,
         _finding(cited.join(raw_refs, "ref", "left_anti"), "citation.unknown_source", ERROR, refs=F.array("ref"), **at),
         _finding(pages.where(unclosed(F.col("body"))), "link.malformed", ERROR, **at),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _each(rows: DataFrame, rules: dict[str, Column], severity: str, path: Column | None = None, page: Column | None = None) -> DataFrame:
+    """A finding for every rule that holds, from one pass over the rows."""
+    held = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(MESSAGES[code]).alias("message"))) for code, rule in rules.items()]))
+    none = F.lit(None).cast("string")
+    found = rows.select((none if path is None else path).alias("path"), (none if page is None else page).alias("page_id"), F.explode(held).alias("f"))
+    return found.select("f.code", F.lit(severity).alias("severity"), "path", "page_id", "f.message", F.lit(None).cast("array<string>").alias("refs"))
+
+
 def link_findings(pages: DataFrame, links: DataFrame, index: DataFrame) -> DataFrame:
     """``links``: from_page, to_page; ``index``: at most one row with body."""
     known = pages.select("page_id").distinct()
@@ -112,18 +129,21 @@ def log_entries(log: DataFrame) -> DataFrame:
 def log_findings(log: DataFrame, schema_digest: str, files: DataFrame) -> DataFrame:
     """``files``: path of every canonical file."""
     entries = log_entries(log)
-    good = entries.where("complete").select("line_no", "record.*")
-    path = F.lit(LOG_PATH)
-    again = good.withColumn("n", F.row_number().over(Window.partitionBy("operation_id").orderBy("line_no"))).where("n > 1")
-    cited = good.select(F.explode("files").alias("path"))
-    parts = [
-        _finding(entries.where("NOT complete"), "log.malformed", ERROR, path),
-        _finding(again, "log.duplicate_operation", ERROR, path),
-        _finding(good.where(~F.col("schema_digest").eqNullSafe(F.lit(schema_digest))), "log.schema_mismatch", ERROR, path),
-        _finding(good.where(F.col("files") != F.array_sort("files")), "log.order", ERROR, path),
-        _finding(cited.join(files, "path", "left_anti"), "log.missing_file", ERROR, F.col("path")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    again = F.row_number().over(Window.partitionBy("complete", "record.operation_id").orderBy("line_no"))
+    good = F.col("complete")
+    own = _each(
+        entries.withColumn("again", again),
+        {
+            "log.malformed": ~good,
+            "log.duplicate_operation": good & (F.col("again") > 1),
+            "log.schema_mismatch": good & ~F.col("record.schema_digest").eqNullSafe(F.lit(schema_digest)),
+            "log.order": good & (F.col("record.files") != F.array_sort("record.files")),
+        },
+        ERROR,
+        F.lit(LOG_PATH),
+    )
+    cited = entries.where("complete").select(F.explode("record.files").alias("path"))
+    return own.unionByName(_finding(cited.join(files, "path", "left_anti"), "log.missing_file", ERROR, F.col("path")))
 
 
 def projection_finding(state: DataFrame, snapshot_digest: str) -> DataFrame:

@@ -45,16 +45,23 @@ def matches(pages: DataFrame, terms: list[str]) -> DataFrame:
     Two scans and no shuffle of text: the first reduces to a handful of numbers (pages, mean length, document
     frequencies), the second scores every page within one projection.
     """
-    both = pages.withColumn("_t", tokens(F.col("title"))).withColumn("_b", tokens(F.col("body")))
-    count = lambda field, term: F.size(F.filter(field, lambda x: x == term))
-    weighted = [count(F.col("_t"), t) * TITLE_WEIGHT + count(F.col("_b"), t) for t in terms]
-    wide = both.select(*pages.columns, (F.size("_t") + F.size("_b")).cast("double").alias("_dl"), *[w.alias(f"_f{i}") for i, w in enumerate(weighted)])
+    def numbers(t: Column, b: Column) -> Column:
+        count = lambda field, term: F.size(F.filter(field, lambda x: x == term))
+        return F.struct((F.size(t) + F.size(b)).cast("double").alias("_dl"), *[(count(t, x) * TITLE_WEIGHT + count(b, x)).alias(f"_f{i}") for i, x in enumerate(terms)])
+
+    # a generator of one row: no filter passes it, so that a text is cut into tokens once
+    pair = F.array(F.struct(tokens(F.col("title")).alias("t"), tokens(F.col("body")).alias("b")))
+    wide = pages.select(*pages.columns, F.inline(F.transform(pair, lambda p: numbers(p["t"], p["b"]))))
     n, mean, *dfs = wide.agg(F.count(F.lit(1)), F.coalesce(F.avg("_dl"), F.lit(0.0)), *[F.sum((F.col(f"_f{i}") > 0).cast("long")) for i in range(len(terms))]).first()
-    zero, held, score = F.lit(0), F.lit(0), F.lit(0.0)
+    held, score = F.lit(0), F.lit(0.0)
+    likely = F.lit(False)
+    for term in terms:
+        likely = likely | F.lower("title").contains(term) | F.lower("body").contains(term)
+    wide = pages.where(likely).select(*pages.columns, F.inline(F.transform(pair, lambda p: numbers(p["t"], p["b"]))))
     for i, df in enumerate(dfs):
         f = F.col(f"_f{i}")
         held = held + (f > 0).cast("int")
-        score = score + F.when(f > 0, _saturated(f, F.col("_dl"), mean or 1.0) * _idf(n, df or 0)).otherwise(zero)
+        score = score + F.when(f > 0, _saturated(f, F.col("_dl"), mean or 1.0) * _idf(n, df or 0)).otherwise(F.lit(0.0))
     return wide.select(*pages.columns, held.alias("matched"), F.round(score, 6).alias("score")).where("matched > 0")
 
 
