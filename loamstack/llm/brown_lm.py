@@ -37,10 +37,10 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_column, fold, text_or_empty, written
+from loamstack.llm.common import binary_rows, fold, text_or_empty, written
 
 #: Words that are units of their own, units of endings, classes, rounds of exchange, broadcast counts, longest broadcast word.
-UNITS, ENDINGS, CLASSES, ROUNDS, LOOKUP, WORD_BYTES = 12_000, 512, 64, 6, 200_000, 64
+UNITS, ENDINGS, CLASSES, ROUNDS, LOOKUP, WORD_BYTES = 8_192, 512, 64, 6, 200_000, 64
 #: Most frequent units whose neighbours are exact within a sweep.
 HEAD = 1024
 #: The end token: no word holds white space.
@@ -88,7 +88,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
         for batch in batches:
-            for raw in binary_column(batch, "text"):
+            for raw in binary_rows(batch, "text"):
                 held.update(tokens(raw))
                 if len(held) > 300_000:
                     yield out()
@@ -116,7 +116,7 @@ def count_pairs(texts: DataFrame, own: list[bytes]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array((keys // size).astype("int32")), pa.array((keys % size).astype("int32")), pa.array(n.astype("int64"))], names=["u", "v", "n"])
 
         for batch in batches:
-            for raw in binary_column(batch, "text"):
+            for raw in binary_rows(batch, "text"):
                 row = np.array([end, *map(units.__getitem__, tokens(raw))], "int64")
                 held.append(row[:-1] * size + row[1:])
                 some += len(row)
@@ -319,33 +319,37 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "
         import pyarrow as pa
 
         m = shared.value
-        units, of, look = _Units(m.own), m.classes.tolist(), m.lookup
+        units, class_of, of, look = _Units(m.own), m.classes, m.classes.tolist(), m.lookup
         end = of[units[END]]
         fixed = {w: (math.log10(c + 1), m.emission(of[units[w]], c)) for w, c in look.items()}
-        rare = pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int32()), ("n", pa.int64())]))
+        unit, known_word = units.__getitem__, fixed.get
         for batch in batches:
-            n, known, base, own, rest = [], [], [], [], []
-            for raw in binary_column(batch, "text"):
+            n, known, base, own = [], [], [], []
+            # the rare words of all rows in flat columns, and where each row's begin
+            at, words_, classes_, counts_ = [0], [], [], []
+            for raw in binary_rows(batch, "text"):
                 words = tokens(raw)
-                classes = [end, *[of[units[w]] for w in words]]
-                step = m.transition[classes[:-1], classes[1:]].sum()
-                found = Counter(words)
+                path = class_of[np.fromiter(map(unit, words), "int64", len(words))]
+                step = m.transition[end, path[0]] + m.transition[path[:-1], path[1:]].sum()
                 b = e = 0.0
-                seen, left = 0, []
-                for w, c in found.items():
-                    if w in fixed:
-                        x = fixed[w]
+                seen = 0
+                for w, c in Counter(words).items():
+                    x = known_word(w)
+                    if x is not None:
                         b += c * x[0]
                         e += c * x[1]
                         seen += c
                     else:
-                        left.append({"w": w, "k": of[units[w]], "n": c})
+                        words_.append(w)
+                        classes_.append(of[unit(w)])
+                        counts_.append(c)
+                at.append(len(words_))
                 n.append(len(words))
                 known.append(seen)
                 base.append(b)
                 own.append(float(step + e))
-                rest.append(left)
-            columns = [batch.column("id"), *(batch.column(x) for x in extra), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(rest, rare)]
+            rest = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(classes_, pa.int32()), pa.array(counts_, pa.int64())], names=["w", "k", "n"]))
+            columns = [batch.column("id"), *(batch.column(x) for x in extra), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), rest]
             yield pa.RecordBatch.from_arrays(columns, names=["id", *extra, "n_tokens", "known", "base", "own", "rare"])
 
     kind = source.schema["id"].dataType.simpleString()

@@ -74,3 +74,13 @@ def binary_column(batch, name: str) -> list:
     import pyarrow as pa
 
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+def binary_rows(batch, name: str, rows: int = 256):
+    """The same, row by row: only ``rows`` of them are held as bytes beside the batch."""
+    import pyarrow as pa
+
+    column = batch.column(name).cast(pa.binary())
+    for i in range(0, len(column), rows):
+        for x in column.slice(i, rows).to_pylist():
+            yield x or b""
