@@ -22,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_column, fold, text_or_empty
+from loamstack.llm.common import binary_column, fold, text_or_empty, written
 from loamstack.llm.sampling import sampled
 
 #: Bounds of the model: training rows of a language, bytes of a training row, longest context, strings of one length.
-ROWS_PER_LANGUAGE, ROW_BYTES, MAX_ORDER, STRINGS = 1500, 1 << 16, 4, 1 << 16
+ROWS_PER_LANGUAGE, ROW_BYTES, MAX_ORDER, STRINGS = 1500, 1 << 16, 4, 40_000
 
 
 def folded(data):
@@ -152,16 +152,19 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Trees from about ``rows_per_language`` rows of each language of at most ROW_BYTES bytes; the counts, at most ``strings`` of each length, go to the driver."""
     known = rows.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(f"lang IS NOT NULL AND octet_length(text) <= {ROW_BYTES}")
     counted = _counted(sampled(known, ["id"], rows_per_language, "lang").select("text", "lang"), max_order)
-    wide = counted.groupBy("string").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    # the counts of a bounded sample, made once for all lengths
+    wide = written(counted.groupBy("string").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")), "strings")
     counts, least, languages = [], 1, set()
     for k in range(1, max_order + 2):
         own = wide.where(F.length("string") == k)
-        found = own.orderBy(F.desc("all"), "string").limit(strings + 1).collect()
-        if len(found) > strings:  # a whole count class goes, so that prefixes and suffixes stay known
-            least = max(least, found[-1]["all"] + 1)
+        found = own.orderBy(F.desc("all"), "string").limit(strings + 1).toArrow()
+        total = found.column("all").to_pylist()
+        if len(total) > strings:  # a whole count class goes, so that prefixes and suffixes stay known
+            least = max(least, total[-1] + 1)
         if k > 3:
             least = max(least, 2)
-        counts.append([(bytes(r["string"]), {x["lang"]: x["n"] for x in r["by"]}) for r in found if r["all"] >= least])
+        kept = sum(n >= least for n in total)  # they come in falling order
+        counts.append([(s, {x["lang"]: x["n"] for x in by}) for s, by in zip(found.column("string").slice(0, kept).to_pylist(), found.column("by").slice(0, kept).to_pylist())])
         languages |= {lang for _, by in counts[-1] for lang in by}
     names = sorted(languages)
     if not names:
