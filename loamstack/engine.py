@@ -63,7 +63,7 @@ class Engine:
 
     def recover(self) -> None:
         """Drop what an interrupted write left behind, then bring the projection up to date."""
-        for table in ("sources", "operations", "files", "log", "pages", "links", "postings", "lengths", "state"):
+        for table in ("sources", "operations", "stages", "files", "log", "pages", "links", "postings", "lengths", "state"):
             self.store.recover(table)
         P.ensure(self.store, self.scope, self.snapshot(), self.schema_digest, self.clock())
 
@@ -137,6 +137,8 @@ class Engine:
             raise KeyError(operation)
         if row["status"] in ("committed", "failed"):
             return row["status"]
+        if C.staged_refs(self.store, operation):  # adopt what an earlier run staged
+            return self.apply(operation)
         try:
             plan, ref = self.plan(row)
             if row["status"] == "received":
@@ -170,6 +172,40 @@ class Engine:
         if failure:
             raise PlanRejected(failure)
 
+    def preview(self, operation: str) -> str:
+        """Plan and stage an operation for review; returns the generation that ``apply`` will commit."""
+        row = self.operations.table().where(F.col("operation_id") == operation).first()
+        plan, ref = self.plan(row)
+        frame = self.spark.createDataFrame(plan.edits, "path string, expected_digest string, content string")
+        name = C.stage(self.store, frame, operation, self.schema_digest, sorted({*plan.source_refs, ref}))
+        self.operations.move(operation, "plan", self.now())
+        self.operations.move(operation, "review", self.now())
+        return name
+
+    def apply(self, operation: str) -> str:
+        """Commit what was staged for an operation."""
+        staged = C.load_stage(self.store, operation, self.schema_digest)
+        if staged is None:
+            raise KeyError(operation)
+        self.operations.move(operation, "apply", self.now(), lease_expires_at=self.clock() + dt.timedelta(seconds=APPLY_LEASE_SECONDS))
+        try:
+            generation = C.commit(self.store, staged, operation, self.schema_digest, C.staged_refs(self.store, operation))
+        except (C.StaleEdit, C.BrokenPlan) as error:
+            return self.operations.move(operation, "fail", self.now(), failure_class="stale" if isinstance(error, C.StaleEdit) else "content")
+        P.ensure(self.store, self.scope, self.snapshot(), self.schema_digest, self.clock())
+        return self.operations.move(operation, "commit", self.now(), generation=generation)
+
+    def file(self, question: str, limits: ReadLimits | None = None) -> str:
+        """File a query's result as a source; the maintainer sees it like any other."""
+        row = evidence.filed(self.retrieve(question, limits).hits, question).first()
+        return self.ingest(row["adapter"], row["source_id"], row["version"], row["content"].encode(), "application/json")
+
+    def scheduler(self, **settings):
+        """A scheduler over this engine; start() begins its scans."""
+        from loamstack.streaming.scheduler import Scheduler
+
+        return Scheduler(lambda n: self.operations.claim(self.scope, self.now(), n), self.run, lambda i, t: self.operations.renew(i, t, self.now()), **settings)
+
     # --- maintenance
 
     def lint(self, suggest=None) -> DataFrame:

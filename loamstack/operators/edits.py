@@ -49,3 +49,31 @@ def prospective_broken(edits: DataFrame, pages: DataFrame) -> DataFrame:
     known = pages.select("page_id").unionByName(edited.select("page_id")).distinct()
     cited = edited.select("page_id", F.explode(F.array_distinct(targets(F.col("content")))).alias("target"))
     return cited.join(known.select(F.col("page_id").alias("target")), "target", "left_anti").select("page_id", "target")
+
+
+PLAN = "schema_digest string, source_refs array<string>, rationale string, edits array<struct<path:string,expected_digest:string,content:string>>"
+
+
+def decoded_plans(events: DataFrame) -> DataFrame:
+    """plan of each run from a model process's output lines (run, line_no, line): the last line that decodes wins, null if none does.
+
+    A line passes only as one JSON object with edits; longer ones than a megabyte are left out.
+    """
+    plan = F.from_json("line", PLAN)
+    good = events.where(F.octet_length("line") <= 1 << 20).select("run", "line_no", plan.alias("plan")).where("plan.edits IS NOT NULL AND plan.schema_digest IS NOT NULL")
+    last = good.groupBy("run").agg(F.max_by("plan", "line_no").alias("plan"))
+    return events.select("run").distinct().join(last, "run", "left")
+
+
+def prospective_findings(edits: DataFrame, pages: DataFrame, raw_refs: DataFrame) -> DataFrame:
+    """Findings on the pages as they will be: rules of a page over the edited ones, links over current and edited together.
+
+    ``edits``: path, content; ``pages``: page_id; ``raw_refs``: ref. The first finding in order rejects the plan.
+    """
+    from loamstack.operators import lint
+
+    edited = edits.select(page_id(F.col("path")).alias("page_id"), "path", F.col("content").alias("body")).where("page_id IS NOT NULL")
+    found = lint.page_findings(edited, lint.parsed(edited), raw_refs)
+    lost = prospective_broken(edits, pages)
+    links = lost.select(F.lit("link.broken").alias("code"), F.lit(lint.ERROR).alias("severity"), F.lit(None).cast("string").alias("path"), "page_id", F.lit(lint.MESSAGES["link.broken"]).alias("message"), F.array("target").alias("refs"))
+    return lint.ordered(found.unionByName(links))

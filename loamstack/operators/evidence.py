@@ -63,3 +63,17 @@ def filed(hits: DataFrame, question: str) -> DataFrame:
     rows = hits.agg(F.sort_array(F.collect_list(F.struct("page_id", "path", "title", "snippet"))).alias("hits"))
     content = rows.select(F.to_json(F.struct(F.lit(question).alias("question"), "hits")).alias("content")).withColumn("digest", digest(F.col("content").cast("binary")))
     return content.select(F.lit("query").alias("adapter"), F.concat(F.lit("result-"), F.substring("digest", 1, 16)).alias("source_id"), F.lit("1").alias("version"), "digest", "content")
+
+
+def encoded(found: Evidence) -> DataFrame:
+    """The result as clients get it: one row of JSON with evidence and citations; links stay inside."""
+    hits = found.hits.agg(F.collect_list(F.struct("page_id", "path", "title", "snippet", "source_refs", "untrusted")).alias("evidence"))
+    cites = found.citations.agg(F.sort_array(F.collect_list(F.struct("kind", "reference", "page_id"))).alias("citations"))
+    return hits.crossJoin(cites).select(F.to_json(F.struct("evidence", "citations")).alias("result"))  # one row each
+
+
+def evaluated(results: DataFrame, expected: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """One row, queries, hits, passed: whether enough queries found their page. ``results``: query, page_id; ``expected``: query, page_id."""
+    found = expected.join(results.select("query", "page_id").distinct().withColumn("hit", F.lit(1)), ["query", "page_id"], "left")
+    per = found.groupBy("query").agg(F.coalesce(F.max("hit"), F.lit(0)).alias("hit"))
+    return per.agg(F.count(F.lit(1)).alias("queries"), F.sum("hit").alias("hits")).withColumn("passed", F.col("hits") >= F.ceil(F.col("queries") * threshold))

@@ -56,3 +56,52 @@ def log_text(log: DataFrame) -> DataFrame:
     """One row, body: the log as Markdown list lines of JSON records."""
     line = F.concat(F.lit("- "), F.to_json(F.struct("operation_id", "generation", "schema_digest", "source_refs", "files")))
     return log.agg(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("x")).select(F.concat(F.lit("# Log\n\n"), F.array_join("x.line", "\n"), F.lit("\n")).alias("body"))
+
+
+STAGE = "operation_id string, generation string, schema_digest string, source_refs array<string>, path string, expected_digest string, digest string, content string"
+
+
+class BrokenStage(RuntimeError):
+    """A stage that isn't what was staged."""
+
+
+def stage(store: Store, edits: DataFrame, operation: str, schema_digest: str, refs: list[str]) -> str:
+    """Keep validated edits for review; the same plan staged again changes nothing. Returns the generation that a commit will have."""
+    name = generation(edits, operation, schema_digest)
+    stages = store.get("stages", struct(STAGE))
+    if stages.where((F.col("operation_id") == operation) & (F.col("generation") == name)).limit(1).count():
+        return name
+    bad = preconditions(edits, store.get("files", struct(FILES))).where("outcome NOT IN ('ok', 'create')").limit(1).collect()
+    if bad:
+        raise StaleEdit(f"{bad[0]['path']}: {bad[0]['outcome']}")
+    rows = edits.select(
+        F.lit(operation).alias("operation_id"), F.lit(name).alias("generation"), F.lit(schema_digest).alias("schema_digest"), F.array(*[F.lit(r) for r in sorted(refs)]).cast("array<string>").alias("source_refs"),
+        "path", "expected_digest", digest(F.col("content").cast("binary")).alias("digest"), "content",
+    )
+    store.put("stages", stages.where(F.col("operation_id") != operation).unionByName(rows))
+    return name
+
+
+def load_stage(store: Store, operation: str, schema_digest: str) -> DataFrame | None:
+    """The staged edits of an operation, verified; None if there are none. A changed schema or content is refused."""
+    rows = store.get("stages", struct(STAGE)).where(F.col("operation_id") == operation)
+    first = rows.select("generation", "schema_digest").first()
+    if first is None:
+        return None
+    edits = rows.select("path", "expected_digest", "content")
+    wrong = rows.where((F.col("schema_digest") != schema_digest) | (digest(F.col("content").cast("binary")) != F.col("digest"))).limit(1).count()
+    if wrong or generation(edits, operation, schema_digest) != first["generation"]:
+        raise BrokenStage(operation)
+    return edits
+
+
+def staged_refs(store: Store, operation: str) -> list[str]:
+    row = store.get("stages", struct(STAGE)).where(F.col("operation_id") == operation).select("source_refs").first()
+    return list(row[0]) if row else []
+
+
+def discard_stages(store: Store, open_ids: list[str]) -> None:
+    """Drop the stages of operations that are not open any more."""
+    stages = store.get("stages", struct(STAGE))
+    if stages.where(~F.col("operation_id").isin(*open_ids) if open_ids else F.lit(True)).limit(1).count():
+        store.put("stages", stages.where(F.col("operation_id").isin(*open_ids) if open_ids else F.lit(False)))

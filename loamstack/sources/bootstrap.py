@@ -103,3 +103,11 @@ def rendered_index(pages: DataFrame) -> DataFrame:
     """One row, body: an index line for each page in path order."""
     line = F.struct("path", F.concat(F.lit("- [["), F.col("page_id"), F.lit("|"), F.col("title"), F.lit("]]")).alias("line"))
     return pages.agg(F.sort_array(F.collect_list(line)).alias("x")).select(F.concat(F.lit("# Index\n\n"), F.array_join("x.line", "\n"), F.lit("\n")).alias("body"))
+
+
+def tree(spark, root: str) -> DataFrame:
+    """path (relative to the root), content of every file of a tree."""
+    base = root.rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    marker = base.rsplit("/", 1)[-1]
+    return found.select(F.regexp_extract("path", rf"^.*?/\Q{marker}\E/(.*)$", 1).alias("path"), "content")

@@ -110,3 +110,29 @@ def read_source(spark: SparkSession, root: str, location: str, found: str, limit
     if len(content) > limits.bytes or len(content.decode("utf-8", "replace")) > limits.characters:
         raise LimitExceeded("the source is larger than the limits of the read")
     return content
+
+
+def init(spark: SparkSession, root: str) -> list[str]:
+    """Make a workspace's folders and starter files where they are missing; nothing is overwritten. Returns what was made."""
+    starters = {"schema.md": "# Schema\n\nversion: 1\n", "wiki/index.md": "# Index\n", "wiki/log.md": "# Log\n"}
+    hadoop, made = spark._jvm.org.apache.hadoop.fs, []
+    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in ("raw", "wiki"):
+        if not fs.exists(hadoop.Path(f"{root}/{folder}")):
+            fs.mkdirs(hadoop.Path(f"{root}/{folder}"))
+            made.append(folder)
+    for name, text in starters.items():
+        path = hadoop.Path(f"{root}/{name}")
+        if not fs.exists(path):
+            out = fs.create(path, False)
+            out.write(bytearray(text.encode()))
+            out.close()
+            made.append(name)
+    return made
+
+
+def missing(spark: SparkSession, root: str) -> list[str]:
+    """What a valid workspace has and this one lacks."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x for x in ("raw", "wiki", "schema.md", "wiki/index.md", "wiki/log.md") if not fs.exists(hadoop.Path(f"{root}/{x}"))]
