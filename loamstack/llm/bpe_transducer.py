@@ -33,7 +33,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_column, text_or_empty
+from loamstack.llm.common import binary_rows, text_or_empty
 
 #: White space of Unicode, as the tokenizer's expression counts it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -42,7 +42,7 @@ _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p
 #: Characters of text that are cut into pieces at a time.
 BLOCK = 1 << 18
 #: Pieces kept in the memo of a worker, and the longest piece kept there.
-MEMO_PIECES, MEMO_BYTES = 400_000, 64
+MEMO_PIECES, MEMO_BYTES = 200_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -252,7 +252,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         machine = _transducer(spec)
         for batch in batches:
             counts, hashes, back, kept, texts = [], [], [], [], []
-            for raw in binary_column(batch, "text"):
+            for raw in binary_rows(batch, "text"):
                 own, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
                 ids, out = [], []
 

@@ -22,7 +22,7 @@ from operator import eq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_column, fold, text_or_empty
+from loamstack.llm.common import binary_rows, fold, text_or_empty
 from loamstack.llm.sampling import sampled
 
 #: Bounds of the fit: labelled rows of each label, rows of the pool, bytes of a fitted row, rounds, rows of each label added in a round.
@@ -48,7 +48,7 @@ class _Slots(dict):
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         found = (zlib.crc32(shape(word[:256])) % SHAPES, SHAPES + zlib.crc32(word.lower()) % WORDS)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         if len(word) <= 64:
             self[word] = found
@@ -196,10 +196,10 @@ def _inputs(docs: DataFrame, text_col: str) -> list:
 def _features(batch, text: str, source: str, lang: str, declared: str, slots: _Slots):
     import numpy as np
 
-    rows = [*zip(binary_column(batch, text), *(batch.column(c).to_pylist() for c in (source, lang, declared)))]
-    if not rows:
+    if not batch.num_rows:
         return np.zeros((0, len(text_features(b"", slots))), "float32"), np.zeros((0, 12 + SOURCES + LANGS), "float32")
-    return np.stack([text_features(r[0], slots) for r in rows]), np.stack([meta_features(*r) for r in rows])
+    both = [(text_features(r[0], slots), meta_features(*r)) for r in zip(binary_rows(batch, text), *(batch.column(c).to_pylist() for c in (source, lang, declared)))]
+    return np.stack([a for a, _ in both]), np.stack([b for _, b in both])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text") -> Views:
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
     chosen = sampled(known, ["doc_id"], LABELLED, "label")
     fits = docs.where(F.octet_length(text_or_empty(text_col)) <= ROW_BYTES)
     # the chosen labels are a bounded sample: about 2 * LABELLED rows of two numbers
-    labelled = fits.select("doc_id", *_inputs(docs, text_col)).join(F.broadcast(chosen), "doc_id")
+    labelled = fits.select("doc_id", *_inputs(docs, text_col)).join(F.broadcast(chosen), "doc_id").limit(8 * LABELLED)
     pool = sampled(docs, ["doc_id"], POOL).where((fold(5) != 0) & (F.octet_length(text_or_empty(text_col)) <= ROW_BYTES)).select("doc_id", *_inputs(docs, text_col), F.lit(-1).alias("label"))
 
     def run(batches):

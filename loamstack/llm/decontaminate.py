@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_column, text_or_empty, written
+from loamstack.llm.common import binary_rows, text_or_empty, written
 
 #: Words of the contract, on text in which A-Z are still upper case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -118,7 +118,7 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str, slice_bytes: int):
 
 
 def _scan(docs: DataFrame, benchmark: DataFrame, finish, schema: str, text_col: str, item_id: str, item_text: str, window: int, slice_bytes: int) -> DataFrame:
-    """Pass the slices over the documents; ``finish(batch, rows)`` makes the last pass's output from (words, spans, items) of each row."""
+    """Pass the slices over the documents; ``finish(batch, rows)`` makes the last pass's output from (number of words, spans, items) of each row."""
     spark, current = docs.sparkSession, docs
     for last, items in _slices(benchmark, item_id, item_text, slice_bytes):
         shared, key = spark.sparkContext.broadcast(items), hashlib.sha256(repr((window, items)).encode()).hexdigest()
@@ -130,13 +130,13 @@ def _scan(docs: DataFrame, benchmark: DataFrame, finish, schema: str, text_col:
             for batch in batches:
                 old = batch.column("__hits").to_pylist() if "__hits" in batch.schema.names else None
                 rows = []
-                for i, raw in enumerate(binary_column(batch, text_col)):
+                for i, raw in enumerate(binary_rows(batch, text_col)):
                     words = words_of(raw)
                     spans, found = scanner.scan(words)
                     if old:
                         spans = [*spans, *((x["a"], x["b"]) for x in old[i]["spans"])]
                         found |= set(old[i]["items"])
-                    rows.append((words, merged(spans), found))
+                    rows.append((len(words), merged(spans), found))
                 if old is not None:
                     batch = batch.select([n for n in batch.schema.names if n != "__hits"])
                 if last:
@@ -168,7 +168,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
-                pa.array([len(w) for w, _, _ in rows], pa.int64()),
+                pa.array([n for n, _, _ in rows], pa.int64()),
                 pa.array([sum(b - a + 1 for a, b in s) for _, s, _ in rows], pa.int64()),
                 pa.array([sorted(f) for _, _, f in rows], pa.list_(pa.string())),
                 pa.array(places, span),

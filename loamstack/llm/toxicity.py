@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_column, fold, text_or_empty, written
+from loamstack.llm.common import binary_rows, fold, text_or_empty, written
 from loamstack.llm.sampling import sampled
 
 #: Bounds of the model: examples of each label, bytes of an example, terms, neighbours, examples of a block.
@@ -47,7 +47,7 @@ class _Terms(dict):
 
     def __missing__(self, word: str):
         found = tuple(n for t in terms_of(word) if (n := self.number.get(t)) is not None)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         if len(word) <= 64:
             self[word] = found
@@ -160,14 +160,14 @@ class Nearest:
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = EXAMPLES) -> tuple[DataFrame, float]:
-    """(id, label, text) of about ``rows`` labelled rows of each label, outside the held-out fold, and the rate of label 1 among all such labels."""
+    """(id, label, text) of about ``rows`` labelled rows of each label (8 * ``rows`` at most, however often an id repeats), outside the held-out fold, and the rate of label 1 among all such labels."""
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where((fold(5) != 0) & F.col("label").isin(0, 1)).distinct()
     n, ones = known.agg(F.count(F.lit(1)), F.sum("label")).first()
     chosen = sampled(known, ["doc_id"], rows, "label")
     source = docs.select("doc_id", text_or_empty().alias("text"))
     # the chosen labels are a bounded sample: about 2 * rows rows of two numbers
     joined = source.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= EXAMPLE_BYTES)
-    return written(joined.select(F.col("doc_id").alias("id"), "label", "text"), "examples"), (ones or 0) / n if n else 0.0
+    return written(joined.select(F.col("doc_id").alias("id"), "label", "text").limit(8 * rows), "examples"), (ones or 0) / n if n else 0.0
 
 
 def fit(examples: DataFrame, rate: float, terms: int = TERMS, chi2: float = CHI2) -> Nearest | None:
@@ -178,7 +178,7 @@ def fit(examples: DataFrame, rate: float, terms: int = TERMS, chi2: float = CHI2
 
         for batch in batches:
             held = (Counter(), Counter())
-            for y, raw in zip(batch.column("label").to_pylist(), binary_column(batch, "text")):
+            for y, raw in zip(batch.column("label").to_pylist(), binary_rows(batch, "text")):
                 held[y].update({t for w in set(_words(raw.decode("utf-8", "replace").lower())) for t in terms_of(w) if len(t) <= 64})
             every = list(held[0].keys() | held[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([held[0][t] for t in every], pa.int64()), pa.array([held[1][t] for t in every], pa.int64())], names=["term", "n0", "n1"])
@@ -200,7 +200,7 @@ def fit(examples: DataFrame, rate: float, terms: int = TERMS, chi2: float = CHI2
 
         look = _Terms(shared.value)
         for batch in batches:
-            tfs = [Counter(t for w in _words(raw.decode("utf-8", "replace").lower()) for t in look[w]) for raw in binary_column(batch, "text")]
+            tfs = [Counter(t for w in _words(raw.decode("utf-8", "replace").lower()) for t in look[w]) for raw in binary_rows(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([list(tf) for tf in tfs], pa.list_(pa.int32())), pa.array([list(tf.values()) for tf in tfs], pa.list_(pa.int32()))], names=["id", "label", "terms", "tfs"])
 
     kind = examples.schema["id"].dataType.simpleString()
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Nearest | None, id_col: str = "doc_id", text_c
         kind = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
             scores, proof = [], []
-            for raw in binary_column(batch, "text"):
+            for raw in binary_rows(batch, "text"):
                 near = []
                 if index:
                     found = [ts for w in _words(raw.decode("utf-8", "replace").lower()) if (ts := look[w])]
