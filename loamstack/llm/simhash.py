@@ -12,9 +12,11 @@ Which fingerprints meet:
   bucket that is too large is cut anew over its remaining bits, which again
   leaves the radius + 1 parts; what is still too large is compared in cells of
   two sub-blocks, so no task holds more than one cell.
-* ``similar_rows`` (by similarity): rows meet that share one of several minimal
-  shingle hashes, two of them where that bucket is too large; the radius on a
-  wide fingerprint is the angle of the asked Jaccard similarity.
+* ``distinct_rows`` (by similarity): rows meet that share one of several minimal
+  shingle hashes, two of them where that bucket is too large. A wide fingerprint
+  within the angle of the asked Jaccard similarity, and a margin, makes
+  candidates; their shingle sets then meet in the same blocks, and a candidate is
+  a link if the sets are that similar.
 
 Blocks emit only a spanning forest of the links they find.
 
@@ -31,11 +33,13 @@ from itertools import repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_column, text_or_empty, written
+from loamstack.llm.common import binary_rows, text_or_empty, written
 from loamstack.llm.components import components
 
 #: Rows of a block at most.
 BLOCK = 256
+#: Shingle hashes of a set at most.
+SET_SIZE = 4096
 SEED = 42
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -149,8 +153,42 @@ def forest(adjacent) -> list[tuple[int, int]]:
     return [(i, int(r)) for i, r in enumerate(label) if i != r]
 
 
-def _block_links(grouped: DataFrame, radius: int, node_kind: str) -> DataFrame:
-    """Links found in blocks. ``grouped``: g (long, at most about 2 * BLOCK rows of each), node, fp (binary, little-endian words)."""
+def similar(found, sets: list[bytes], similarity: float):
+    """The candidates of the matrix ``found`` whose shingle sets have at least this Jaccard similarity.
+
+    A set is its sorted hashes, or the SET_SIZE least of them; where one is cut off, the similarity is that of the
+    least hashes of both together.
+    """
+    import numpy as np
+
+    out = np.zeros_like(found)
+    some = np.flatnonzero(found.any(1))
+    if not len(some):
+        return out
+    own = [np.frombuffer(sets[i], "<u8") for i in some]
+    sizes = np.array([len(x) for x in own])
+    _, place, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    column = np.full(len(times), -1)
+    column[shared] = np.arange(len(shared))
+    held = np.zeros((len(own), len(shared)), "float32")
+    at, row = column[place], np.repeat(np.arange(len(own)), sizes)
+    held[row[at >= 0], at[at >= 0]] = 1
+    both = held @ held.T
+    union = sizes[:, None] + sizes[None, :] - both
+    # two empty sets are equal
+    ok = (both >= similarity * union - 1e-6) & found[np.ix_(some, some)]
+    cut = sizes >= SET_SIZE
+    for i, j in zip(*np.nonzero(np.triu(found[np.ix_(some, some)] & (cut[:, None] | cut[None, :])))):
+        least = np.union1d(own[i], own[j])[:SET_SIZE]
+        ok[i, j] = ok[j, i] = (np.isin(least, own[i]) & np.isin(least, own[j])).sum() >= similarity * len(least)
+    out[np.ix_(some, some)] = ok
+    return out
+
+
+def _block_links(grouped: DataFrame, radius: int, node_kind: str, similarity: float | None = None) -> DataFrame:
+    """Links found in blocks. ``grouped``: g (long, at most about 2 * BLOCK rows of each), node, fp (binary, little-endian words) and, for a check of ``similarity``, set."""
+    columns = ["g", "node", "fp", *(["set"] if similarity is not None else [])]
 
     def run(batches):
         import numpy as np
@@ -158,20 +196,22 @@ def _block_links(grouped: DataFrame, radius: int, node_kind: str) -> DataFrame:
 
         names = ["a", "b"]
 
-        def compare(nodes, fps):
+        def compare(nodes, fps, sets=None):
             if len(nodes) < 2:
                 return [], []
             found = near(np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1), radius)
+            if found is not None and sets is not None:
+                found = similar(found, sets, similarity)
             links = forest(found) if found is not None else []
             return [nodes[i] for i, _ in links], [nodes[j] for _, j in links]
 
         kind = None
-        held: tuple[list, list, list] = ([], [], [])
+        held: tuple[list, ...] = tuple([] for _ in columns)
         for batch in batches:
             kind = batch.schema.field("node").type
-            for old, name in zip(held, ("g", "node", "fp")):
+            for old, name in zip(held, columns):
                 old.extend(batch.column(name).to_pylist())
-            g, nodes, fps = held
+            g = held[0]
             start, outs = 0, ([], [])
             while len(g) - start > 2 * BLOCK:
                 # end at a change of group, so that a group is never cut
@@ -184,18 +224,18 @@ def _block_links(grouped: DataFrame, radius: int, node_kind: str) -> DataFrame:
                         end += 1
                     if end == len(g):
                         break
-                a, b = compare(nodes[start:end], fps[start:end])
+                a, b = compare(*(x[start:end] for x in held[1:]))
                 outs[0].extend(a)
                 outs[1].extend(b)
                 start = end
-            held = (g[start:], nodes[start:], fps[start:])
+            held = tuple(x[start:] for x in held)
             if outs[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(outs[0], kind), pa.array(outs[1], kind)], names=names)
         if held[0]:
-            a, b = compare(held[1], held[2])
+            a, b = compare(*held[1:])
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=names)
 
-    return grouped.repartition("g").sortWithinPartitions("g").select("g", "node", "fp").mapInArrow(run, f"a {node_kind}, b {node_kind}")
+    return grouped.repartition("g").sortWithinPartitions("g").select(*columns).mapInArrow(run, f"a {node_kind}, b {node_kind}")
 
 
 def _cells(hot: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,17 +243,22 @@ def _cells(hot: DataFrame, keys: list[str]) -> DataFrame:
     k = F.greatest(F.lit(2), F.ceil(F.col("n") / (BLOCK // 2))).cast("int")
     own = hot.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("other <> own")
-    return dealt.withColumn("g", F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other"))).select("g", "node", "fp")
+    return dealt.withColumn("g", F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other"))).select("g", *_carried(hot))
+
+
+def _carried(rows: DataFrame) -> list[str]:
+    """What a block needs of a row."""
+    return [c for c in ("node", "fp", "set") if c in rows.columns]
 
 
 def _blocks(rows: DataFrame, children, levels: int) -> DataFrame:
-    """g, node, fp of blocks of bounded size. ``rows``: node, fp, path, key, rest; ``children(rows)`` cuts large buckets further."""
+    """g, node, fp (and set) of blocks of bounded size. ``rows``: node, fp, path, key, rest (and set); ``children(rows)`` cuts large buckets further."""
     out = None
     for level in range(levels):
         if level:
             rows = written(rows, "cut")
         large = written(rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "large")
-        small = rows.join(large.select("path", "key"), ["path", "key"], "left_anti").select(F.xxhash64("path", "key").alias("g"), "node", "fp")
+        small = rows.join(large.select("path", "key"), ["path", "key"], "left_anti").select(F.xxhash64("path", "key").alias("g"), *_carried(rows))
         out = small if out is None else out.unionByName(small)
         if large.isEmpty():
             return out
@@ -271,7 +316,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
 
         for batch in batches:
-            found = np.array([majority(shingle_hashes(x, shingle)) for x in binary_column(batch, "text")], "uint64").view("int64")
+            found = np.array([majority(shingle_hashes(x, shingle)) for x in binary_rows(batch, "text")], "uint64").view("int64")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "node"])
 
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, node long")
@@ -298,8 +343,9 @@ def radius_of(similarity: float, width: int) -> int:
 def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, minima: int = 5) -> DataFrame:
     """The rows of ``docs``, with one row of each group of similar texts: the one of least id (null ids last).
 
-    Similar: a Jaccard similarity of ``similarity`` or more over word shingles, as
-    a fingerprint of ``words`` * 64 bits measures it, with a shared minimal shingle hash.
+    Similar: a Jaccard similarity of ``similarity`` or more over word shingles. Two rows are compared if they share
+    one of ``minima`` minimal shingle hashes and their fingerprints of ``words`` * 64 bits are within the expected
+    distance of that similarity and three standard deviations. Sets are exact up to SET_SIZE shingles.
     """
     from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -309,24 +355,44 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         for batch in batches:
             fps, least = [], []
-            for raw in binary_column(batch, text_col):
+            for raw in binary_rows(batch, text_col):
                 hashes = shingle_hashes(raw, shingle)
                 fps.append(np.array([majority(mixed(hashes, k)) for k in range(words)], "<u8").tobytes())
                 once = np.unique(hashes)
                 least.append([int(mixed(once, k + 3).min().astype("int64")) for k in range(minima)] if len(once) else [0] * minima)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=[*batch.schema.names, "__node", "__least"])
 
-    kind = StructType([*docs.schema.fields, StructField("__node", BinaryType()), StructField("__least", ArrayType(LongType()))])
-    rows = written(docs.mapInArrow(run, kind).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    nodes = rows.select(F.col("__node").alias("node"), F.col("__node").alias("fp"), F.col("__least").alias("rest")).distinct()
-    first = nodes.select("node", "fp", F.posexplode("rest").alias("path", "key"), "rest").withColumn("path", F.col("path").cast("long"))
+    def sets(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [np.unique(mixed(np.unique(shingle_hashes(x, shingle)), 2))[:SET_SIZE].astype("<u8").tobytes() for x in binary_rows(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("rest"), pa.array(found, pa.binary())], names=["node", "rest", "set"])
+
+    def placed_in(table: DataFrame) -> DataFrame:
+        more = [c for c in table.columns if c == "set"]
+        return table.select("node", F.col("node").alias("fp"), *more, F.posexplode("rest").alias("path", "key"), "rest").withColumn("path", F.col("path").cast("long"))
 
     def children(hot: DataFrame, level: int) -> DataFrame:
         # rows that also share a second minimum; the pair of minima is unordered, so that it is one bucket from either side
-        more = hot.select("node", "fp", "rest", F.col("path").alias("p"), F.col("key").alias("k"), F.posexplode("rest").alias("q", "l")).where("q <> p")
-        return more.select("node", "fp", "rest", F.when(F.col("p") < F.col("q"), F.col("p") * 64 + F.col("q")).otherwise(F.col("q") * 64 + F.col("p")).alias("path"), F.when(F.col("p") < F.col("q"), F.xxhash64("k", "l")).otherwise(F.xxhash64("l", "k")).alias("key")).distinct()
+        own = _carried(hot)
+        more = hot.select(*own, "rest", F.col("path").alias("p"), F.col("key").alias("k"), F.posexplode("rest").alias("q", "l")).where("q <> p")
+        pair = more.select(*own, "rest", F.when(F.col("p") < F.col("q"), F.col("p") * 64 + F.col("q")).otherwise(F.col("q") * 64 + F.col("p")).alias("path"), F.when(F.col("p") < F.col("q"), F.xxhash64("k", "l")).otherwise(F.xxhash64("l", "k")).alias("key"))
+        return pair.dropDuplicates(["node", "path", "key"])
 
-    roots = components(written(_block_links(_blocks(first, children, 2), radius_of(similarity, 64 * words), "binary"), "near"))
+    kind = StructType([*docs.schema.fields, StructField("__node", BinaryType()), StructField("__least", ArrayType(LongType()))])
+    rows = written(docs.mapInArrow(run, kind).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    expected = radius_of(similarity, 64 * words)
+    radius = expected + math.ceil(3 * math.sqrt(expected * (1 - expected / (64 * words))))
+    nodes = rows.select(F.col("__node").alias("node"), F.col("__least").alias("rest")).distinct()
+    near_ones = written(_block_links(_blocks(placed_in(nodes), children, 2), radius, "binary"), "candidates")
+    touched = written(near_ones.select(F.col("a").alias("node")).unionByName(near_ones.select(F.col("b").alias("node"))).distinct(), "touched")
+    # the shingle sets of rows with a candidate only; one text stands for each fingerprint
+    texts = rows.select(F.col("__node").alias("node"), F.col("__least").alias("rest"), text_or_empty(text_col).alias("text")).join(touched, "node", "left_semi")
+    one = texts.groupBy("node").agg(F.first(F.struct("rest", "text")).alias("x")).select("node", "x.rest", "x.text")
+    full = written(one.mapInArrow(sets, "node binary, rest array<long>, set binary"), "sets")
+    roots = components(written(_block_links(_blocks(placed_in(full), children, 2), radius, "binary", similarity), "near"))
     placed = rows.select("__row", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("r")).alias("__at"), "__node")
     grouped = written(placed.join(roots.withColumnRenamed("node", "__node"), "__node", "left").select("__row", "__at", F.coalesce("root", "__node").alias("__root")), "grouped")
     stays = written(grouped.groupBy("__root").agg(F.min("__at").alias("stay"), F.count(F.lit(1)).alias("n")).where("n > 1").select("__root", F.col("stay.r").alias("stay")), "stays")

@@ -96,6 +96,18 @@ def test_one_row_of_each_similar_group_stays(spark, monkeypatch):
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(map(str, [*(g * 100 for g in range(6)), *(1000 + i for i in range(40)), 5000, None]))
 
 
+def test_similarity_of_sets_exact_and_cut_off(monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 300).astype("uint64")
+    rows = [np.unique(np.concatenate([base[: 300 - 15 * k], rng.integers(0, 1 << 62, 15 * k).astype("uint64")])) for k in range(6)] + [np.zeros(0, "uint64")] * 2
+    want = [[i != j and (not len(a) and not len(b) or len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))) for j, b in enumerate(rows)] for i, a in enumerate(rows)]
+    every = ~np.eye(len(rows), dtype=bool)
+    assert (S.similar(every, [r.tobytes() for r in rows], 0.8) == np.array(want)).all()
+    monkeypatch.setattr(S, "SET_SIZE", 100)
+    got = S.similar(every, [r[:100].tobytes() for r in rows], 0.8)
+    assert got[0, 1] and got[1, 0] and not got[0, 5] and not S.similar(every & False, [r.tobytes() for r in rows], 0.8).any()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0
