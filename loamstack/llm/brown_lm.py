@@ -308,9 +308,9 @@ def fit(texts: DataFrame, units: int = UNITS, k: int = CLASSES, rounds: int = RO
     return BrownModel(own, classes, joint, tokens_of, once, n or 0, v or 0, dict(zip(words[:lookup], c))), counts
 
 
-def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, n_known, base_score (add-one unigram) and score (class model), log10 over the whole text, of each row."""
-    extra = [c for c in ("held_out",) if c in docs.columns]
+def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, the columns to ``carry``, n_tokens, n_known, base_score (add-one unigram) and score (class model), log10 over the whole text, of each row."""
+    extra = [*carry]
     source = docs.select(F.col(id_col).alias("id"), *extra, text_or_empty(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -353,7 +353,7 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "
             yield pa.RecordBatch.from_arrays(columns, names=["id", *extra, "n_tokens", "known", "base", "own", "rare"])
 
     kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, {'held_out boolean, ' if extra else ''}n_tokens long, known long, base double, own double, rare array<struct<w:binary,k:int,n:long>>"
+    schema = f"id {kind}, {''.join(f"{c} {source.schema[c].dataType.simpleString()}, " for c in extra)}n_tokens long, known long, base double, own double, rare array<struct<w:binary,k:int,n:long>>"
     rows = written(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.k").alias("k"), F.col("x.n").alias("n"))
     met = rare.join(counts.withColumnRenamed("c", "found"), "word", "left")
@@ -380,4 +380,4 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "
 def held_out_scores(docs: DataFrame) -> DataFrame:
     """The query's form: train where crc32(doc_id) mod 7 is not 2, score every row."""
     rows = docs.select("doc_id", (fold(7) == 2).alias("held_out"), text_or_empty().alias("text"))
-    return score(rows, *fit(rows.where("NOT held_out").select("text")))
+    return score(rows, *fit(rows.where("NOT held_out").select("text")), carry=("held_out",))

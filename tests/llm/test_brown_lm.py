@@ -30,7 +30,7 @@ def test_base_counts_and_probabilities(spark):
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in ROWS], "doc_id long, text string, score double")
     rows = docs.select("doc_id", (B.fold(7) == 2).alias("held_out"), B.text_or_empty().alias("text"))
     model, counts = B.fit(rows.where("NOT held_out"), units=6, k=3, rounds=2, lookup=4)
-    got = B.score(rows, model, counts).collect()
+    got = B.score(rows, model, counts, carry=("held_out",)).collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     train = Counter(w for i, t in ROWS if not held(i) for w in B.tokens((t or "").encode()))
     n, v = sum(train.values()), len(train)
