@@ -36,7 +36,7 @@ def valid_query(terms: Column) -> Column:
 def summary_terms(*parts: Column) -> Column:
     """Terms of accepted parts, cut at the first that passes a bound; a term that is too long alone is left out."""
     every = F.array_distinct(F.flatten(F.array(*[content_terms(p) for p in parts])))
-    return _let(F.filter(every, lambda x: F.char_length(x) <= MAX_TERM_RUNES), _bounded)
+    return let(F.filter(every, lambda x: F.char_length(x) <= MAX_TERM_RUNES), _bounded)
 
 
 def _bounded(fit: Column) -> Column:
@@ -94,10 +94,10 @@ def excerpt(title: Column, body: Column, terms: list[str], limit: int) -> Column
         low = F.lower(w)
         return F.struct(w.alias("w"), F.char_length(w).alias("n"), F.char_length(F.regexp_extract(low, pattern, 1)).alias("at"), F.char_length(F.regexp_extract(low, pattern, 2)).alias("size"))
 
-    return _let(whole, lambda w: F.when(F.char_length(w) <= limit, w).otherwise(_let(placed(w), lambda p: _window(p, limit))))
+    return let(whole, lambda w: F.when(F.char_length(w) <= limit, w).otherwise(let(placed(w), lambda p: _window(p, limit))))
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """``use`` of a value that is computed once, however often it is named."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -122,6 +122,6 @@ def _window(p: Column, limit: int) -> Column:
         trail_mark = F.when(s["trail"] & (end + after < n), OMISSION).otherwise("")
         return F.concat(lead_mark, F.substring(text, at - before + 1, before + size + after), trail_mark)
 
-    around = _let(marks, lambda m: _let(sides(m), cut))
+    around = let(marks, lambda m: let(sides(m), cut))
     prefix = F.lit(OMISSION) if limit == 1 else F.concat(F.substring(text, F.lit(1), F.lit(limit - 1)), F.lit(OMISSION))
     return F.when(size == 0, prefix).when(size >= limit, F.substring(text, at + 1, F.lit(limit))).otherwise(around)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loamstack.functions.lexical import trimmed
+from loamstack.functions.lexical import let, trimmed
 from loamstack.model import TITLE_RUNES, struct
 
 _LINK = r"(?s)\[\[(.*?)\]\]"
@@ -22,9 +22,10 @@ def _first(items: Column) -> Column:
 
 def source_title(text: Column) -> Column:
     """The first ATX heading, else the first line that is not blank; 256 characters at most."""
-    full = F.filter(F.transform(lines(text), trimmed), lambda x: x != "")
-    heads = F.filter(F.transform(full, lambda x: F.regexp_extract(x, r"^#{1,6}[ \t]\s*(.*)$", 1)), lambda x: x != "")
-    return F.substring(F.when(F.size(heads) > 0, _first(heads)).otherwise(_first(full)), 1, TITLE_RUNES)
+    # lines without a character that is not white space never count; only headings and the first line are trimmed
+    heads = F.filter(F.transform(F.filter(lines(text), lambda x: x.contains("#")), lambda x: F.regexp_extract(trimmed(x), r"^#{1,6}[ \t]\s*(.*)$", 1)), lambda x: x != "")
+    first = trimmed(F.regexp_extract(F.coalesce(text, F.lit("")), r"\A\s*(\S[^\n]*)", 1))
+    return let(heads, lambda h: F.substring(F.when(F.size(h) > 0, _first(h)).otherwise(first), 1, TITLE_RUNES))
 
 
 def page_title(text: Column) -> Column:
@@ -86,6 +87,8 @@ def frontmatter(text: pd.Series) -> pd.DataFrame:
 
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
     def one(content):
         rows = (content or "").split("\n")
         bad = (False, None, None, None, [], None)
@@ -95,7 +98,7 @@ def frontmatter(text: pd.Series) -> pd.DataFrame:
         if end is None:
             return bad
         try:
-            data = yaml.safe_load("\n".join(rows[1:end]))
+            data = yaml.load("\n".join(rows[1:end]), loader)
         except yaml.YAMLError:
             return bad
         data = {} if data is None else data
