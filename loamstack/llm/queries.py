@@ -109,6 +109,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovered_turns(_read(spark, sf_dir, "conversations"))
 
 
+_OP7_ORACLE = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP2_ORACLE = f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents), it AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+sized AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM it WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, i + 1, i + n), ' ') AS g FROM (SELECT *, unnest(range(len(ws) - n + 1)) AS i FROM sized)),
+dw AS (SELECT doc_id, n, i, array_to_string(list_slice(ws, i + 1, i + n), ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(greatest(len(ws) - n + 1, 0))) AS i FROM w CROSS JOIN (SELECT DISTINCT n FROM win))),
+hit AS (SELECT doc_id, item_id, i, n FROM dw JOIN win USING (n, g)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_brown_lm": op1_brown_lm,
@@ -125,4 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": _OP4_ORACLE}
+    return {"op2_decontamination": _OP2_ORACLE, "op4_url_filter": _OP4_ORACLE, "op7_exact_dedup": _OP7_ORACLE}
