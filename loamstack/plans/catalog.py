@@ -321,10 +321,10 @@ def projection_counts(spark, d):
     return V.pages(spark, d).groupBy("scope").agg(F.count(F.lit(1)).alias("page_count"), F.sum(F.char_length("body")).alias("characters"), F.min("updated_at").alias("first_update"), F.max("updated_at").alias("last_update"))
 
 
-@_query(f"WITH {O.PAGES} SELECT scope, sha256(string_agg(h, '' ORDER BY h)) AS rows_digest FROM (SELECT scope, sha256(concat_ws('|', page_id, path, digest, title)) AS h FROM pages_v) GROUP BY scope")
+@_query(f"WITH {O.PAGES} SELECT scope, sha256(string_agg(p, '' ORDER BY p)) AS rows_digest FROM (SELECT scope, substring(h, 1, 3) || sha256(string_agg(h, '' ORDER BY h)) AS p FROM (SELECT scope, sha256(concat_ws('|', page_id, path, digest, title)) AS h FROM pages_v) GROUP BY scope, substring(h, 1, 3)) GROUP BY scope")
 def projection_row_hash(spark, d):
     rows = V.pages(spark, d).select("scope", F.sha2(F.concat_ws("|", "page_id", "path", "digest", "title"), 256).alias("h"))
-    return rows.groupBy("scope").agg(identity.set_hash(F.col("h")).alias("rows_digest"))
+    return identity.set_hash(rows, ["scope"], "h", "rows_digest")
 
 
 @_query(f"WITH {O.PAGES}, {O.LINKS} SELECT scope, count(*) AS page_count, 0::BIGINT AS link_count FROM pages_v GROUP BY scope UNION ALL SELECT 'all', 0, count(*) FROM links_v")

@@ -23,7 +23,9 @@ def snapshot_digest(pages: DataFrame, links: DataFrame) -> DataFrame:
     """scope, snapshot_digest, page_count, link_count; the digest doesn't depend on the order of rows."""
     p = pages.select("scope", page_hash().alias("h"), F.lit(1).alias("p"), F.lit(0).alias("l"))
     e = links.select("scope", row_hash(F.lit("link"), F.col("from_page"), F.col("to_page"), F.col("relation")).alias("h"), F.lit(0).alias("p"), F.lit(1).alias("l"))
-    return p.unionByName(e).groupBy("scope").agg(set_hash(F.col("h")).alias("snapshot_digest"), F.sum("p").cast("long").alias("page_count"), F.sum("l").cast("long").alias("link_count"))
+    both = p.unionByName(e)
+    counts = both.groupBy("scope").agg(F.sum("p").cast("long").alias("page_count"), F.sum("l").cast("long").alias("link_count"))
+    return set_hash(both, ["scope"], "h", "snapshot_digest").join(counts, "scope")
 
 
 def rebuild(store: Store, scope: str, pages: DataFrame, schema_digest: str, now) -> dict:
