@@ -33,7 +33,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_rows, text_or_empty
+from loamstack.llm.common import binary_rows, lean, text_or_empty
 
 #: White space of Unicode, as the tokenizer's expression counts it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -283,4 +283,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     more = ", ids array<int>, decoded string" if keep_ids else ""
-    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}").withColumnRenamed("id", id_col)
+    return lean(source).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}").withColumnRenamed("id", id_col)

@@ -37,7 +37,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_rows, fold, text_or_empty, written
+from loamstack.llm.common import binary_rows, fold, lean, text_or_empty, written
 
 #: Words that are units of their own, units of endings, classes, rounds of exchange, broadcast counts, longest broadcast word.
 UNITS, ENDINGS, CLASSES, ROUNDS, LOOKUP, WORD_BYTES = 8_192, 512, 64, 6, 200_000, 64
@@ -96,7 +96,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return lean(texts.select("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def count_pairs(texts: DataFrame, own: list[bytes]) -> DataFrame:
@@ -126,7 +126,7 @@ def count_pairs(texts: DataFrame, own: list[bytes]) -> DataFrame:
         if held:
             yield out()
 
-    return texts.select("text").mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    return lean(texts.select("text")).mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
 def _by_class(pairs: DataFrame, classes, size: int, k: int):
@@ -354,7 +354,7 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "
 
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, {''.join(f"{c} {source.schema[c].dataType.simpleString()}, " for c in extra)}n_tokens long, known long, base double, own double, rare array<struct<w:binary,k:int,n:long>>"
-    rows = written(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    rows = written(lean(source).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.k").alias("k"), F.col("x.n").alias("n"))
     met = rare.join(counts.withColumnRenamed("c", "found"), "word", "left")
     table = lambda xs: F.array(*[F.lit(float(x)) for x in xs])

@@ -84,3 +84,15 @@ def binary_rows(batch, name: str, rows: int = 256):
     for i in range(0, len(column), rows):
         for x in column.slice(i, rows).to_pylist():
             yield x or b""
+
+
+#: Rows of an Arrow batch of texts, unless the session sets its own.
+BATCH_ROWS = 1000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python in smaller batches than the default: long texts times its 10,000 rows fill a worker."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df

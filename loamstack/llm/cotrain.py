@@ -22,8 +22,8 @@ from operator import eq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_rows, fold, text_or_empty
-from loamstack.llm.sampling import sampled
+from loamstack.llm.common import binary_rows, fold, lean, text_or_empty, written
+from loamstack.llm.sampling import sampled, thinned
 
 #: Bounds of the fit: labelled rows of each label, rows of the pool, bytes of a fitted row, rounds, rows of each label added in a round.
 LABELLED, POOL, ROW_BYTES, ROUNDS, ADDED = 2500, 5000, 1 << 16, 4, 400
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
     chosen = sampled(known, ["doc_id"], LABELLED, "label")
     fits = docs.where(F.octet_length(text_or_empty(text_col)) <= ROW_BYTES)
     # the chosen labels are a bounded sample: about 2 * LABELLED rows of two numbers
-    labelled = fits.select("doc_id", *_inputs(docs, text_col)).join(F.broadcast(chosen), "doc_id").limit(8 * LABELLED)
+    labelled = fits.select("doc_id", *_inputs(docs, text_col)).join(F.broadcast(chosen), "doc_id")
     pool = sampled(docs, ["doc_id"], POOL).where((fold(5) != 0) & (F.octet_length(text_or_empty(text_col)) <= ROW_BYTES)).select("doc_id", *_inputs(docs, text_col), F.lit(-1).alias("label"))
 
     def run(batches):
@@ -223,7 +223,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
 
     import numpy as np
 
-    rows = labelled.select("doc_id", "text", "source", "lang", "declared", "label").unionByName(pool).mapInArrow(run, "id string, label int, a binary, b binary").collect()
+    rows = labelled.select("doc_id", "text", "source", "lang", "declared", "label").unionByName(pool)
+    table = written(lean(rows).mapInArrow(run, "id string, label int, a binary, b binary"), "features")
+    rows = thinned(table, 4 * (LABELLED + POOL)).collect()
     rows = sorted(rows, key=lambda r: (r["id"] or "", r["label"], bytes(r["a"])))
     vectors = [(np.frombuffer(r["a"], "float32"), np.frombuffer(r["b"], "float32"), r["label"]) for r in rows]
     return Views([v for v in vectors if v[2] >= 0], [v for v in vectors if v[2] < 0], rate)
@@ -242,7 +244,7 @@ def score(docs: DataFrame, model: Views, id_col: str = "doc_id", text_col: str =
             a, b, both = views.scores(*_features(batch, "text", "source", "lang", "declared", slots))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), *(pa.array(x, pa.float64()) for x in (both, a, b)), pa.array(both >= threshold, pa.bool_())], names=["id", "held_out", "score", "text_score", "meta_score", "accepted"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, text_score double, meta_score double, accepted boolean").withColumnRenamed("id", id_col)
+    return lean(source).mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, text_score double, meta_score double, accepted boolean").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Views, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -260,7 +262,7 @@ def accepted(docs: DataFrame, model: Views, text_col: str = "text", threshold: f
             keep = pa.array(both >= threshold, pa.bool_())
             yield batch.select([n for n in batch.schema.names if n not in extra.values()]).filter(keep)
 
-    return wide.mapInArrow(run, docs.schema)
+    return lean(wide).mapInArrow(run, docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_rows, text_or_empty, written
+from loamstack.llm.common import binary_rows, lean, text_or_empty, written
 
 #: Words of the contract, on text in which A-Z are still upper case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -147,11 +147,11 @@ def _scan(docs: DataFrame, benchmark: DataFrame, finish, schema: str, text_col:
                     yield pa.RecordBatch.from_arrays([*batch.columns, state], names=[*batch.schema.names, "__hits"])
 
         if last:
-            return current.mapInArrow(run, schema)
+            return lean(current).mapInArrow(run, schema)
         from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
         hits = _parse_datatype_string("struct<spans:array<struct<a:int,b:int>>,items:array<string>>")
-        current = written(current.mapInArrow(run, StructType([*docs.schema.fields, StructField("__hits", hits)])), "passes")
+        current = written(lean(current).mapInArrow(run, StructType([*docs.schema.fields, StructField("__hits", hits)])), "passes")
     raise AssertionError("there is always a last slice")
 
 

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_column, text_or_empty, written
+from loamstack.llm.common import binary_column, lean, text_or_empty, written
 
 #: Base and the two primes of the fingerprint.
 BASE, PRIMES = 1_000_003, (2_147_483_647, 2_147_483_629)
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["doc_id", "n_bytes", "fp", "text_sha256"],
             )
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, fp string, text_sha256 string")
+    return lean(source).mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, fp string, text_sha256 string")
 
 
 def fingerprint_chunks(chunks: DataFrame, primes: tuple[int, ...] = PRIMES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_column, fold, text_or_empty, written
+from loamstack.llm.common import binary_column, fold, lean, text_or_empty, written
 from loamstack.llm.sampling import sampled
 
 #: Bounds of the model: training rows of a language, bytes of a training row, longest context, strings of one length.
@@ -145,7 +145,7 @@ def _counted(rows: DataFrame, max_order: int) -> DataFrame:
                         strings = [int(v).to_bytes(k, "big") for v in keys]
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(strings, pa.binary()), pa.array(n, pa.int64())], names=["lang", "string", "n"])
 
-    return rows.mapInArrow(run, "lang string, string binary, n long").groupBy("lang", "string").agg(F.sum("n").alias("n"))
+    return lean(rows).mapInArrow(run, "lang string, string binary, n long").groupBy("lang", "string").agg(F.sum("n").alias("n"))
 
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, max_order: int = MAX_ORDER, strings: int = STRINGS) -> ContextTrees | None:
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, model: ContextTrees | None, id_col: str = "doc_id"
                 i = j
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=["id", "held_out", "lang_pred", "score", "bits"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, bits double").withColumnRenamed("id", id_col)
+    return lean(source).mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, bits double").withColumnRenamed("id", id_col)
 
 
 def _whole(trees: ContextTrees, raw: bytes, part: int = 1 << 20):

@@ -24,8 +24,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_rows, fold, text_or_empty, written
-from loamstack.llm.sampling import sampled
+from loamstack.llm.common import binary_rows, fold, lean, text_or_empty, written
+from loamstack.llm.sampling import sampled, thinned
 
 #: Bounds of the model: examples of each label, bytes of an example, terms, neighbours, examples of a block.
 EXAMPLES, EXAMPLE_BYTES, TERMS, NEIGHBOURS, BLOCK = 3000, 1 << 16, 4096, 12, 32
@@ -167,7 +167,7 @@ def examples_of(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", ro
     source = docs.select("doc_id", text_or_empty().alias("text"))
     # the chosen labels are a bounded sample: about 2 * rows rows of two numbers
     joined = source.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= EXAMPLE_BYTES)
-    return written(joined.select(F.col("doc_id").alias("id"), "label", "text").limit(8 * rows), "examples"), (ones or 0) / n if n else 0.0
+    return thinned(written(joined.select(F.col("doc_id").alias("id"), "label", "text"), "examples"), 8 * rows), (ones or 0) / n if n else 0.0
 
 
 def fit(examples: DataFrame, rate: float, terms: int = TERMS, chi2: float = CHI2) -> Nearest | None:
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: Nearest | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(proof, kind)], names=["id", "held_out", "score", "predicted", "evidence"])
 
     schema = f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int, evidence array<struct<id:string,cosine:double,label:int>>"
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return lean(source).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
