@@ -33,7 +33,7 @@ from itertools import repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_rows, text_or_empty, written
+from loamstack.llm.common import binary_rows, lean, text_or_empty, written
 from loamstack.llm.components import components
 
 #: Rows of a block at most.
@@ -319,7 +319,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([majority(shingle_hashes(x, shingle)) for x in binary_rows(batch, "text")], "uint64").view("int64")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "node"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, node long")
+    return lean(source).mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, node long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -382,16 +382,17 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pair.dropDuplicates(["node", "path", "key"])
 
     kind = StructType([*docs.schema.fields, StructField("__node", BinaryType()), StructField("__least", ArrayType(LongType()))])
-    rows = written(docs.mapInArrow(run, kind).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = written(lean(docs).mapInArrow(run, kind).withColumn("__row", F.monotonically_increasing_id()), "rows")
     expected = radius_of(similarity, 64 * words)
     radius = expected + math.ceil(3 * math.sqrt(expected * (1 - expected / (64 * words))))
     nodes = rows.select(F.col("__node").alias("node"), F.col("__least").alias("rest")).distinct()
     near_ones = written(_block_links(_blocks(placed_in(nodes), children, 2), radius, "binary"), "candidates")
     touched = written(near_ones.select(F.col("a").alias("node")).unionByName(near_ones.select(F.col("b").alias("node"))).distinct(), "touched")
     # the shingle sets of rows with a candidate only; one text stands for each fingerprint
-    texts = rows.select(F.col("__node").alias("node"), F.col("__least").alias("rest"), text_or_empty(text_col).alias("text")).join(touched, "node", "left_semi")
-    one = texts.groupBy("node").agg(F.first(F.struct("rest", "text")).alias("x")).select("node", "x.rest", "x.text")
-    full = written(one.mapInArrow(sets, "node binary, rest array<long>, set binary"), "sets")
+    # chosen before the shuffle, so that a large group of copies sends one text from each task
+    texts = rows.select(F.col("__node").alias("node"), F.struct(F.col("__least").alias("rest"), text_or_empty(text_col).alias("text")).alias("x"))
+    one = texts.groupBy("node").agg(F.first("x").alias("x")).join(touched, "node", "left_semi").select("node", "x.rest", "x.text")
+    full = written(lean(one).mapInArrow(sets, "node binary, rest array<long>, set binary"), "sets")
     roots = components(written(_block_links(_blocks(placed_in(full), children, 2), radius, "binary", similarity), "near"))
     placed = rows.select("__row", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("r")).alias("__at"), "__node")
     grouped = written(placed.join(roots.withColumnRenamed("node", "__node"), "__node", "left").select("__row", "__at", F.coalesce("root", "__node").alias("__root")), "grouped")
