@@ -13,10 +13,10 @@ Which fingerprints meet:
   leaves the radius + 1 parts; what is still too large is compared in cells of
   two sub-blocks, so no task holds more than one cell.
 * ``distinct_rows`` (by similarity): rows meet that share one of several minimal
-  shingle hashes, two of them where that bucket is too large. A wide fingerprint
-  within the angle of the asked Jaccard similarity, and a margin, makes
-  candidates; their shingle sets then meet in the same blocks, and a candidate is
-  a link if the sets are that similar.
+  shingle hashes, in cells where that bucket is too large. Sizes and counts of
+  hashes by class, which bound the similarity from above, leave out pairs that
+  cannot have the asked one; the whole shingle sets of all others meet in the same
+  blocks, part by part, and a pair is a link if the sets are that similar.
 
 Blocks emit only a spanning forest of the links they find.
 
@@ -38,8 +38,10 @@ from loamstack.llm.components import components
 
 #: Rows of a block at most.
 BLOCK = 256
-#: Shingle hashes of a set at most.
+#: Shingle hashes of a part of a set, about, at most.
 SET_SIZE = 4096
+#: Classes of hashes that a set is counted by.
+COUNTS = 128
 SEED = 42
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -186,9 +188,9 @@ def similar(found, sets: list[bytes], similarity: float):
     return out
 
 
-def _block_links(grouped: DataFrame, radius: int, node_kind: str, similarity: float | None = None) -> DataFrame:
-    """Links found in blocks. ``grouped``: g (long, at most about 2 * BLOCK rows of each), node, fp (binary, little-endian words) and, for a check of ``similarity``, set."""
-    columns = ["g", "node", "fp", *(["set"] if similarity is not None else [])]
+def _block_links(grouped: DataFrame, radius: int, node_kind: str) -> DataFrame:
+    """Links found in blocks. ``grouped``: g (long, at most about 2 * BLOCK rows of each), node, fp (binary, little-endian words)."""
+    columns = ["g", "node", "fp"]
 
     def run(batches):
         import numpy as np
@@ -196,12 +198,10 @@ def _block_links(grouped: DataFrame, radius: int, node_kind: str, similarity: fl
 
         names = ["a", "b"]
 
-        def compare(nodes, fps, sets=None):
+        def compare(nodes, fps):
             if len(nodes) < 2:
                 return [], []
             found = near(np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1), radius)
-            if found is not None and sets is not None:
-                found = similar(found, sets, similarity)
             links = forest(found) if found is not None else []
             return [nodes[i] for i, _ in links], [nodes[j] for _, j in links]
 
@@ -248,11 +248,11 @@ def _cells(hot: DataFrame, keys: list[str]) -> DataFrame:
 
 def _carried(rows: DataFrame) -> list[str]:
     """What a block needs of a row."""
-    return [c for c in ("node", "fp", "set") if c in rows.columns]
+    return [c for c in ("node", "fp", "level") if c in rows.columns]
 
 
 def _blocks(rows: DataFrame, children, levels: int) -> DataFrame:
-    """g, node, fp (and set) of blocks of bounded size. ``rows``: node, fp, path, key, rest (and set); ``children(rows)`` cuts large buckets further."""
+    """g, node, fp of blocks of bounded size. ``rows``: node, fp, path, key, rest; ``children(rows)`` cuts large buckets further."""
     out = None
     for level in range(levels):
         if level:
@@ -334,68 +334,203 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_node, "node").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def radius_of(similarity: float, width: int) -> int:
-    """Bits that sets of this Jaccard similarity differ in, expected and rounded: the angle of their cosine."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(width * math.acos(cosine) / math.pi)
+def counted(once, size: int = COUNTS):
+    """How many of the distinct hashes fall into each of ``size`` classes, 255 at most, as bytes."""
+    import numpy as np
 
+    return np.minimum(np.bincount((once % np.uint64(size)).astype("int64"), minlength=size), 255).astype("uint8").tobytes()
 
-def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, minima: int = 5) -> DataFrame:
-    """The rows of ``docs``, with one row of each group of similar texts: the one of least id (null ids last).
 
-    Similar: a Jaccard similarity of ``similarity`` or more over word shingles. Two rows are compared if they share
-    one of ``minima`` minimal shingle hashes and their fingerprints of ``words`` * 64 bits are within the expected
-    distance of that similarity and three standard deviations. Sets are exact up to SET_SIZE shingles.
+def possible(sizes, counts, similarity: float):
+    """Which pairs of sets can have this Jaccard similarity, by their sizes and ``counted``: a boolean matrix that misses none.
+
+    The sizes of the symmetric difference and of both sets fix the similarity; the counts differ by no more than the
+    sets do, and counts held at 255 by no more than that.
     """
-    from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+    import numpy as np
+
+    out = np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-6
+    wide = counts.astype("int16")
+    most = (1 - similarity) / (1 + similarity) * (sizes[:, None] + sizes[None, :]) + 1e-6
+    for i in range(len(wide)):
+        out[i] &= np.abs(wide - wide[i]).sum(1) <= most[i]
+    np.fill_diagonal(out, False)
+    return out
+
+
+def common(sets: list, slab: int = 8192):
+    """How many hashes each pair of sets (arrays of distinct hashes) shares; the diagonal is left at any value."""
+    import numpy as np
+
+    out = np.zeros((len(sets), len(sets)))
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    column = np.full(len(times), -1)
+    column[shared] = np.arange(len(shared))
+    at, row = column[place], np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at, row = at[at >= 0], row[at >= 0]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for i in range(0, len(shared), slab):
+        a, b = np.searchsorted(at, [i, i + slab])
+        held = np.zeros((len(sets), min(slab, len(shared) - i)), "float32")
+        held[row[a:b], at[a:b] - i] = 1
+        out += held @ held.T
+    return out
+
+
+def _groups(batches, columns: list[str], by: int):
+    """The rows of batches sorted by their first ``by`` columns: (key, lists of the other columns) for each key."""
+    key, held = None, None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if row[:by] != key:
+                if held:
+                    yield key, [*zip(*held)]
+                key, held = row[:by], []
+            held.append(row[by:])
+    if held:
+        yield key, [*zip(*held)]
+
+
+def _candidates(grouped: DataFrame, similarity: float) -> DataFrame:
+    """g, level, node of the rows (g, level, node, size, counts) that can be similar to another of their block."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            fps, least = [], []
-            for raw in binary_rows(batch, text_col):
-                hashes = shingle_hashes(raw, shingle)
-                fps.append(np.array([majority(mixed(hashes, k)) for k in range(words)], "<u8").tobytes())
-                once = np.unique(hashes)
-                least.append([int(mixed(once, k + 3).min().astype("int64")) for k in range(minima)] if len(once) else [0] * minima)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=[*batch.schema.names, "__node", "__least"])
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["g", "level", "node"])
+
+        found = []
+        for (g,), (level, node, size, counts) in _groups(batches, ["g", "level", "node", "size", "counts"], 1):
+            if len(node) < 2:
+                continue
+            pairs = possible(np.array(size), np.frombuffer(b"".join(counts), "uint8").reshape(len(node), -1), similarity)
+            found += [(g, level[i], node[i]) for i in np.flatnonzero(pairs.any(1))]
+            if len(found) > 10_000:
+                yield out()
+                found = []
+        yield out()
 
-    def sets(batches):
+    return grouped.repartition("g").sortWithinPartitions("g").select("g", "level", "node", "size", "counts").mapInArrow(run, "g long, level int, node binary")
+
+
+def _parts(texts: DataFrame, shingle: int) -> DataFrame:
+    """g, part, node, size, set: the whole set of each text for each of its blocks ``at`` (g, level), in 2 ** level parts by the first bits of the hashes."""
+
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        names = ["g", "part", "node", "size", "set"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+        rows, held = [], 0
         for batch in batches:
-            found = [np.unique(mixed(np.unique(shingle_hashes(x, shingle)), 2))[:SET_SIZE].astype("<u8").tobytes() for x in binary_rows(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("rest"), pa.array(found, pa.binary())], names=["node", "rest", "set"])
+            for node, at, raw in zip(batch.column("node").to_pylist(), batch.column("at").to_pylist(), binary_rows(batch, "text")):
+                once = np.unique(mixed(np.unique(shingle_hashes(raw, shingle)), 2))
+                for x in at:
+                    many = 1 << x["level"]
+                    starts = [0] if many == 1 else np.searchsorted(once, (np.arange(many, dtype="uint64") << np.uint64(64 - x["level"]))).tolist()
+                    for part, (i, j) in enumerate(zip(starts, [*starts[1:], len(once)])):
+                        rows.append((x["g"], part, node, len(once), once[i:j].astype("<u8").tobytes()))
+                        held += len(rows[-1][4])
+                        if held > 1 << 23 or len(rows) >= 10_000:
+                            yield out()
+                            rows, held = [], 0
+        if rows:
+            yield out()
+
+    return lean(texts).mapInArrow(run, "g long, part long, node binary, size long, set binary")
+
+
+def _similar_links(parts: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links (a, b) of the pairs of each block whose whole sets are that similar. One part of one block is held at a time."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        def close():
+            sizes = np.array(block[1], "float64")
+            ok = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+            np.fill_diagonal(ok, False)
+            links.extend((nodes[i], nodes[j]) for i, j in forest(ok))
+
+        links, last, both, nodes, block = [], None, None, [], None
+        for (g, _), (node, size, own) in _groups(batches, ["g", "part", "node", "size", "set"], 2):
+            if g != last:
+                if last is not None:
+                    close()
+                last, both, nodes, block = g, np.zeros((len(node), len(node))), node, (node, size)
+                place = {x: i for i, x in enumerate(nodes)}
+                if len(links) > 10_000:
+                    yield out()
+                    links = []
+            # every node has every part of its block
+            at = np.array([place[x] for x in node])
+            both[np.ix_(at, at)] += common([np.frombuffer(x, "<u8") for x in own])
+        if last is not None:
+            close()
+        yield out()
+
+    return parts.repartition("g").sortWithinPartitions("g", "part").mapInArrow(run, "a binary, b binary")
+
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, minima: int = 5) -> DataFrame:
+    """The rows of ``docs``, with one row of each group of similar texts: the one of least id (null ids last).
+
+    Similar: a Jaccard similarity of ``similarity`` or more over the sets of word shingles. Rows of equal sets are one
+    node. Two nodes are compared if they share one of ``minima`` minimal shingle hashes, whatever the size of that
+    bucket; ``possible`` leaves out only pairs that cannot be similar, and all others are compared by their whole sets.
+    """
+    from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-    def placed_in(table: DataFrame) -> DataFrame:
-        more = [c for c in table.columns if c == "set"]
-        return table.select("node", F.col("node").alias("fp"), *more, F.posexplode("rest").alias("path", "key"), "rest").withColumn("path", F.col("path").cast("long"))
+    def run(batches):
+        import hashlib
 
-    def children(hot: DataFrame, level: int) -> DataFrame:
-        # rows that also share a second minimum; the pair of minima is unordered, so that it is one bucket from either side
-        own = _carried(hot)
-        more = hot.select(*own, "rest", F.col("path").alias("p"), F.col("key").alias("k"), F.posexplode("rest").alias("q", "l")).where("q <> p")
-        pair = more.select(*own, "rest", F.when(F.col("p") < F.col("q"), F.col("p") * 64 + F.col("q")).otherwise(F.col("q") * 64 + F.col("p")).alias("path"), F.when(F.col("p") < F.col("q"), F.xxhash64("k", "l")).otherwise(F.xxhash64("l", "k")).alias("key"))
-        return pair.dropDuplicates(["node", "path", "key"])
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            nodes, least, sizes, counts = [], [], [], []
+            for raw in binary_rows(batch, text_col):
+                once = np.unique(shingle_hashes(raw, shingle))
+                nodes.append(hashlib.blake2b(once.astype("<u8").tobytes(), digest_size=16).digest())
+                least.append([int(mixed(once, k + 3).min().astype("int64")) for k in range(minima)] if len(once) else [0] * minima)
+                sizes.append(len(once))
+                counts.append(counted(once))
+            made = [pa.array(nodes, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "__node", "__least", "__size", "__counts"])
 
-    kind = StructType([*docs.schema.fields, StructField("__node", BinaryType()), StructField("__least", ArrayType(LongType()))])
+    kind = StructType([*docs.schema.fields, StructField("__node", BinaryType()), StructField("__least", ArrayType(LongType())), StructField("__size", LongType()), StructField("__counts", BinaryType())])
     rows = written(lean(docs).mapInArrow(run, kind).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    expected = radius_of(similarity, 64 * words)
-    radius = expected + math.ceil(3 * math.sqrt(expected * (1 - expected / (64 * words))))
-    nodes = rows.select(F.col("__node").alias("node"), F.col("__least").alias("rest")).distinct()
-    near_ones = written(_block_links(_blocks(placed_in(nodes), children, 2), radius, "binary"), "candidates")
-    touched = written(near_ones.select(F.col("a").alias("node")).unionByName(near_ones.select(F.col("b").alias("node"))).distinct(), "touched")
-    # the shingle sets of rows with a candidate only; one text stands for each fingerprint
+    nodes = rows.groupBy(F.col("__node").alias("node")).agg(F.first(F.struct(F.col("__least").alias("rest"), F.col("__size").alias("size"), F.col("__counts").alias("counts"))).alias("x"))
+    nodes = written(nodes.select("node", "x.rest", "x.size", "x.counts"), "nodes")
+    # sets of that similarity have sizes within it, and so a power of two below both or below the larger and the smaller over it
+    power = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1)) + F.lit(0.5)))
+    powers = F.array_distinct(F.array(power(F.col("size")), power(F.ceil(F.col("size") / F.lit(similarity)))))
+    placed = nodes.select("node", F.explode(powers).alias("power"), "rest").select("node", "power", F.posexplode("rest").alias("path", "least"))
+    placed = placed.select("node", F.col("path").cast("long").alias("path"), F.xxhash64("least", "power").alias("key"), F.greatest(F.col("power") + 1 - int(math.log2(SET_SIZE)), F.lit(0)).cast("int").alias("level"))
+    buckets = written(placed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    met = placed.join(buckets, ["path", "key"])
+    grouped = met.where(F.col("n") <= BLOCK).select(F.xxhash64("path", "key").alias("g"), "node", "level").unionByName(_cells(met.where(F.col("n") > BLOCK), ["path", "key"]))
+    some = written(_candidates(grouped.join(nodes.select("node", "size", "counts"), "node"), similarity), "candidates")
+    wanted = written(some.groupBy("node").agg(F.collect_list(F.struct("g", "level")).alias("at")), "wanted")
+    # the shingle sets of nodes with a candidate only; one text stands for each node
     # chosen before the shuffle, so that a large group of copies sends one text from each task
-    texts = rows.select(F.col("__node").alias("node"), F.struct(F.col("__least").alias("rest"), text_or_empty(text_col).alias("text")).alias("x"))
-    one = texts.groupBy("node").agg(F.first("x").alias("x")).join(touched, "node", "left_semi").select("node", "x.rest", "x.text")
-    full = written(lean(one).mapInArrow(sets, "node binary, rest array<long>, set binary"), "sets")
-    roots = components(written(_block_links(_blocks(placed_in(full), children, 2), radius, "binary", similarity), "near"))
-    placed = rows.select("__row", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("r")).alias("__at"), "__node")
-    grouped = written(placed.join(roots.withColumnRenamed("node", "__node"), "__node", "left").select("__row", "__at", F.coalesce("root", "__node").alias("__root")), "grouped")
+    texts = rows.select(F.col("__node").alias("node"), text_or_empty(text_col).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
+    roots = components(written(_similar_links(_parts(texts.join(wanted, "node"), shingle), similarity), "near"))
+    own = rows.select("__row", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("r")).alias("__at"), "__node")
+    grouped = written(own.join(roots.withColumnRenamed("node", "__node"), "__node", "left").select("__row", "__at", F.coalesce("root", "__node").alias("__root")), "grouped")
     stays = written(grouped.groupBy("__root").agg(F.min("__at").alias("stay"), F.count(F.lit(1)).alias("n")).where("n > 1").select("__root", F.col("stay.r").alias("stay")), "stays")
     leave = written(grouped.join(stays, "__root").where("stay <> __row").select("__row"), "leave")
     return rows.join(leave, "__row", "left_anti").select(*docs.columns)

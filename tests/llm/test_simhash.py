@@ -108,6 +108,33 @@ def test_similarity_of_sets_exact_and_cut_off(monkeypatch):
     assert got[0, 1] and got[1, 0] and not got[0, 5] and not S.similar(every & False, [r.tobytes() for r in rows], 0.8).any()
 
 
+def _left(spark, texts, **more):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in S.distinct_rows(docs, **more).collect())
+
+
+def _sets(texts):
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+
+
+def _stays(texts, pair=lambda i, j: True):
+    """What a comparison of every pair leaves."""
+    sets = _sets(texts)
+    least = [*range(len(texts))]
+    for i in least[:]:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and pair(i, j) and least[i] != least[j]:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    return sorted(set(least))
+
+
+def test_different_texts_of_one_repeated_line_both_stay(spark):
+    line = " ".join(f"r{i}" for i in range(7))
+    texts = [" ".join([*[line] * 200, *(f"{c}{i}" for i in range(150))]) for c in "abc"]
+    assert len({S.majority(S.shingle_hashes(t.encode(), 5)) for t in texts}) == 1
+    assert _left(spark, texts) == _stays(texts) == [0, 1, 2]
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0
