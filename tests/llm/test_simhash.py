@@ -135,6 +135,19 @@ def test_different_texts_of_one_repeated_line_both_stay(spark):
     assert len({S.majority(S.shingle_hashes(t.encode(), 5)) for t in texts}) == 1
     assert _left(spark, texts) == _stays(texts) == [0, 1, 2]
 
+
+def test_repeated_lines_and_short_texts_against_brute_force(spark):
+    rng = random.Random(11)
+    line = " ".join(f"r{i}" for i in range(7))
+    texts = []
+    for c in "abcd":
+        body = [f"{c}{i}" for i in range(150)]
+        texts += [" ".join([*[line] * n, *body[: 150 - k]]) for n, k in ((3, 0), (20, 1), (200, 2))]
+    for g in range(60):
+        words = [f"s{g}x{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 13))]
+        texts += [" ".join(words), " ".join(words[:-1]), " ".join([*words, "more"]), " ".join(["other", *words[1:]])]
+    assert _left(spark, texts) == _stays(texts)
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0
