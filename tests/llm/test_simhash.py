@@ -148,6 +148,24 @@ def test_repeated_lines_and_short_texts_against_brute_force(spark):
         texts += [" ".join(words), " ".join(words[:-1]), " ".join([*words, "more"]), " ".join(["other", *words[1:]])]
     assert _left(spark, texts) == _stays(texts)
 
+
+def test_large_buckets_and_cut_sets_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join([*base[: 7 * i], f"edit{i}", *base[7 * i + 1 :]]) for i in range(40)]
+    minimum = [int(S.mixed(np.unique(S.shingle_hashes(t.encode(), 5)), 3).min().astype("int64")) for t in texts]
+    assert max(Counter(minimum).values()) > 16
+    # rows of a bucket that is too large share this one minimum and no other
+    assert _left(spark, texts, minima=1) == _stays(texts, lambda i, j: minimum[i] == minimum[j])
+    monkeypatch.setattr(S, "SET_SIZE", 16)
+    texts = []
+    for g in range(30):  # on both sides of the threshold, by one shingle
+        words = [f"g{g}x{i}" for i in range(300)]
+        texts += [" ".join(words), " ".join([*words[:-32], *(f"u{g}x{i}" for i in range(32))]), " ".join([*(f"v{g}x{i}" for i in range(33)), *words[33:]])]
+    assert len(_stays(texts)) == 60
+    assert _left(spark, texts) == _stays(texts)
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0
