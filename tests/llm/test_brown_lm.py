@@ -56,6 +56,12 @@ def test_better_than_the_base_on_held_out_text(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_words_to_the_12000th_are_units(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k, 11_999, 4)),) for k in range(4)], "text string")
+    model, _ = B.fit(docs, rounds=0)
+    assert set(model.own) == {B.END, *(f"w{i}".encode() for i in range(11_999))}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert B.held_out_scores(docs).count() == 0
