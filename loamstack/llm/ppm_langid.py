@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from loamstack.llm.common import binary_column, fold, lean, text_or_empty, written
 from loamstack.llm.sampling import sampled
 
-#: Bounds of the model: training rows of a language, bytes of a training row, longest context, strings of one length.
-ROWS_PER_LANGUAGE, ROW_BYTES, MAX_ORDER, STRINGS = 1500, 1 << 16, 4, 40_000
+#: Bounds of the model: training rows of a language, bytes of a training row, longest context, strings of one length that a language keeps.
+ROWS_PER_LANGUAGE, ROW_BYTES, MAX_ORDER, STRINGS = 1500, 1 << 16, 4, 1 << 16
 
 
 def folded(data):
@@ -149,23 +149,33 @@ def _counted(rows: DataFrame, max_order: int) -> DataFrame:
 
 
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, max_order: int = MAX_ORDER, strings: int = STRINGS) -> ContextTrees | None:
-    """Trees from about ``rows_per_language`` rows of each language of at most ROW_BYTES bytes; the counts, at most ``strings`` of each length, go to the driver."""
+    """Trees from about ``rows_per_language`` rows of each language of at most ROW_BYTES bytes; the counts, at most ``strings`` of each length that a language keeps, go to the driver."""
     known = rows.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(f"lang IS NOT NULL AND octet_length(text) <= {ROW_BYTES}")
     counted = _counted(sampled(known, ["id"], rows_per_language, "lang").select("text", "lang"), max_order)
     # the counts of a bounded sample, made once for all lengths
-    wide = written(counted.groupBy("string").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")), "strings")
-    counts, least, languages = [], 1, set()
+    table = written(counted.withColumn("k", F.length("string")), "strings")
+    # each language keeps its own strings; where they are too many a whole count class goes, so that prefixes and suffixes stay known
+    least: dict[tuple[str, int], int] = {}
+    held: dict[tuple[str, int], int] = {}
+    for r in sorted(table.groupBy("lang", "k", "n").agg(F.count(F.lit(1)).alias("strings")).collect(), key=lambda r: -r["n"]):
+        at = r["lang"], r["k"]
+        held[at] = held.get(at, 0) + r["strings"]
+        if held[at] > strings:
+            least.setdefault(at, r["n"] + 1)
+    languages = {lang for lang, _ in held}
+    limits = []
+    for lang in sorted(languages):
+        low = 1
+        for k in range(1, max_order + 2):
+            low = max(low, least.get((lang, k), 1))
+            limits.append((lang, k, low))
+    bounds = rows.sparkSession.createDataFrame(limits, "lang string, k int, least long")
+    wide = table.join(F.broadcast(bounds), ["lang", "k"]).groupBy("k", "string").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.max(F.col("n") >= F.col("least")).alias("kept"))
+    wide = written(wide.where("kept").drop("kept"), "kept")
+    counts = []
     for k in range(1, max_order + 2):
-        own = wide.where(F.length("string") == k)
-        found = own.orderBy(F.desc("all"), "string").limit(strings + 1).toArrow()
-        total = found.column("all").to_pylist()
-        if len(total) > strings:  # a whole count class goes, so that prefixes and suffixes stay known
-            least = max(least, total[-1] + 1)
-        if k > 3:
-            least = max(least, 2)
-        kept = sum(n >= least for n in total)  # they come in falling order
-        counts.append([(s, {x["lang"]: x["n"] for x in by}) for s, by in zip(found.column("string").slice(0, kept).to_pylist(), found.column("by").slice(0, kept).to_pylist())])
-        languages |= {lang for _, by in counts[-1] for lang in by}
+        found = wide.where(F.col("k") == k).toArrow()
+        counts.append([(s, {x["lang"]: x["n"] for x in by}) for s, by in zip(found.column("string").to_pylist(), found.column("by").to_pylist())])
     names = sorted(languages)
     if not names:
         return None

@@ -54,3 +54,22 @@ def test_held_out_accuracy_and_edges(spark, small):
     assert got[:3] == [(1, "und"), (2, "und"), (3, "und")] and got[3] == (4, "en") and got[4] == (None, "de")
     assert L.languages(odd.limit(0)).count() == 0
     assert {r.lang_pred for r in L.identify(odd, None).collect()} == {"und"}
+
+
+def test_a_small_language_keeps_its_strings_beside_a_large_one(spark):
+    big = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(26 * 20))
+    docs = spark.createDataFrame([(i, big, "big") for i in range(20)] + [(99, "žluťoučký kůň", "small")], "doc_id long, text string, lang string")
+    trees = L.fit(docs, strings=300)
+    small = L.ContextTrees(["small"], [{s: [n] for s, n in own.items()} for own in _strings("žluťoučký kůň".encode())]).tables()
+    data = np.frombuffer("žluťoučký kůň".encode(), "uint8")
+    got = trees.tables().code_lengths(data, np.zeros(1, "int64"))[0][trees.languages.index("small")]
+    assert trees.languages == ["big", "small"] and np.isclose(got, small.code_lengths(data, np.zeros(1, "int64"))[0][0], atol=1e-3)
+
+
+def _strings(text):
+    text = bytes(L.folded(np.frombuffer(text, "uint8")))
+    counts = [{} for _ in range(L.MAX_ORDER + 1)]
+    for k in range(1, L.MAX_ORDER + 2):
+        for i in range(len(text) - k + 1):
+            counts[k - 1][text[i : i + k]] = counts[k - 1].get(text[i : i + k], 0) + 1
+    return counts
