@@ -7,6 +7,7 @@ executor costs a re-read and not a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,15 +18,17 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
+    """The shared folder of the session. Where none is set, one process makes a temporary one; a cluster must name its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        own, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
         if own.isDefined():
             named = own.get()
-        else:
+        elif re.fullmatch(r"local(\[.*\])?", master):
             named = tempfile.mkdtemp(prefix="loamstack-")
             spark.sparkContext.setCheckpointDir(named)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -40,7 +43,8 @@ def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+        # dealt anew after the work, which keeps its own number of tasks
+        df = df.repartition(max(1, -(-rows // ROWS_PER_TASK)))
     path = f"{shared_dir(spark)}/loamstack-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
@@ -54,6 +58,42 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` for columns of our own, each with underscores before it until no column of ``df`` has it."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of a sieve at most (a broadcast of at most 16 MB), bits for each key, and keys of one row of it.
+SIEVE_BITS, SIEVE_SHARE, SIEVE_ROW = 1 << 27, 8, 1 << 15
+
+
+def sieved(rows: DataFrame, keys: list[Column], wanted: DataFrame, wanted_keys: list[Column], name: str) -> DataFrame:
+    """``rows`` with the boolean column ``name``, false only where the keys are surely not among those of ``wanted`` (a written table).
+
+    One bit of a bitmap for each hash of the keys: a join that moves wide rows can leave most others where they lie.
+    The bitmap grows with ``wanted`` up to SIEVE_BITS; where it would be too full to help, every row may be wanted.
+    """
+    n = wanted.count()
+    if n * 2 > SIEVE_BITS:
+        return rows.withColumn(name, F.lit(True))
+    bits = max(SIEVE_ROW, min(SIEVE_BITS, 1 << (n * SIEVE_SHARE).bit_length()))
+    at = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(bits))
+    row, place, bitmap = unused(rows, "sieve_row", "sieve_place", "sieve_bits")
+    set_ = wanted.select(at(wanted_keys).alias("p")).select(F.shiftright("p", 15).alias(row), F.col("p").bitwiseAND(F.lit(SIEVE_ROW - 1)).alias("p"))
+    # dealt by row first, so that each bitmap is made once and not in every task
+    maps = set_.repartition(row).groupBy(row).agg(F.bitmap_construct_agg("p").alias(bitmap))
+    placed = rows.withColumn(place, at(keys)).withColumn(row, F.shiftright(place, 15))
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.shiftright(F.col(place).bitwiseAND(F.lit(SIEVE_ROW - 1)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.col(place).bitwiseAND(F.lit(7)))), F.lit(2)) == 1
+    return placed.join(F.broadcast(maps), row, "left").withColumn(name, F.coalesce(bit, F.lit(False))).select(*rows.columns, name)
+
+
 def id_text(id_col: str = "doc_id") -> Column:
     """An id as text; a null id counts as the empty text."""
     return F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -6,16 +6,21 @@ neighbouring chunks combine by length-shifted arithmetic,
 
     H(a + b) = H(a) * BASE**len(b) + H(b)   (mod p),
 
-so chunks of a huge document can be hashed anywhere and in any grouping
-(``fingerprint_chunks`` does it over a table of chunks). Documents of one length
-and fingerprint are then compared with the group's representative chunk by
-chunk; those that differ form their own groups in a further round, so the result
-is exact whatever the hash does. Only the texts of groups with two or more
-members travel, as chunks of bounded size; a large group's chunks are spread
-over one salt for every ``ROWS_PER_SALT`` members.
-
-Defined cases: null text counts as empty; a null id is an id that sorts below
-all others; rows with equal id and text are repeats, of which one is kept.
+so chunks of a huge document can be hashed anywhere and in any grouping: those
+of a document over ``HUGE`` bytes are dealt to all tasks by ``fingerprint_chunks``
+and only their hashes meet. Documents of one length and fingerprint are then
+compared with the group's representative chunk by chunk; those that differ form
+their own groups in a further round, so the result is exact whatever the hash
+does. Texts of groups with two or more members travel, as chunks of bounded
+size, and few others do: a bitmap of the wanted rows (``sieved``) leaves the rest
+where they lie as long as the wanted rows are few enough for it. A large group's
+chunks are spread over one salt for every ``ROWS_PER_SALT`` members.
+
+Defined cases: null text counts as empty, and all such rows are one group; a
+null id is an id that sorts below all others; rows with equal id and text are
+repeats, of which one is kept (``exact_rows`` keeps the least by its other
+columns); very long texts are met in chunks; an empty table gives an empty
+result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,12 +31,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_column, lean, text_or_empty, written
+from loamstack.llm.common import binary_column, lean, sieved, text_or_empty, unused, written
 
 #: Base and the two primes of the fingerprint.
 BASE, PRIMES = 1_000_003, (2_147_483_647, 2_147_483_629)
 CHUNK_BYTES = 1 << 16
 ROWS_PER_SALT = 256
+#: Longer texts are hashed chunk by chunk in many tasks.
+HUGE = 1 << 20
 
 
 class Polynomial:
@@ -63,8 +70,8 @@ class Polynomial:
         return reduce(lambda x, y: (self.combine(x[0], y[0], y[1]), 0), parts, ((0,) * len(self.primes), 0))[0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes: tuple[int, ...] = PRIMES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, fp (the hashes joined by ':') and text_sha256 of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes: tuple[int, ...] = PRIMES, chunk_bytes: int = CHUNK_BYTES, huge: int = HUGE) -> DataFrame:
+    """doc_id, n_bytes, fp (the hashes joined by ':') and text_sha256 of every row; rows of texts over ``huge`` bytes are hashed by chunks."""
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches):
@@ -77,13 +84,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [
                     batch.column("doc_id"),
                     pa.array([len(x) for x in texts], pa.int64()),
-                    pa.array([":".join(map(str, poly.text(x))) for x in texts], pa.string()),
+                    pa.array([":".join(map(str, poly.text(x))) if len(x) <= huge else None for x in texts], pa.string()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
                 ],
                 names=["doc_id", "n_bytes", "fp", "text_sha256"],
             )
 
-    return lean(source).mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, fp string, text_sha256 string")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    rows = written(lean(source).mapInArrow(run, f"doc_id {kind}, n_bytes long, fp string, text_sha256 string"), "fingerprints")
+    open_ = rows.where("fp IS NULL").select("text_sha256").distinct()
+    if open_.isEmpty():
+        return rows
+    # one of each id and text: a repeated row has the same chunks
+    whole = source.where(F.octet_length("text") > huge).select(F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).alias("doc_id"), F.col("text").cast("binary").alias("data"))
+    parts = _chunks(whole, chunk_bytes).repartition("doc_id", "chunk_no").dropDuplicates(["doc_id", "chunk_no"])
+    done = written(fingerprint_chunks(parts, primes, chunk_bytes).select(F.col("doc_id.doc_id").alias("i"), F.col("doc_id.sha").alias("s"), F.col("fp").alias("whole_fp")), "huge")
+    met = rows.join(done, F.col("fp").isNull() & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_sha256") == F.col("s")), "left")
+    return written(met.select("doc_id", "n_bytes", F.coalesce("fp", "whole_fp").alias("fp"), "text_sha256"), "fingerprints")
 
 
 def fingerprint_chunks(chunks: DataFrame, primes: tuple[int, ...] = PRIMES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -146,7 +163,8 @@ def equal_groups(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
             differ = None
         else:
             # texts of compared rows only; repeats of a row bring one copy
-            here = texts.alias("t").join(compared.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.text_sha256") == F.col("m.text_sha256")))
+            near = sieved(texts, [F.col("doc_id"), F.col("text_sha256")], compared, [F.col("doc_id"), F.col("text_sha256")], "wanted").where("wanted").drop("wanted")
+            here = near.alias("t").join(compared.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.text_sha256") == F.col("m.text_sha256")))
             here = here.select("m.*", "t.data")
             is_keep = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha"))
             parts = written(_chunks(here.withColumn("is_keep", is_keep), chunk_bytes), "chunks")
@@ -169,9 +187,9 @@ def equal_groups(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
         pool = differ
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes: tuple[int, ...] = PRIMES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", primes: tuple[int, ...] = PRIMES, chunk_bytes: int = CHUNK_BYTES, huge: int = HUGE) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    found = written(fingerprints(docs, id_col, text_col, primes, chunk_bytes), "fingerprints")
+    found = fingerprints(docs, id_col, text_col, primes, chunk_bytes, huge)
     groups = equal_groups(docs, found, id_col, text_col, chunk_bytes)
     rows = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
     g = groups.select(F.col("doc_id").alias("g_id"), F.col("text_sha256").alias("g_sha"), "keep_id", "keep_sha", "group_size")
@@ -186,3 +204,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"),
     )
     return named.select(id_col, "keep_id", "group_size", (F.col("first") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+
+
+def exact_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of equal texts the row with the largest id; of repeats of that row the least by its other columns."""
+    verdict = written(exact_duplicates(docs, id_col, text_col), "verdict")
+    sha, n, maybe, own_id, own_sha, stays = unused(docs, "exact_sha", "exact_n", "exact_maybe", "exact_own_id", "exact_own_sha", "exact_stays")
+    by = verdict.groupBy(F.col(id_col).alias(own_id), F.col("text_sha256").alias(own_sha)).agg(F.count(F.lit(1)).alias(n), F.max("kept").alias(stays))
+    # rows that go, and rows that stay but are there more than once
+    special = written(by.where(~F.col(stays) | (F.col(n) > 1)), "special")
+    keyed = docs.withColumn(sha, F.sha2(text_or_empty(text_col).cast("binary"), 256))
+    split = sieved(keyed, [F.col(id_col), F.col(sha)], special, [F.col(own_id), F.col(own_sha)], maybe)
+    plain = split.where(~F.col(maybe)).select(*docs.columns)
+    met = split.where(F.col(maybe)).join(special, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(own_sha)), "left")
+    touched = written(met.where(F.col(stays).isNull() | F.col(stays)).withColumn(n, F.coalesce(n, F.lit(1))).select(*docs.columns, sha, n), "touched")
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    least = touched.where(F.col(n) > 1).groupBy(id_col, sha).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*rest)) if rest else F.lit("")).alias(maybe)).select(f"{maybe}.*")
+    return plain.unionByName(touched.where(F.col(n) == 1).select(*docs.columns)).unionByName(least.select(*docs.columns))

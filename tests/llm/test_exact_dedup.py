@@ -49,3 +49,19 @@ def test_chunks_combine_in_any_grouping(spark):
         got = X.fingerprint_chunks(spark.createDataFrame(chunks, "doc_id long, chunk_no int, data binary"), chunk_bytes=size).collect()
         assert got[0].fp == ":".join(map(str, poly.text(raw))) == ":".join(map(str, X.Polynomial().text(raw)))
         assert got[0].n_bytes == len(raw)
+
+
+def test_huge_texts_by_chunks_and_clashing_columns(spark):
+    rows = [(i, ("ab" * 3000)[: 5990 + i % 3] + ("z" if i == 7 else ""), i, 1, "w") for i in range(12)] + [(3, ("ab" * 3000)[:5990], 3, 1, "w"), (50, None, 0, 1, "w"), (51, "", 0, 1, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, exact_sha int, exact_id int, wanted string")
+    got = X.exact_duplicates(docs, chunk_bytes=512, huge=1024).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute([r[:2] for r in rows])
+
+
+def test_rows_that_stay(spark):
+    rows = [(1, "a", "x"), (2, "a", "b"), (2, "a", "a"), (2, "a", "a"), (None, "n", "2"), (None, "n", "1"), (3, None, "x"), (4, "", None), (4, None, "y"), (5, "own", None), (6, "é" * 70000, "q"), (7, "é" * 70000, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, exact_maybe string").selectExpr("*", "1 AS i", "2 AS s", "3 AS rows", "'k' AS kept", "doc_id AS exact_n")
+    got = X.exact_rows(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r[0], len(r[1] or ""), r[2]) for r in got.collect()), key=str) == sorted([(2, 1, "a"), (None, 1, "1"), (4, 0, "y"), (5, 3, None), (7, 70000, "q")], key=str)
+    assert X.exact_rows(docs.limit(0)).count() == 0
