@@ -12,17 +12,25 @@ Which fingerprints meet:
   bucket that is too large is cut anew over its remaining bits, which again
   leaves the radius + 1 parts; what is still too large is compared in cells of
   two sub-blocks, so no task holds more than one cell.
-* ``distinct_rows`` (by similarity): rows meet that share one of several minimal
-  shingle hashes, in cells where that bucket is too large. Sizes and counts of
-  hashes by class, which bound the similarity from above, leave out pairs that
-  cannot have the asked one; the whole shingle sets of all others meet in the same
-  blocks, part by part, and a pair is a link if the sets are that similar.
+* ``distinct_rows`` (by similarity): rows meet that share one of ``bands`` keys,
+  each made of ``width`` minimal shingle hashes. The bit-sliced distance of their
+  256-bit fingerprints (of distinct shingles) leaves out all pairs beyond
+  ``RADIUS``; the whole shingle sets of all others meet in the same blocks, part
+  by part, and a pair is a link if the sets are that similar. A bucket that is too
+  large is first compared in sub-blocks, each with the bucket's first row; what
+  these links already connect need not meet again, so a large group of similar
+  texts costs in proportion to its rows, and only rows outside the bucket's largest
+  group meet all others of it.
 
 Blocks emit only a spanning forest of the links they find.
 
 Defined cases: null text counts as empty; without words the fingerprint is zero
-and is linked like any other; a null id is ignored in component_id unless the
-component has no other id.
+and is linked like any other (its set is equal to that of other such texts); a
+null id is ignored in component_id unless the component has no other id, and is
+the last to stay in ``distinct_rows``; repeated rows are one node, of which the
+row of least id and then of the least other columns stays; very long texts are read
+whole, and their sets compared in parts; an empty table gives an empty result;
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,15 +41,18 @@ from itertools import repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_rows, lean, text_or_empty, written
+from loamstack.llm.common import binary_rows, lean, sieved, text_or_empty, unused, written
 from loamstack.llm.components import components
 
 #: Rows of a block at most.
 BLOCK = 256
 #: Shingle hashes of a part of a set, about, at most.
 SET_SIZE = 4096
-#: Classes of hashes that a set is counted by.
-COUNTS = 128
+#: Rows of a sub-block where a large bucket's unconnected rows meet the others.
+WIDE = 512
+#: Bits of a fingerprint that stands for a shingle set, and how many may differ. Each bit of two sets of similarity 0.8
+#: differs with probability 0.1875 at most (sets of 5 and 4 shingles), so more than 80 of 256 do in one of 1.8 million pairs.
+BITS, RADIUS = 256, 80
 SEED = 42
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -68,20 +79,35 @@ def mixed(hashes, k: int):
     """The k-th independent 64-bit hash made of each hash."""
     import numpy as np
 
-    z = (hashes ^ np.uint64(_ODD[k])) * np.uint64(_ODD[(k + 1) % len(_ODD)])
-    z = (z ^ (z >> np.uint64(29))) * np.uint64(_ODD[(k + 3) % len(_ODD)])
-    return z ^ (z >> np.uint64(32))
+    with np.errstate(over="ignore"):
+        z = (hashes ^ (np.uint64(k + 1) * np.uint64(_ODD[0]))) * np.uint64(_ODD[1 + k % 7])
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(_ODD[1 + (k + 3) % 7])
+        return z ^ (z >> np.uint64(32))
 
 
 def majority(hashes) -> int:
     """The 64-bit fingerprint: a bit is 1 if set in over half of the hashes."""
     import numpy as np
 
-    counts = np.zeros(64, "int64")
-    for i in range(0, len(hashes), 1 << 14):
-        rows = hashes[i : i + (1 << 14)].view("uint8").reshape(-1, 8)
+    return int(_majorities(hashes[:, None]).view("<u8")[0])
+
+
+def _majorities(hashes):
+    """The bits (as bytes, least first) that are set in over half of the rows of ``hashes`` (n, words)."""
+    import numpy as np
+
+    counts = np.zeros(hashes.shape[1] * 64, "int64")
+    for i in range(0, len(hashes), 1 << 13):
+        rows = np.ascontiguousarray(hashes[i : i + (1 << 13)]).view("uint8")
         counts += np.unpackbits(rows, axis=1, bitorder="little").sum(0, dtype="int64")
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(counts * 2 > len(hashes), bitorder="little")
+
+
+def sketch(once) -> bytes:
+    """The fingerprint of BITS bits of a set of hashes."""
+    import numpy as np
+
+    return _majorities(np.stack([mixed(once, k) for k in range(BITS // 64)], 1)).tobytes()
 
 
 def _adder(a, b, c):
@@ -89,19 +115,30 @@ def _adder(a, b, c):
     return u ^ c, (a & b) | (u & c)
 
 
-def near(rows, radius: int):
-    """Which pairs of rows differ in at most ``radius`` bits: a boolean matrix, or None if there is no pair.
+def near(rows, radius: int, others=None, wanted=None):
+    """Which pairs of ``rows`` (with one another, or with ``others``) differ in at most ``radius`` bits: a boolean matrix, or None if there is no pair.
 
-    ``rows``: (n, words) of uint64.
+    ``rows``, ``others``: (n, words) of uint64. ``wanted``: a boolean matrix of the pairs that matter; a row and itself is none.
+    The block is abandoned once the distances of all pairs that matter have passed the radius.
     """
     import numpy as np
 
     n, width = len(rows), rows.shape[1] * 64
+    m = n if others is None else len(others)
     bits = np.unpackbits(rows.view("uint8").reshape(n, -1), axis=1, bitorder="little")  # (n, width)
-    lanes = -(-n // 64)
-    padded = np.zeros((width, lanes * 64), "uint8")
-    padded[:, :n] = bits.T
-    planes = np.packbits(padded, axis=1, bitorder="little").view("uint64")  # (width, lanes)
+    across = bits if others is None else np.unpackbits(others.view("uint8").reshape(m, -1), axis=1, bitorder="little")
+    lanes = -(-m // 64)
+
+    def sliced(table):
+        padded = np.zeros((len(table), lanes * 64), "uint8")
+        padded[:, :m] = table
+        return np.packbits(padded, axis=1, bitorder="little").view("uint64")  # (rows of table, lanes)
+
+    planes = sliced(across.T)
+    alive = np.ones((n, m), bool) if wanted is None else wanted.copy()
+    if others is None:
+        np.fill_diagonal(alive, False)
+    alive = sliced(alive)
     flip = (bits.astype("uint64") * np.uint64(0xFFFFFFFFFFFFFFFF)).T  # (width, n)
     zero = np.zeros((n, lanes), "uint64")
     one, two, four, high = zero, zero, zero, [zero] * max(1, (width // 8).bit_length())
@@ -117,10 +154,9 @@ def near(rows, radius: int):
         four, carry = _adder(four, f1, f2)
         for k in range(len(high)):
             high[k], carry = high[k] ^ carry, high[k] & carry
-        if b // 8 + 1 >= past + 2 and not (~_at_least(high, past)).any():
+        if b // 8 + 1 >= past and not (~_at_least(high, past) & alive).any():
             return None
-    found = np.unpackbits(_at_most([one, two, four, *high], radius).view("uint8"), axis=1, bitorder="little")[:, :n].astype(bool)
-    np.fill_diagonal(found, False)
+    found = np.unpackbits((_at_most([one, two, four, *high], radius) & alive).view("uint8"), axis=1, bitorder="little")[:, :m].astype(bool)
     return found if found.any() else None
 
 
@@ -155,39 +191,6 @@ def forest(adjacent) -> list[tuple[int, int]]:
     return [(i, int(r)) for i, r in enumerate(label) if i != r]
 
 
-def similar(found, sets: list[bytes], similarity: float):
-    """The candidates of the matrix ``found`` whose shingle sets have at least this Jaccard similarity.
-
-    A set is its sorted hashes, or the SET_SIZE least of them; where one is cut off, the similarity is that of the
-    least hashes of both together.
-    """
-    import numpy as np
-
-    out = np.zeros_like(found)
-    some = np.flatnonzero(found.any(1))
-    if not len(some):
-        return out
-    own = [np.frombuffer(sets[i], "<u8") for i in some]
-    sizes = np.array([len(x) for x in own])
-    _, place, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times > 1)
-    column = np.full(len(times), -1)
-    column[shared] = np.arange(len(shared))
-    held = np.zeros((len(own), len(shared)), "float32")
-    at, row = column[place], np.repeat(np.arange(len(own)), sizes)
-    held[row[at >= 0], at[at >= 0]] = 1
-    both = held @ held.T
-    union = sizes[:, None] + sizes[None, :] - both
-    # two empty sets are equal
-    ok = (both >= similarity * union - 1e-6) & found[np.ix_(some, some)]
-    cut = sizes >= SET_SIZE
-    for i, j in zip(*np.nonzero(np.triu(found[np.ix_(some, some)] & (cut[:, None] | cut[None, :])))):
-        least = np.union1d(own[i], own[j])[:SET_SIZE]
-        ok[i, j] = ok[j, i] = (np.isin(least, own[i]) & np.isin(least, own[j])).sum() >= similarity * len(least)
-    out[np.ix_(some, some)] = ok
-    return out
-
-
 def _block_links(grouped: DataFrame, radius: int, node_kind: str) -> DataFrame:
     """Links found in blocks. ``grouped``: g (long, at most about 2 * BLOCK rows of each), node, fp (binary, little-endian words)."""
     columns = ["g", "node", "fp"]
@@ -334,30 +337,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_node, "node").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def counted(once, size: int = COUNTS):
-    """How many of the distinct hashes fall into each of ``size`` classes, 255 at most, as bytes."""
-    import numpy as np
-
-    return np.minimum(np.bincount((once % np.uint64(size)).astype("int64"), minlength=size), 255).astype("uint8").tobytes()
-
-
-def possible(sizes, counts, similarity: float):
-    """Which pairs of sets can have this Jaccard similarity, by their sizes and ``counted``: a boolean matrix that misses none.
-
-    The sizes of the symmetric difference and of both sets fix the similarity; the counts differ by no more than the
-    sets do, and counts held at 255 by no more than that.
-    """
-    import numpy as np
-
-    out = np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-6
-    wide = counts.astype("int16")
-    most = (1 - similarity) / (1 + similarity) * (sizes[:, None] + sizes[None, :]) + 1e-6
-    for i in range(len(wide)):
-        out[i] &= np.abs(wide - wide[i]).sum(1) <= most[i]
-    np.fill_diagonal(out, False)
-    return out
-
-
 def common(sets: list, slab: int = 8192):
     """How many hashes each pair of sets (arrays of distinct hashes) shares; the diagonal is left at any value."""
     import numpy as np
@@ -393,8 +372,13 @@ def _groups(batches, columns: list[str], by: int):
         yield key, [*zip(*held)]
 
 
-def _candidates(grouped: DataFrame, similarity: float) -> DataFrame:
-    """g, level, node of the rows (g, level, node, size, counts) that can be similar to another of their block."""
+def _candidates(blocks: DataFrame) -> DataFrame:
+    """g, level, node of the rows that are within RADIUS bits of another of their block.
+
+    ``blocks``: g, node, side (0: meets rows of side 1 only where there are such, else one another), level, band, at, keys,
+    powers, root, fp. Left out are pairs that an earlier band or a lower power brings together, and pairs of one root.
+    """
+    columns = ["g", "node", "side", "level", "band", "at", "keys", "powers", "root", "fp"]
 
     def run(batches):
         import numpy as np
@@ -404,17 +388,40 @@ def _candidates(grouped: DataFrame, similarity: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["g", "level", "node"])
 
         found = []
-        for (g,), (level, node, size, counts) in _groups(batches, ["g", "level", "node", "size", "counts"], 1):
-            if len(node) < 2:
+        for (g,), (node, side, level, band, at, keys, powers, root, fp) in _groups(batches, columns, 1):
+            sides = np.array(side)
+            a = np.flatnonzero(sides == 0)
+            b = np.flatnonzero(sides == 1)
+            alone = not len(b)
+            if len(a) + len(b) < 2 or not len(a):
+                continue
+            b = a if alone else b
+            own, powered = np.array(keys), np.array(powers)
+            wanted = np.ones((len(a), len(b)), bool)
+            for k in range(band[0]):
+                wanted &= own[a, k][:, None] != own[b, k][None, :]
+            # both in a lower power: at is the larger of this row's two powers, and the other one is below it
+            lower = powered[:, 0] < at[0]
+            wanted &= ~(lower[a][:, None] & lower[b][None, :])
+            _, roots = np.unique(np.array(root, "S16"), return_inverse=True)
+            named = np.array([x is not None for x in root])
+            wanted &= ~((roots[a][:, None] == roots[b][None, :]) & named[a][:, None] & named[b][None, :])
+            if alone:
+                np.fill_diagonal(wanted, False)
+            if not wanted.any():
+                continue
+            words = np.frombuffer(b"".join(fp), "<u8").reshape(len(node), -1)
+            pairs = near(words[a], RADIUS, None if alone else words[b], wanted)
+            if pairs is None:
                 continue
-            pairs = possible(np.array(size), np.frombuffer(b"".join(counts), "uint8").reshape(len(node), -1), similarity)
-            found += [(g, level[i], node[i]) for i in np.flatnonzero(pairs.any(1))]
+            some = {*a[pairs.any(1)].tolist(), *b[pairs.any(0)].tolist()}
+            found += [(g, level[0], x) for x in {node[i] for i in some}]
             if len(found) > 10_000:
                 yield out()
                 found = []
         yield out()
 
-    return grouped.repartition("g").sortWithinPartitions("g").select("g", "level", "node", "size", "counts").mapInArrow(run, "g long, level int, node binary")
+    return blocks.repartition("g").sortWithinPartitions("g").select(*columns).mapInArrow(run, "g long, level int, node binary")
 
 
 def _parts(texts: DataFrame, shingle: int) -> DataFrame:
@@ -485,15 +492,44 @@ def _similar_links(parts: DataFrame, similarity: float) -> DataFrame:
     return parts.repartition("g").sortWithinPartitions("g", "part").mapInArrow(run, "a binary, b binary")
 
 
-def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, minima: int = 5) -> DataFrame:
+def _linked(blocks: DataFrame, rows: DataFrame, text: str, node: str, shingle: int, similarity: float) -> DataFrame:
+    """Links of the blocks: candidates by fingerprint, then their whole sets, made anew from one text of each node."""
+    some = written(_candidates(blocks), "candidates")
+    wanted = written(some.groupBy("node").agg(F.collect_list(F.struct("g", "level")).alias("at")), "wanted")
+    texts = rows.select(F.col(node).alias("node"), text_or_empty(text).alias("text"))
+    texts = sieved(texts, [F.col("node")], wanted, [F.col("node")], "maybe").where("maybe")
+    # one text stands for each node, chosen before the shuffle: a large group of copies sends one text from each task
+    one = texts.groupBy("node").agg(F.first("text").alias("text"))
+    return written(_similar_links(_parts(one.join(wanted, "node"), shingle), similarity), "near")
+
+
+def _crossing(hot: DataFrame, roots: DataFrame, band: list[str]) -> DataFrame:
+    """Blocks in which the rows outside the largest group of a large bucket meet all its rows; ``roots``: node, root of the links so far."""
+    rooted = written(hot.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r"), "rooted")
+    sizes = rooted.groupBy(*band, "root").agg(F.count(F.lit(1)).alias("size"))
+    top = sizes.groupBy(*band).agg(F.max(F.struct("size", "root")).alias("top")).select(*band, F.col("top.root").alias("largest"), F.col("top.size").alias("most"))
+    k = lambda x: F.greatest(F.lit(1), F.ceil(x / WIDE)).cast("int")
+    met = rooted.join(written(top, "top"), band).where("most < n").withColumn("k0", k(F.col("n") - F.col("most"))).withColumn("k1", k(F.col("n")))
+    own = F.xxhash64("node")
+    inner = met.where("root <> largest").withColumn("i", F.pmod(own, F.col("k0")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k1") - 1))).withColumn("side", F.lit(0))
+    every = met.withColumn("j", F.pmod(own, F.col("k1")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k0") - 1))).withColumn("side", F.lit(1))
+    return inner.unionByName(every).withColumn("g", F.xxhash64(*band, "i", "j"))
+
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 8, width: int = 2) -> DataFrame:
     """The rows of ``docs``, with one row of each group of similar texts: the one of least id (null ids last).
 
     Similar: a Jaccard similarity of ``similarity`` or more over the sets of word shingles. Rows of equal sets are one
-    node. Two nodes are compared if they share one of ``minima`` minimal shingle hashes, whatever the size of that
-    bucket; ``possible`` leaves out only pairs that cannot be similar, and all others are compared by their whole sets.
+    node. Two nodes meet if they share one of ``bands`` keys of ``width`` minimal shingle hashes, whatever the size of
+    that bucket (at similarity 0.8 one pair of 3500 shares none); their fingerprints are compared bit-sliced, and pairs within RADIUS by
+    their whole sets.
     """
     from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("similarity is from 0.5 to 1")
+    row, node, keys, size, fp, least = unused(docs, "near_row", "near_node", "near_keys", "near_size", "near_fp", "near_least")
+
     def run(batches):
         import hashlib
 
@@ -501,36 +537,60 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         import pyarrow as pa
 
         for batch in batches:
-            nodes, least, sizes, counts = [], [], [], []
+            nodes, own_keys, sizes, fps = [], [], [], []
             for raw in binary_rows(batch, text_col):
                 once = np.unique(shingle_hashes(raw, shingle))
                 nodes.append(hashlib.blake2b(once.astype("<u8").tobytes(), digest_size=16).digest())
-                least.append([int(mixed(once, k + 3).min().astype("int64")) for k in range(minima)] if len(once) else [0] * minima)
+                own_keys.append(_keys(once, bands, width))
                 sizes.append(len(once))
-                counts.append(counted(once))
-            made = [pa.array(nodes, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "__node", "__least", "__size", "__counts"])
-
-    kind = StructType([*docs.schema.fields, StructField("__node", BinaryType()), StructField("__least", ArrayType(LongType())), StructField("__size", LongType()), StructField("__counts", BinaryType())])
-    rows = written(lean(docs).mapInArrow(run, kind).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    nodes = rows.groupBy(F.col("__node").alias("node")).agg(F.first(F.struct(F.col("__least").alias("rest"), F.col("__size").alias("size"), F.col("__counts").alias("counts"))).alias("x"))
-    nodes = written(nodes.select("node", "x.rest", "x.size", "x.counts"), "nodes")
+                fps.append(sketch(once) if len(once) else bytes(BITS // 8))
+            made = [pa.array(nodes, pa.binary()), pa.array(own_keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, node, keys, size, fp])
+
+    kind = StructType([*docs.schema.fields, StructField(node, BinaryType()), StructField(keys, ArrayType(LongType())), StructField(size, LongType()), StructField(fp, BinaryType())])
+    rows = written(lean(docs).mapInArrow(run, kind).withColumn(row, F.monotonically_increasing_id()), "rows")
+    nodes = rows.groupBy(F.col(node).alias("node")).agg(F.first(F.struct(F.col(keys).alias("keys"), F.col(size).alias("size"), F.col(fp).alias("fp"))).alias("x"))
     # sets of that similarity have sizes within it, and so a power of two below both or below the larger and the smaller over it
-    power = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1)) + F.lit(0.5)))
-    powers = F.array_distinct(F.array(power(F.col("size")), power(F.ceil(F.col("size") / F.lit(similarity)))))
-    placed = nodes.select("node", F.explode(powers).alias("power"), "rest").select("node", "power", F.posexplode("rest").alias("path", "least"))
-    placed = placed.select("node", F.col("path").cast("long").alias("path"), F.xxhash64("least", "power").alias("key"), F.greatest(F.col("power") + 1 - int(math.log2(SET_SIZE)), F.lit(0)).cast("int").alias("level"))
-    buckets = written(placed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    met = placed.join(buckets, ["path", "key"])
-    grouped = met.where(F.col("n") <= BLOCK).select(F.xxhash64("path", "key").alias("g"), "node", "level").unionByName(_cells(met.where(F.col("n") > BLOCK), ["path", "key"]))
-    some = written(_candidates(grouped.join(nodes.select("node", "size", "counts"), "node"), similarity), "candidates")
-    wanted = written(some.groupBy("node").agg(F.collect_list(F.struct("g", "level")).alias("at")), "wanted")
-    # the shingle sets of nodes with a candidate only; one text stands for each node
-    # chosen before the shuffle, so that a large group of copies sends one text from each task
-    texts = rows.select(F.col("__node").alias("node"), text_or_empty(text_col).alias("text")).groupBy("node").agg(F.first("text").alias("text"))
-    roots = components(written(_similar_links(_parts(texts.join(wanted, "node"), shingle), similarity), "near"))
-    own = rows.select("__row", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("__row").alias("r")).alias("__at"), "__node")
-    grouped = written(own.join(roots.withColumnRenamed("node", "__node"), "__node", "left").select("__row", "__at", F.coalesce("root", "__node").alias("__root")), "grouped")
-    stays = written(grouped.groupBy("__root").agg(F.min("__at").alias("stay"), F.count(F.lit(1)).alias("n")).where("n > 1").select("__root", F.col("stay.r").alias("stay")), "stays")
-    leave = written(grouped.join(stays, "__root").where("stay <> __row").select("__row"), "leave")
-    return rows.join(leave, "__row", "left_anti").select(*docs.columns)
+    power = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1)) + F.lit(0.5))).cast("int")
+    nodes = written(nodes.select("node", "x.keys", F.array(power(F.col("x.size")), power(F.ceil(F.col("x.size") / F.lit(similarity)))).alias("powers"), "x.fp"), "nodes")
+    placed = nodes.withColumn("at", F.explode(F.array_distinct("powers"))).select("*", F.posexplode("keys").alias("band", "key"))
+    placed = placed.withColumn("level", F.greatest(F.col("at") + 1 - int(math.log2(SET_SIZE)), F.lit(0)))
+    bucket = ["band", "key", "at"]
+    buckets = written(placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1"), "buckets")
+    met = placed.join(buckets, bucket).withColumn("root", F.lit(None).cast("binary")).withColumn("side", F.lit(0))
+    hot = written(met.where(F.col("n") > BLOCK), "hot")
+    # sub-blocks of a large bucket, its first row in each
+    blocks = met.where(F.col("n") <= BLOCK).withColumn("g", F.xxhash64(*bucket))
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        k = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
+        part = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0), k - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), k).cast("int")))
+        blocks = blocks.unionByName(hot.withColumn("part", F.explode(part)).withColumn("g", F.xxhash64(*bucket, "part")).drop("part"))
+    links = _linked(blocks, rows, text_col, node, shingle, similarity)
+    roots = components(links)
+    if some_hot:
+        more = _linked(_crossing(hot, roots, bucket), rows, text_col, node, shingle, similarity)
+        roots = components(written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "near"))
+    # ties of one id by the other columns, so that the row that stays is the same on every run
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    content = F.xxhash64(F.col(text_col), F.to_json(F.struct(*rest)) if rest else F.lit(""))
+    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), content.alias("h"), F.col(row).alias("r"))
+    grouped = written(rows.select(F.col(row).alias("row"), order.alias("at"), F.col(node).alias("node")).join(roots, "node", "left").select("row", "at", F.coalesce("root", "node").alias("root")), "grouped")
+    stays = written(grouped.groupBy("root").agg(F.min("at").alias("stay"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("stay.r").alias("stay")), "stays")
+    leave = written(grouped.join(stays, "root").where("stay <> row").select(F.col("row").alias(least)), "leave")
+    # rows that surely stay do not travel
+    split = sieved(rows.select(*docs.columns, row), [F.col(row)], leave, [F.col(least)], size)
+    return split.where(~F.col(size)).select(*docs.columns).unionByName(split.where(F.col(size)).join(leave, F.col(row) == F.col(least), "left_anti").select(*docs.columns))
+
+
+def _keys(once, bands: int, width: int) -> list[int]:
+    """The keys of a set of hashes by which it meets others."""
+    import numpy as np
+
+    if not len(once):
+        return [0] * bands
+    own = np.array([mixed(once, k + 8).min() for k in range(bands * width)]).reshape(bands, width)
+    out = own[:, 0]
+    for j in range(1, width):
+        out = mixed(out, 1) ^ own[:, j]
+    return out.view("int64").tolist()

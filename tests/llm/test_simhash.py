@@ -96,16 +96,22 @@ def test_one_row_of_each_similar_group_stays(spark, monkeypatch):
     assert sorted(str(r.doc_id) for r in got.collect()) == sorted(map(str, [*(g * 100 for g in range(6)), *(1000 + i for i in range(40)), 5000, None]))
 
 
-def test_similarity_of_sets_exact_and_cut_off(monkeypatch):
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 62, 300).astype("uint64")
-    rows = [np.unique(np.concatenate([base[: 300 - 15 * k], rng.integers(0, 1 << 62, 15 * k).astype("uint64")])) for k in range(6)] + [np.zeros(0, "uint64")] * 2
-    want = [[i != j and (not len(a) and not len(b) or len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))) for j, b in enumerate(rows)] for i, a in enumerate(rows)]
-    every = ~np.eye(len(rows), dtype=bool)
-    assert (S.similar(every, [r.tobytes() for r in rows], 0.8) == np.array(want)).all()
-    monkeypatch.setattr(S, "SET_SIZE", 100)
-    got = S.similar(every, [r[:100].tobytes() for r in rows], 0.8)
-    assert got[0, 1] and got[1, 0] and not got[0, 5] and not S.similar(every & False, [r.tobytes() for r in rows], 0.8).any()
+def test_fingerprints_of_similar_sets_are_within_the_radius():
+    rng = np.random.default_rng(3)
+    words = lambda x: np.frombuffer(x, "<u8")
+    far = 0
+    for shared, a, b in [(4, 1, 0), (4, 1, 0), (8, 1, 1), (12, 3, 0), (80, 10, 10), (80, 20, 0), (800, 100, 100)] * 40:
+        made = rng.integers(0, 1 << 63, shared + a + b).astype("uint64")
+        x, y = np.unique(made[: shared + a]), np.unique(np.concatenate([made[:shared], made[shared + a :]]))
+        rows = np.stack([words(S.sketch(x)), words(S.sketch(y))])
+        assert S.near(rows, S.RADIUS) is not None
+        far = max(far, sum(int(v).bit_count() for v in rows[0] ^ rows[1]))
+    assert 40 < far <= S.RADIUS
+    # a block without a pair that matters is abandoned, and pairs that do not matter are left out
+    rows = np.stack([words(S.sketch(rng.integers(0, 1 << 63, 50).astype("uint64"))) for _ in range(70)])
+    assert S.near(rows, S.RADIUS) is None and S.near(rows[:3], S.RADIUS, rows[3:]) is None
+    assert S.near(rows[:2], S.RADIUS, rows[1:4]).tolist() == [[False] * 3, [True, False, False]]
+    assert S.near(rows[:2], S.RADIUS, rows[1:4], np.zeros((2, 3), bool)) is None
 
 
 def _left(spark, texts, **more):
@@ -154,10 +160,11 @@ def test_large_buckets_and_cut_sets_against_brute_force(spark, monkeypatch):
     rng = random.Random(13)
     base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
     texts = [" ".join([*base[: 7 * i], f"edit{i}", *base[7 * i + 1 :]]) for i in range(40)]
-    minimum = [int(S.mixed(np.unique(S.shingle_hashes(t.encode(), 5)), 3).min().astype("int64")) for t in texts]
+    monkeypatch.setattr(S, "WIDE", 4)
+    minimum = [S._keys(np.unique(S.shingle_hashes(t.encode(), 5)), 1, 1)[0] for t in texts]
     assert max(Counter(minimum).values()) > 16
     # rows of a bucket that is too large share this one minimum and no other
-    assert _left(spark, texts, minima=1) == _stays(texts, lambda i, j: minimum[i] == minimum[j])
+    assert _left(spark, texts, bands=1, width=1) == _stays(texts, lambda i, j: minimum[i] == minimum[j])
     monkeypatch.setattr(S, "SET_SIZE", 16)
     texts = []
     for g in range(30):  # on both sides of the threshold, by one shingle
@@ -166,6 +173,31 @@ def test_large_buckets_and_cut_sets_against_brute_force(spark, monkeypatch):
     assert len(_stays(texts)) == 60
     assert _left(spark, texts) == _stays(texts)
 
+
+def test_rows_outside_the_largest_group_meet_all_others(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    monkeypatch.setattr(S, "WIDE", 3)
+    shared = [f"w{i}" for i in range(200)]
+    # one bucket of a large group, of pairs and of single rows
+    texts = [" ".join([*shared, *(f"a{k}" for k in range(60)), f"b{i}"]) for i in range(30)]
+    texts += [" ".join([*shared, *(f"p{i // 2}x{k}" for k in range(90)), f"c{i}"]) for i in range(24)]
+    texts += [" ".join([*shared, *(f"s{i}x{k}" for k in range(90))]) for i in range(12)]
+    key = [S._keys(np.unique(S.shingle_hashes(t.encode(), 5)), 1, 1)[0] for t in texts]
+    assert max(Counter(key).values()) > 40
+    assert _left(spark, texts, bands=1, width=1) == _stays(texts, lambda i, j: key[i] == key[j])
+
+
+def test_clashing_columns_ties_and_long_texts(spark):
+    long = " ".join(f"l{i}" for i in range(30000))
+    rows = [(1, long, "b", 1), (1, long, "a", 1), (1, long, "a", 1), (2, long + " end", "c", 1), (3, "other " + long[: len(long) // 2], "c", 1), (4, None, "x", 1), (4, "", "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_row string, root int").selectExpr("*", "'n' AS node", "1 AS near_size", "2 AS `at`", "3 AS row")
+    got = [(r.doc_id, r.near_row) for r in S.distinct_rows(docs).collect()]
+    assert S.distinct_rows(docs).columns == docs.columns
+    assert [i for i, _ in sorted(got)] == [1, 3, 4]
+    assert sorted(got) == sorted((r.doc_id, r.near_row) for r in S.distinct_rows(docs.orderBy(docs.near_row.desc())).collect())
+    assert S.near_duplicates(docs).where("component_id = 1").count() >= 3
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0
