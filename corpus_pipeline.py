@@ -8,15 +8,21 @@
 
 Stages 1 to 4 return the columns of ``documents``; stage 5 returns doc_id,
 n_tokens, ids_sha256 and decoded_sha256.
+
+Defined cases, for every stage: a null text counts as empty, and empty texts are
+documents like others (equal and similar to each other, no benchmark window, no
+token); a null id is an id (below all others in exact, after all others in near);
+ties and repeated rows leave one row, the least by its other columns; very long
+texts are read whole; an empty table stays empty; further columns pass through
+stages 1 to 4 under whatever name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loamstack.llm import bpe_transducer, cotrain, decontaminate, exact_dedup, simhash
-from loamstack.llm.common import text_or_empty, written
+from loamstack.llm.common import written
 
 #: SQL can express neither the classifier nor the fingerprints.
 ORACLE_SQL = None
@@ -27,18 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = written(exact_dedup.exact_duplicates(docs), "verdict")
-    leave = verdict.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    stay = verdict.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    # a row that both leaves and stays is a repeat of itself: one copy stays
-    repeats = leave.join(stay, leave["__id"].eqNullSafe(stay["__id"]) & (leave["__sha"] == stay["__sha"]), "left_semi").distinct()
-    repeats = written(repeats, "repeats")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.sha2(text_or_empty().cast("binary"), 256) == F.col("__sha"))
-    gone = docs.join(leave, same, "left_anti")
-    if repeats.isEmpty():
-        return gone
-    one = docs.join(repeats, same, "left_semi").withColumn("__sha", F.sha2(text_or_empty().cast("binary"), 256))
-    return gone.unionByName(one.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns))
+    return exact_dedup.exact_rows(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
