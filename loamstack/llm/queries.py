@@ -71,7 +71,7 @@ SELECT list_name, pattern, action, {day}(DATE '2024-01-01', CAST(d AS INT)) AS e
   UNION ALL SELECT CASE WHEN v % 3 = 0 THEN 'ads' ELSE 'spam' END, h, 'add', v % 180 + 150 FROM v WHERE v % 3 < 2 AND v % 4 = 0
   UNION ALL SELECT 'locale', h || '/fr/', 'add', v % 90 FROM v WHERE v % 5 = 0
   UNION ALL SELECT 'wide', 'example.org', 'add', 300
-  UNION ALL SELECT 'wide', 'example.org', 'remove', 330
+  UNION ALL SELECT 'wide', 'Example.ORG', 'remove', 330
   UNION ALL SELECT 'wide', 'ads-track.example.com', 'add', 100
 ) e"""
 
@@ -92,9 +92,10 @@ _OP4_ORACLE = (
     "captures AS (" + _CAPTURES.replace("{day}(DATE '2024-01-01', CAST((page_id * 37) % 366 AS INT))", "CAST(DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INT) AS DATE)") + "), "
     """hosts AS (SELECT *, rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.') AS host,
       regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM captures),
-    spans AS (SELECT list_name, split_part(pattern, '/', 1) AS domain,
-      CASE WHEN contains(pattern, '/') THEN substring(pattern, strpos(pattern, '/')) ELSE '' END AS prefix, action, effective_on AS valid_from,
-      lead(effective_on) OVER (PARTITION BY list_name, pattern ORDER BY effective_on, action) AS valid_to FROM entries),
+    known AS (SELECT DISTINCT list_name, lower(split_part(pattern, '/', 1)) AS domain,
+      CASE WHEN contains(pattern, '/') THEN substring(pattern, strpos(pattern, '/')) ELSE '' END AS prefix, action, effective_on FROM entries),
+    spans AS (SELECT list_name, domain, prefix, action, effective_on AS valid_from,
+      lead(effective_on) OVER (PARTITION BY list_name, domain, prefix ORDER BY effective_on, action) AS valid_to FROM known),
     hits AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists, max(valid_from) AS since
       FROM hosts JOIN spans ON action = 'add' AND valid_from <= fetched_on AND (valid_to IS NULL OR valid_to > fetched_on)
       AND (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY page_id)
