@@ -2,16 +2,19 @@
 
 Two logistic classifiers see different features of a document: its text
 (character and word statistics, hashed word shapes, hashed words) and its
-metadata (source, language, declared length, line layout). Both start from a
-bounded labelled sample. In every round each scores a bounded unlabelled pool
-with calibrated probabilities, and its most confident rows become training rows
-of the other with the predicted label. At last both views are calibrated on
-labelled rows that neither has trained on, and a logistic combination of the
-calibrated views scores every document.
+metadata (source, language, declared length, line layout). Features of every row
+are made once and written. Both classifiers start from a bounded labelled sample.
+In every round each scores all unlabelled rows outside the held-out fold with
+calibrated probabilities, and its most confident different rows, found by a
+distributed top k, become training rows of the other with the predicted label. At
+last both views are calibrated on labelled rows that neither has trained on, and
+a logistic combination of the calibrated views scores every document.
 
 Labels are learned only outside the held-out fold. Defined cases: null text is
-empty; null or missing metadata has its own feature; without labels of both
-kinds every score is the labels' rate, or 1 without any label.
+empty; null or missing metadata has its own feature; very long texts count whole;
+repeated rows count once as pseudo-labels and are scored alike; ties of confidence
+go by a hash of the features; an empty table gives an empty result; without labels of both
+kinds every score is the labels' rate, or 1 without any label; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from operator import eq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_rows, fold, lean, text_or_empty, written
+from loamstack.llm.common import binary_rows, fold, lean, text_or_empty, unused, written
 from loamstack.llm.sampling import sampled, thinned
 
-#: Bounds of the fit: labelled rows of each label, rows of the pool, bytes of a fitted row, rounds, rows of each label added in a round.
-LABELLED, POOL, ROW_BYTES, ROUNDS, ADDED = 2500, 5000, 1 << 16, 4, 400
+#: Labelled rows of each label (a bound of the sample), rounds, rows of each label that a view teaches in a round.
+LABELLED, ROUNDS, ADDED = 2500, 4, 400
 #: A row is confident from this calibrated probability on, or below its complement.
 CONFIDENT = 0.98
 SHAPES, WORDS, SOURCES, LANGS = 256, 512, 64, 16
@@ -132,8 +135,8 @@ class Logistic:
 class Views:
     """The two views, calibrated, and their combination."""
 
-    def __init__(self, labelled, pool, rate: float):
-        """``labelled``: (text features, metadata features, label) of each row; ``pool``: the same without label."""
+    def __init__(self, labelled, teach, rate: float):
+        """``labelled``: (text features, metadata features, label) of each row; ``teach(views)``: for each view, the same of new rows that the other view is sure of."""
         import numpy as np
 
         self.rate, self.ready = rate, False
@@ -141,32 +144,29 @@ class Views:
         if len(set(y.tolist())) < 2 or min((y == 0).sum(), (y == 1).sum()) < 10:
             return
         views = [np.stack([r[k] for r in labelled]) for k in (0, 1)]
-        rest = [np.stack([r[k] for r in pool]) if pool else views[k][:0] for k in (0, 1)]
         # every fifth row of each label only calibrates
         held = np.zeros(len(y), bool)
         for v in (0, 1):
             held[np.flatnonzero(y == v)[::5]] = True
         prior = np.where(y == 1, rate / (y == 1).sum(), (1 - rate) / (y == 0).sum())
         even = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum())
-        extra: list[dict[int, float]] = [{}, {}]
+        extra: list[list] = [[], []]
         for step in range(ROUNDS + 1):
             self.models, self.curves = [], []
             for k in (0, 1):
-                more = sorted(extra[k])
-                x = np.concatenate([views[k][~held], rest[k][more]])
-                t = np.concatenate([y[~held], [extra[k][i] for i in more]])
-                w = np.concatenate([even[~held], np.full(len(more), 0.5 / len(y))])
+                x = np.stack([*views[k][~held], *(r[k] for r in extra[k])])
+                t = np.concatenate([y[~held], [r[2] for r in extra[k]]])
+                w = np.concatenate([even[~held], np.full(len(extra[k]), 0.5 / len(y))])
                 model = Logistic().fit(x, t, w)
                 self.models.append(model)
                 self.curves.append(Logistic(0.1).fit(model.margin(views[k][held])[:, None], y[held], prior[held]))
-            if step == ROUNDS or not len(rest[0]):
+            if step == ROUNDS:
                 break
-            for k in (0, 1):  # each teaches the other
-                p = self.view(k, rest[k])
-                for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    order = np.argsort(-sure, kind="stable")
-                    fresh = [int(i) for i in order if sure[i] >= CONFIDENT and int(i) not in extra[1 - k]][:ADDED]
-                    extra[1 - k].update(dict.fromkeys(fresh, label))
+            found = teach(self)
+            if not any(found):
+                break
+            for own, more in zip(extra, found):
+                own.extend(more)
         self.taught = [len(e) for e in extra]
         both = np.stack([_logit(self.view(k, views[k][held])) for k in (0, 1)], 1)
         self.final = Logistic(0.1).fit(both, y[held], prior[held])
@@ -202,69 +202,153 @@ def _features(batch, text: str, source: str, lang: str, declared: str, slots: _S
     return np.stack([a for a, _ in both]), np.stack([b for _, b in both])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text") -> Views:
-    """Fit on about LABELLED rows of each label and POOL other rows, of at most ROW_BYTES bytes each; their features go to the driver."""
-    known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where((fold(5) != 0) & F.col("label").isin(0, 1)).distinct()
-    n, ones = known.agg(F.count(F.lit(1)), F.sum("label")).first()
-    rate = (ones or 0) / n if n else 1.0
-    chosen = sampled(known, ["doc_id"], LABELLED, "label")
-    fits = docs.where(F.octet_length(text_or_empty(text_col)) <= ROW_BYTES)
-    # the chosen labels are a bounded sample: about 2 * LABELLED rows of two numbers
-    labelled = fits.select("doc_id", *_inputs(docs, text_col)).join(F.broadcast(chosen), "doc_id")
-    pool = sampled(docs, ["doc_id"], POOL).where((fold(5) != 0) & (F.octet_length(text_or_empty(text_col)) <= ROW_BYTES)).select("doc_id", *_inputs(docs, text_col), F.lit(-1).alias("label"))
+A, B, KEY = "view_a", "view_b", "view_key"
+
+
+def featured(docs: DataFrame, keep: list[str], text_col: str = "text") -> tuple[DataFrame, tuple[str, str, str]]:
+    """``keep`` of every row with both feature vectors and their hash, as a written table, and the names of these three columns."""
+    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+
+    kept = docs.select(*keep)
+    text, source, lang, declared, a, b, key = unused(kept, "q_text", "q_source", "q_lang", "q_declared", A, B, KEY)
+    wide = docs.select(*keep, *[c.alias(n) for c, n in zip(_inputs(docs, text_col), (text, source, lang, declared))])
+    if text_col in keep:  # no second copy of the text; its nulls are empty
+        wide, text = wide.drop(text), text_col
 
     def run(batches):
+        import hashlib
+
         import pyarrow as pa
 
         slots = _Slots()
         for batch in batches:
-            text, meta = _features(batch, "text", "source", "lang", "declared", slots)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["id", "label", "a", "b"])
+            x, y = _features(batch, text, source, lang, declared, slots)
+            rows = [(p.tobytes(), q.tobytes()) for p, q in zip(x, y)]
+            keys = [int.from_bytes(hashlib.blake2b(p + q, digest_size=8).digest(), "little", signed=True) for p, q in rows]
+            made = [pa.array([p for p, _ in rows], pa.binary()), pa.array([q for _, q in rows], pa.binary()), pa.array(keys, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, a, b, key])
 
+    kind = StructType([*kept.schema.fields, StructField(a, BinaryType()), StructField(b, BinaryType()), StructField(key, LongType())])
+    return written(lean(wide).mapInArrow(run, kind), "features"), (a, b, key)
+
+
+def _vectors(batch, names):
     import numpy as np
 
-    rows = labelled.select("doc_id", "text", "source", "lang", "declared", "label").unionByName(pool)
-    table = written(lean(rows).mapInArrow(run, "id string, label int, a binary, b binary"), "features")
-    rows = thinned(table, 4 * (LABELLED + POOL)).collect()
-    rows = sorted(rows, key=lambda r: (r["id"] or "", r["label"], bytes(r["a"])))
-    vectors = [(np.frombuffer(r["a"], "float32"), np.frombuffer(r["b"], "float32"), r["label"]) for r in rows]
-    return Views([v for v in vectors if v[2] >= 0], [v for v in vectors if v[2] < 0], rate)
+    return [np.frombuffer(b"".join(batch.column(c).to_pylist()), "float32").reshape(batch.num_rows, -1) for c in names]
 
 
-def score(docs: DataFrame, model: Views, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """id_col, held_out, score (probability of label 1), text_score, meta_score, accepted for each row."""
-    source = docs.select(F.col(id_col).alias("id"), (fold(5, id_col) == 0).alias("held_out"), *_inputs(docs, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def surest(views: Views, a, b, keys, taught, added: int = ADDED) -> list[tuple[int, int, float, int]]:
+    """(teacher, label, certainty, key) of the ``added`` surest different rows of each teacher and label that the other view has not been taught."""
+    import numpy as np
+
+    out = []
+    keys = np.asarray(keys, "int64")
+    for k, x in enumerate((a, b)):
+        p = np.round(views.view(k, x), 9) if len(x) else np.zeros(0)
+        for label, sure in ((1, p), (0, 1 - p)):
+            at = np.flatnonzero(sure >= CONFIDENT)
+            some = {int(i): float(s) for i, s in zip(keys[at], sure[at]) if int(i) not in taught[1 - k]}
+            out += [(k, label, s, i) for i, s in sorted(some.items(), key=lambda r: (-r[1], r[0]))[:added]]
+    return out
+
+
+def fit(table: DataFrame, names: tuple[str, str, str], labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Views:
+    """Fit on the table of ``featured``: about LABELLED rows of each label, and all other rows outside the held-out fold for the exchange.
+
+    To the driver go the features of the labelled sample and of the rows that are taught, ADDED at most of each view and label in a round.
+    """
+    import numpy as np
+
+    a, b, key = names
+    known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where((fold(5) != 0) & F.col("label").isin(0, 1)).distinct()
+    n, ones = known.agg(F.count(F.lit(1)), F.sum("label")).first()
+    rate = (ones or 0) / n if n else 1.0
+    # the chosen labels are a bounded sample: about 2 * LABELLED rows of two numbers
+    chosen = written(sampled(known, ["doc_id"], LABELLED, "label"), "chosen")
+    rows = table.select(F.col(id_col).alias("doc_id"), F.col(a).alias(A), F.col(b).alias(B), F.col(key).alias(KEY))
+    own = thinned(written(rows.join(F.broadcast(chosen), "doc_id"), "labelled"), 8 * LABELLED).collect()
+    own = sorted(own, key=lambda r: (str(r["doc_id"]), r["label"], bytes(r[A])))
+    pool = rows.where(fold(5) != 0).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_anti").select(A, B, KEY)
+    taught: list[set[int]] = [set(), set()]
+    spark = table.sparkSession
+
+    def teach(views: Views):
+        shared = spark.sparkContext.broadcast((views, taught))
+
+        def run(batches):
+            import pyarrow as pa
+
+            views, done = shared.value
+            best: list = []
+            for batch in batches:
+                if batch.num_rows:
+                    best += surest(views, *_vectors(batch, (A, B)), batch.column(KEY).to_pylist(), done)
+                    best = _merged(best)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in best], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["teacher", "label", "sure", "key"])
+
+        found = written(pool.mapInArrow(run, "teacher int, label int, sure double, key long").distinct(), "sure")
+        top = None
+        for k in (0, 1):
+            for label in (0, 1):
+                one = found.where(f"teacher = {k} AND label = {label}").orderBy(F.desc("sure"), "key").limit(ADDED)
+                top = one if top is None else top.unionByName(one)
+        top = top.collect()
+        keys = spark.createDataFrame(sorted({(r["key"],) for r in top}), f"{KEY} long")
+        vectors = {r[KEY]: (np.frombuffer(r[A], "float32"), np.frombuffer(r[B], "float32")) for r in pool.join(F.broadcast(keys), KEY).dropDuplicates([KEY]).collect()}
+        out: list[list] = [[], []]
+        for r in sorted(top, key=lambda r: (r["teacher"], r["label"], -r["sure"], r["key"])):
+            taught[1 - r["teacher"]].add(r["key"])
+            out[1 - r["teacher"]].append((*vectors[r["key"]], float(r["label"])))
+        return out
+
+    return Views([(np.frombuffer(r[A], "float32"), np.frombuffer(r[B], "float32"), r["label"]) for r in own], teach, rate)
+
+
+def _merged(best: list, added: int = ADDED) -> list:
+    """The ``added`` surest different rows of each teacher and label."""
+    kept: dict = {}
+    for r in sorted(set(best), key=lambda r: (r[0], r[1], -r[2], r[3])):
+        own = kept.setdefault(r[:2], [])
+        if len(own) < added:
+            own.append(r)
+    return [r for own in kept.values() for r in own]
+
+
+def score(table: DataFrame, names: tuple[str, str, str], model: Views, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """id_col, held_out, score (probability of label 1), text_score, meta_score, accepted for each row of the table of ``featured``."""
+    source = table.select(F.col(id_col).alias("id"), (fold(5, id_col) == 0).alias("held_out"), *(F.col(c) for c in names[:2]))
+    shared = table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
-        slots, views = _Slots(), shared.value
+        views = shared.value
         for batch in batches:
-            a, b, both = views.scores(*_features(batch, "text", "source", "lang", "declared", slots))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), *(pa.array(x, pa.float64()) for x in (both, a, b)), pa.array(both >= threshold, pa.bool_())], names=["id", "held_out", "score", "text_score", "meta_score", "accepted"])
+            if batch.num_rows:
+                a, b, both = views.scores(*_vectors(batch, names[:2]))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), *(pa.array(x, pa.float64()) for x in (both, a, b)), pa.array(both >= threshold, pa.bool_())], names=["id", "held_out", "score", "text_score", "meta_score", "accepted"])
 
-    return lean(source).mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, text_score double, meta_score double, accepted boolean").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, text_score double, meta_score double, accepted boolean").withColumnRenamed("id", id_col)
 
 
-def accepted(docs: DataFrame, model: Views, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the combined views accept, with their columns as they are."""
-    extra = {"text": "__text", "source": "__source", "lang": "__lang", "declared": "__declared"}
-    wide = docs.select("*", *[c.alias(n) for c, n in zip(_inputs(docs, text_col), extra.values()) if n != "__text"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    table, names = featured(docs, docs.columns, text_col)
+    shared, columns = docs.sparkSession.sparkContext.broadcast(fit(table, names, labels, id_col)), docs.columns
 
     def run(batches):
         import pyarrow as pa
 
-        slots, views = _Slots(), shared.value
+        views = shared.value
         for batch in batches:
-            both = views.scores(*_features(batch, text_col, "__source", "__lang", "__declared", slots))[2]
-            keep = pa.array(both >= threshold, pa.bool_())
-            yield batch.select([n for n in batch.schema.names if n not in extra.values()]).filter(keep)
+            if batch.num_rows:
+                yield batch.select(columns).filter(pa.array(views.scores(*_vectors(batch, names[:2]))[2] >= threshold, pa.bool_()))
 
-    return lean(wide).mapInArrow(run, docs.schema)
+    return lean(table).mapInArrow(run, docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The query's form: fit outside the held-out fold, score every row."""
-    return score(docs, fit(docs, labels))
+    table, names = featured(docs, ["doc_id"])
+    return score(table, names, fit(table, names, labels))

@@ -49,4 +49,4 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
     got = [(r.doc_id, r.text or "") for r in P.exact(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(1, "a"), (None, ""), (3, "b"), (3, "c")], key=str)
     assert simhash.distinct_rows(P.exact(spark, docs.limit(0), "")).count() == 0
-    assert cotrain.accepted(docs, cotrain.Views([], [], 1.0)).count() == 7
+    assert cotrain.accepted(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 7
