@@ -29,7 +29,7 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cotrain.accepted(docs, cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return cotrain.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
