@@ -12,9 +12,12 @@ walks it for all bytes of a batch at once: the number of the string of length k
 that ends at a byte follows from the number of length k-1 that ends before it.
 Only bytes whose longest string is missing go down to shorter contexts.
 
-Letters are folded to lower case within ASCII and Latin-1. Defined cases: null
-text, or text without a letter, is ``und`` with score 0; without any training
-row every text is ``und``.
+Letters are folded to lower case within ASCII and Latin-1. Every string that the
+sample holds is in the trees. Defined cases: null text, or text without a letter, is
+``und`` with score 0; without any training row every text is ``und``; very long texts
+are read part by part; repeated rows get the same result; of equal code lengths the
+language first by name is taken; a null id counts as the empty text in the fold; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from loamstack.llm.common import binary_column, fold, lean, text_or_empty, written
 from loamstack.llm.sampling import sampled
 
-#: Bounds of the model: training rows of a language, bytes of a training row, longest context, strings of one length that a language keeps.
-ROWS_PER_LANGUAGE, ROW_BYTES, MAX_ORDER, STRINGS = 1500, 1 << 16, 4, 1 << 16
+#: Bounds of the labelled sample: training rows of a language, bytes of a training row. Longest context.
+ROWS_PER_LANGUAGE, ROW_BYTES, MAX_ORDER = 1500, 1 << 16, 4
+#: Cells of a table from (string, byte) to the longer string; beyond, the sorted keys are searched instead.
+DENSE = 1 << 25
 
 
 def folded(data):
@@ -73,18 +78,32 @@ class ContextTrees:
             self.escapes.append(escape.astype("float32"))
             ids.append(number)
 
-    def tables(self):
-        """Dense tables from (number, byte) to the longer string's number."""
+    def tables(self, dense: int = DENSE):
+        """Dense tables from (number, byte) to the longer string's number, or its sorted keys and their order where a table would be large."""
         import numpy as np
 
         self._next = []
         for k in range(self.depth):
             size = 1 if k == 0 else len(self.costs[k - 1])
-            table = np.zeros(size * 256, "int32")
-            table[self.keys[k]] = np.arange(1, len(self.keys[k]) + 1)
-            self._next.append(table)
+            if size * 256 <= dense or not len(self.keys[k]):
+                table = np.zeros(size * 256, "int32")
+                table[self.keys[k]] = np.arange(1, len(self.keys[k]) + 1)
+                self._next.append(table)
+            else:
+                order = np.argsort(self.keys[k], kind="stable")
+                self._next.append((self.keys[k][order], (order + 1).astype("int32")))
         return self
 
+    def _longer(self, k: int, at):
+        """The numbers of the strings of k + 1 bytes with the keys ``at``, 0 where there is none."""
+        import numpy as np
+
+        if not isinstance(self._next[k], tuple):
+            return self._next[k][at]
+        keys, number = self._next[k]
+        place = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+        return np.where(keys[place] == at, number[place], 0)
+
     def code_lengths(self, data, starts):
         """Bits of each text for each language. ``data``: the bytes of all texts; ``starts``: where each begins."""
         import numpy as np
@@ -94,7 +113,7 @@ class ContextTrees:
         inner = starts[starts < n]
         prev = np.zeros(n, "int64")
         for k in range(self.depth):
-            here = self._next[k][prev * 256 + x].astype("int64")
+            here = self._longer(k, prev * 256 + x).astype("int64")
             if k:
                 here[prev == 0] = 0
             ids.append((prev, here))
@@ -148,43 +167,23 @@ def _counted(rows: DataFrame, max_order: int) -> DataFrame:
     return lean(rows).mapInArrow(run, "lang string, string binary, n long").groupBy("lang", "string").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, max_order: int = MAX_ORDER, strings: int = STRINGS) -> ContextTrees | None:
-    """Trees from about ``rows_per_language`` rows of each language of at most ROW_BYTES bytes; the counts, at most ``strings`` of each length that a language keeps, go to the driver."""
+def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, max_order: int = MAX_ORDER) -> ContextTrees | None:
+    """Trees of all strings of about ``rows_per_language`` rows of each language of at most ROW_BYTES bytes; these counts go to the driver."""
     known = rows.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(f"lang IS NOT NULL AND octet_length(text) <= {ROW_BYTES}")
     counted = _counted(sampled(known, ["id"], rows_per_language, "lang").select("text", "lang"), max_order)
     # the counts of a bounded sample, made once for all lengths
-    table = written(counted.withColumn("k", F.length("string")), "strings")
-    # each language keeps its own strings; where they are too many a whole count class goes, so that prefixes and suffixes stay known
-    least: dict[tuple[str, int], int] = {}
-    held: dict[tuple[str, int], int] = {}
-    for r in sorted(table.groupBy("lang", "k", "n").agg(F.count(F.lit(1)).alias("strings")).collect(), key=lambda r: -r["n"]):
-        at = r["lang"], r["k"]
-        held[at] = held.get(at, 0) + r["strings"]
-        if held[at] > strings:
-            least.setdefault(at, r["n"] + 1)
-    languages = {lang for lang, _ in held}
-    limits = []
-    for lang in sorted(languages):
-        low = 1
-        for k in range(1, max_order + 2):
-            low = max(low, least.get((lang, k), 1))
-            limits.append((lang, k, low))
-    bounds = rows.sparkSession.createDataFrame(limits, "lang string, k int, least long")
-    wide = table.join(F.broadcast(bounds), ["lang", "k"]).groupBy("k", "string").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.max(F.col("n") >= F.col("least")).alias("kept"))
-    wide = written(wide.where("kept").drop("kept"), "kept")
-    counts = []
+    table = written(counted.groupBy("string").agg(F.collect_list(F.struct("lang", "n")).alias("by")).withColumn("k", F.length("string")), "strings")
+    counts, languages = [], set()
     for k in range(1, max_order + 2):
-        found = wide.where(F.col("k") == k).toArrow()
+        found = table.where(F.col("k") == k).select("string", "by").toArrow()
         counts.append([(s, {x["lang"]: x["n"] for x in by}) for s, by in zip(found.column("string").to_pylist(), found.column("by").to_pylist())])
+        languages.update(x for _, by in counts[-1] for x in by)
     names = sorted(languages)
     if not names:
         return None
     return ContextTrees(names, [{s: [by.get(x, 0) for x in names] for s, by in own} for own in counts])
 
 
-_LOADED: dict[int, ContextTrees] = {}
-
-
 def identify(docs: DataFrame, model: ContextTrees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, lang_pred, score (posterior of equal priors), bits (code length) for each row."""
     source = docs.select(F.col(id_col).alias("id"), (fold(5, id_col) == 0).alias("held_out"), text_or_empty(text_col).alias("text"))

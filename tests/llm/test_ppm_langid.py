@@ -27,7 +27,8 @@ def slow(counts, text, depth, lang):
     return total
 
 
-def test_code_lengths_are_exact():
+@pytest.mark.parametrize("dense", [0, 1 << 12, L.DENSE])
+def test_code_lengths_are_exact(dense):
     texts = [b"abracadabra abba", b"barbara ann \xc3\x89t\xc3\xa9"]
     counts = [{} for _ in range(4)]
     for lang, t in enumerate(texts):
@@ -35,7 +36,7 @@ def test_code_lengths_are_exact():
         for k in range(1, 5):
             for i in range(len(t) - k + 1):
                 counts[k - 1].setdefault(t[i : i + k], [0, 0])[lang] += 1
-    trees = L.ContextTrees(["x", "y"], counts).tables()
+    trees = L.ContextTrees(["x", "y"], counts).tables(dense)
     probe = [b"abra", b"", b"zzz", b"ann barb ABBA", b"\xc3\xa9\xc3\x89", b"abracadabra abba barbara"]
     got = trees.code_lengths(np.frombuffer(b"".join(probe), "uint8"), np.cumsum([0, *map(len, probe[:-1])]))
     want = [[slow(counts, p, 4, lang) for lang in (0, 1)] for p in probe]
@@ -59,7 +60,9 @@ def test_held_out_accuracy_and_edges(spark, small):
 def test_a_small_language_keeps_its_strings_beside_a_large_one(spark):
     big = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(26 * 20))
     docs = spark.createDataFrame([(i, big, "big") for i in range(20)] + [(99, "žluťoučký kůň", "small")], "doc_id long, text string, lang string")
-    trees = L.fit(docs, strings=300)
+    trees = L.fit(docs)
+    # every string of the sample is there
+    assert all(len(k) == len({t for x in (big, "žluťoučký kůň") for t in _strings(x.encode())[n]}) for n, k in enumerate(trees.keys))
     small = L.ContextTrees(["small"], [{s: [n] for s, n in own.items()} for own in _strings("žluťoučký kůň".encode())]).tables()
     data = np.frombuffer("žluťoučký kůň".encode(), "uint8")
     got = trees.tables().code_lengths(data, np.zeros(1, "int64"))[0][trees.languages.index("small")]
