@@ -1,9 +1,11 @@
 """Operator 6: toxicity by the nearest labelled examples.
 
 Examples are a bounded sample of labelled rows. Their terms are words and word
-prefixes of 4 to 6 characters, of which those that depend on the label by a
-chi-square test are kept; vectors are TF-IDF with (1 + ln tf) * ln(1 + n / df)
-and unit length. The inverted index divides the examples into blocks and keeps
+prefixes of 4 to 6 characters. All terms whose dependence on the label is shown by a
+chi-square test are in the index, however many they are; the others, mostly words that
+occur in a few texts only, carry no weight, since with all of them the nearest
+texts are those of like subject and not of like tone. Vectors are TF-IDF with
+(1 + ln tf) * ln(1 + n / df) and unit length. The inverted index divides the examples into blocks and keeps
 for every term and block the largest weight in it. A text's bound for a block is
 the sum of its weights times these maxima; blocks are scored exactly in order of
 their bounds until no bound passes the k-th best cosine, so the k nearest are exact.
@@ -13,7 +15,11 @@ themselves with each one left out, turns the vote into a probability at the
 labels' own rate; the neighbours are the evidence.
 
 Defined cases: null or empty text, and text without a known term, has no
-neighbour and gets the rate of such examples; without labels every score is 0.
+neighbour and gets the rate of such examples; without labels every score is 0; very
+long texts count whole; repeated rows get the same result, and repeated examples count
+as often as they are there; neighbours of equal cosine go by their place, which follows
+from their id; a null id counts as the empty text in the fold; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +33,8 @@ from pyspark.sql import functions as F
 from loamstack.llm.common import binary_rows, fold, lean, text_or_empty, written
 from loamstack.llm.sampling import sampled, thinned
 
-#: Bounds of the model: examples of each label, bytes of an example, terms, neighbours, examples of a block.
-EXAMPLES, EXAMPLE_BYTES, TERMS, NEIGHBOURS, BLOCK = 3000, 1 << 16, 4096, 12, 32
+#: Bounds of the labelled sample: examples of each label, bytes of an example. Neighbours, examples of a block.
+EXAMPLES, EXAMPLE_BYTES, NEIGHBOURS, BLOCK = 3000, 1 << 16, 12, 32
 #: Least chi-square of a term, and the fewest examples that hold it.
 CHI2, LEAST_DF = 25.0, 3
 _words = re.compile(r"[^\W\d_]+").findall
@@ -170,7 +176,7 @@ def examples_of(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", ro
     return thinned(written(joined.select(F.col("doc_id").alias("id"), "label", "text"), "examples"), 8 * rows), (ones or 0) / n if n else 0.0
 
 
-def fit(examples: DataFrame, rate: float, terms: int = TERMS, chi2: float = CHI2) -> Nearest | None:
+def fit(examples: DataFrame, rate: float, chi2: float = CHI2) -> Nearest | None:
     """The index over the examples; only bounded tables reach the driver."""
 
     def counted(batches):
@@ -191,8 +197,9 @@ def fit(examples: DataFrame, rate: float, terms: int = TERMS, chi2: float = CHI2
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     total, df = float(a + b), F.col("n0").cast("double") + F.col("n1").cast("double")
     test = total * F.pow(n1 * (a - n0) - n0 * (b - n1), F.lit(2.0)) / F.greatest(F.lit(1e-9), df * (total - df) * F.lit(float(max(a, 1)) * max(b, 1)))
-    best = found.where(f"n0 + n1 >= {LEAST_DF}").withColumn("test", test).where(F.col("test") >= chi2).orderBy(F.desc("test"), "term").limit(terms)
-    number = {r["term"]: i for i, r in enumerate(best.select("term").collect())}
+    best = found.where(f"n0 + n1 >= {LEAST_DF}").withColumn("test", test).where(F.col("test") >= chi2)
+    # terms of a bounded sample, each in LEAST_DF examples or more
+    number = {t: i for i, t in enumerate(sorted(r["term"] for r in best.select("term").collect()))}
     shared = examples.sparkSession.sparkContext.broadcast(number)
 
     def vectors(batches):

@@ -34,6 +34,12 @@ def test_held_out_and_edges(spark):
     rows = [r for r in T.score(docs, model).collect() if r.held_out and r.doc_id in truth]
     assert all(0 <= r.score <= 1 for r in rows)
     assert sum(r.predicted == truth[r.doc_id] for r in rows) / len(rows) > 0.93
+    # every term that depends on the label is in the index, and the query's own columns do not meet those of the table
+    few = T.fit(*T.examples_of(docs, labels), chi2=1.0)
+    assert len(few.number) > len(model.number) > 20
+    clash = docs.selectExpr("*", "1 AS held_out", "'x' AS evidence", "2 AS label", "3 AS id", "4 AS predicted")
+    again = {r.doc_id: r.score for r in T.toxicity(clash, labels).collect()}
+    assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in rows)
     odd = spark.createDataFrame([(1, None, 3), (None, "", 3), (2, "zzz " * 100000, 3), (2, "you idiot scum", 3)], "doc_id long, text string, score int")
     got = [(r.doc_id, r.predicted, len(r.evidence)) for r in T.score(odd, model).collect()]
     assert got[:3] == [(1, 0, 0), (None, 0, 0), (2, 0, 0)] and got[3][2] > 0
