@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Rows of narrow tables that one task may well hold.
-ROWS_PER_TASK = 100_000
+#: Rows of narrow tables that one task may well hold; bytes of a row group.
+ROWS_PER_TASK, ROW_GROUP = 100_000, 32 << 20
 
 
 def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
@@ -46,16 +46,29 @@ def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
         # dealt anew after the work, which keeps its own number of tasks
         df = df.repartition(max(1, -(-rows // ROWS_PER_TASK)))
     path = f"{shared_dir(spark)}/loamstack-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups, since a writer holds one of them in memory
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``written`` has made; their readers end with them."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def made() -> int:
+    """How many tables ``written`` has made and not deleted."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the tables that ``written`` has made (from the ``first`` to before the ``last``); their readers end with them."""
+    for name in _WRITTEN[first:last]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[first:last]
+
+
+def reads(df: DataFrame, first: int, last: int) -> bool:
+    """Whether ``df`` still reads one of these tables."""
+    names = [x.rsplit("/", 1)[-1] for x in _WRITTEN[first:last]]
+    return bool(names) and any(n in f for f in df.inputFiles() for n in names)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -70,7 +83,7 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 #: Bits of a sieve at most (a broadcast of at most 16 MB), bits for each key, and keys of one row of it.
-SIEVE_BITS, SIEVE_SHARE, SIEVE_ROW = 1 << 27, 8, 1 << 15
+SIEVE_BITS, SIEVE_SHARE, SIEVE_ROW = 1 << 27, 32, 1 << 15
 
 
 def sieved(rows: DataFrame, keys: list[Column], wanted: DataFrame, wanted_keys: list[Column], name: str) -> DataFrame:

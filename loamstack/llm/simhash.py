@@ -557,8 +557,10 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = placed.withColumn("level", F.greatest(F.col("at") + 1 - int(math.log2(SET_SIZE)), F.lit(0)))
     bucket = ["band", "key", "at"]
     buckets = written(placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1"), "buckets")
-    met = placed.join(buckets, bucket).withColumn("root", F.lit(None).cast("binary")).withColumn("side", F.lit(0))
-    hot = written(met.where(F.col("n") > BLOCK), "hot")
+    # rows that are alone in their bucket, most of all, do not travel
+    shared = sieved(placed, [F.col(c) for c in bucket], buckets, [F.col(c) for c in bucket], "maybe").where("maybe").drop("maybe")
+    met = written(shared.join(buckets, bucket).withColumn("root", F.lit(None).cast("binary")).withColumn("side", F.lit(0)), "met")
+    hot = met.where(F.col("n") > BLOCK)
     # sub-blocks of a large bucket, its first row in each
     blocks = met.where(F.col("n") <= BLOCK).withColumn("g", F.xxhash64(*bucket))
     some_hot = not hot.isEmpty()
