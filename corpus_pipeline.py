@@ -15,35 +15,64 @@ token); a null id is an id (below all others in exact, after all others in near)
 ties and repeated rows leave one row, the least by its other columns; very long
 texts are read whole; an empty table stays empty; further columns pass through
 stages 1 to 4 under whatever name.
+
+A stage's result reads intermediate tables until it is written. The next stage
+begins by deleting those of the stage before, unless its input still reads them.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loamstack.llm import bpe_transducer, cotrain, decontaminate, exact_dedup, simhash
-from loamstack.llm.common import written
+from loamstack.llm.common import made, reads, release, written
 
 #: SQL can express neither the classifier nor the fingerprints.
 ORACLE_SQL = None
 
 
+_MADE = [0, 0]
+
+
+def _stage(work):
+    """``work`` as a stage that first deletes the tables which the stage before has made, if nothing of ``docs`` depends on them."""
+
+    @functools.wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        first, last = _MADE
+        if first < last <= made() and not reads(docs, first, last):
+            release(spark, first, last)
+        first = made()
+        out = work(spark, docs, sf_dir)
+        _MADE[:] = first, made()
+        return out
+
+    return stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cotrain.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_rows(docs)
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.distinct_rows(docs)
 
 
+@_stage
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
