@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstack.model import ReadLimits, page_limit, require_scope
-from loamstack.operators.search import search
+from loamstack.operators.search import matches, ranked
 
 #: The control page that stands in every context.
 CONTROL = "index"
@@ -44,44 +44,52 @@ def candidate_quota(limit: int) -> int:
     return limit if limit <= 1 else max(1, -(-2 * (limit - 1) // 3))
 
 
-def merged(limit: int, candidates: list[str], near: list[str], latest: list[str]) -> list[str]:
-    """Context pages in order: candidates within their quota, neighbours, the control page, more candidates, recent pages."""
-    chosen: dict[str, None] = {}
-
-    def take(ids, most: int) -> None:
-        left = most
-        for page in ids:
-            if left <= 0 or len(chosen) >= limit:
-                return
-            if page and page not in chosen:
-                chosen[page] = None
-                left -= 1
-
-    if limit <= 0:
-        return []
-    if limit == 1:
-        return next(([x] for x in (*candidates, CONTROL) if x), [])
-    quota = candidate_quota(limit)
-    take(candidates, quota)
-    take(near, limit - 1 - len(chosen))
-    take([CONTROL], 1)
-    take(candidates[quota:], limit)
-    take(latest, limit)
-    return list(chosen)
+def seeded(hits: DataFrame, scope: str) -> DataFrame:
+    """scope, page_id, ordinal of ranked hits (a bounded table: strict, score, path, page_id)."""
+    order = Window.orderBy(F.desc("strict"), F.desc("score"), "path", "page_id")
+    return hits.select(F.lit(scope).alias("scope"), "page_id", (F.row_number().over(order) - 1).alias("ordinal"))
+
+
+def merged(limit: int, candidates: DataFrame, near: DataFrame, latest: DataFrame) -> DataFrame:
+    """place, page_id: candidates within their quota, neighbours, the control page, more candidates, recent pages; each page once.
+
+    ``candidates``, ``near``, ``latest``: page_id, i (their order). The tables are bounded by the page limit, so that
+    windows over all of them are small. Neighbours leave one place for the control page.
+    """
+    every, of_page = Window.partitionBy(F.lit(0)), Window.partitionBy("page_id")
+    phase = lambda df, n: df.where("page_id <> ''").groupBy("page_id").agg(F.min("i").alias("i")).select(F.lit(n).alias("phase"), "i", "page_id")
+    control = candidates.sparkSession.range(1).select(F.lit(2).alias("phase"), F.lit(0).alias("i"), F.lit(CONTROL).alias("page_id"))
+    ranked_ = phase(candidates, 0).withColumn("k", F.row_number().over(every.orderBy("i"))).withColumn("phase", F.when(F.col("k") <= candidate_quota(limit), 0).otherwise(3)).drop("k")
+    rows = ranked_.unionByName(phase(near, 1)).unionByName(control).unionByName(phase(latest, 4))
+    # neighbours that are no first candidates, as many as fit
+    rows = rows.withColumn("taken", F.min("phase").over(of_page) == 0).where("phase <> 1 OR NOT taken")
+    rows = rows.withColumn("first", F.sum(F.when(F.col("phase") == 0, 1).otherwise(0)).over(every)).withColumn("k", F.row_number().over(Window.partitionBy("phase").orderBy("i")))
+    rows = rows.where((F.col("phase") != 1) | (F.col("k") <= limit - 1 - F.col("first")))
+    once = rows.groupBy("page_id").agg(F.min(F.struct("phase", "i")).alias("at"))
+    return once.select((F.row_number().over(every.orderBy("at")) - 1).alias("place"), "page_id").where(F.col("place") < limit)
+
+
+def search_ranked(pages: DataFrame, scope: str, terms: list[str], limit: int) -> DataFrame:
+    """The best pages of a scope, without snippets."""
+    return ranked(matches(pages, terms).where(F.col("scope") == require_scope(scope)), len(terms), limit)
+
+
+def context_pages(pages: DataFrame, links: DataFrame, scope: str, terms: list[str], limit: int) -> DataFrame:
+    """place, page_id of the pages to show beside a source with these terms, as one plan."""
+    quota, own = candidate_quota(limit), links.where(F.col("scope") == scope)
+    hits = search_ranked(pages, scope, terms, max(quota, 1)) if terms and limit > 0 else pages.limit(0).withColumn("strict", F.lit(True)).withColumn("score", F.lit(0.0))
+    candidates = seeded(hits, scope)
+    first = lambda *by: (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)) - 1).alias("i")
+    # twice the limit, since as many may be there already
+    near = neighbours(candidates, own, pages.where(F.col("scope") == scope)).orderBy("rank", "path").limit(2 * limit + 1).select(first("rank", "path"), "page_id")
+    latest = recent(pages, scope, [], 2 * limit + 1) if limit > 0 else pages.limit(0).select("page_id", "path", "updated_at")
+    return merged(limit, candidates.select("page_id", F.col("ordinal").alias("i")), near, latest.select(first(F.desc("updated_at"), "path"), "page_id"))
 
 
 def select_context(pages: DataFrame, links: DataFrame, scope: str, terms: list[str], limits: ReadLimits | None = None) -> list[str]:
-    """Ids of the pages to show beside a source with these terms. Only ids within the page limit reach the driver."""
-    limit = (limits or ReadLimits()).page_limit
-    ids = [r["page_id"] for r in search(pages, scope, terms, candidate_quota(limit), 1).select("page_id").collect()] if terms else []
-    near: list[str] = []
-    if ids and limit > 1:
-        seeds = pages.sparkSession.createDataFrame([(scope, p, i) for i, p in enumerate(ids)], "scope string, page_id string, ordinal int")
-        near = [r["page_id"] for r in neighbours(seeds, links.where(F.col("scope") == scope), pages).orderBy("rank", "path").limit(limit).collect()]
-    have = merged(limit, ids, near, [])
-    if len(have) == limit:
-        return have
-    return merged(limit, ids, near, [r["page_id"] for r in recent(pages, scope, have, limit).collect()])
+    """Ids of ``context_pages`` in order. Only ids within the page limit reach the driver."""
+    found = context_pages(pages, links, scope, terms, (limits or ReadLimits()).page_limit)
+    return [r["page_id"] for r in found.orderBy("place").collect()]
 
 
 def broken(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def raw_findings(records: DataFrame) -> DataFrame:
 
 def page_findings(pages: DataFrame, parsed: DataFrame, raw_refs: DataFrame) -> DataFrame:
     """``pages``: page_id, path, body; ``parsed``: page_id, path, meta (frontmatter); ``raw_refs``: ref of valid sources."""
-    repeated = pages.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("path"))).where("n > 1")
+    repeated = pages.withColumn("n", F.row_number().over(Window.partitionBy(*[c for c in ("scope", "page_id") if c in pages.columns]).orderBy("path"))).where("n > 1")
     at = dict(path=F.col("path"), page=F.col("page_id"))
     ok = F.col("meta.ok")
     blank = lambda name: ok & (F.coalesce(F.col(f"meta.{name}"), F.lit("")) == "")

@@ -16,6 +16,8 @@ from loamstack.sinks.projection import snapshot_digest
 from loamstack.sources import bootstrap
 
 TERMS = ["thing", "nation", "ering"]
+#: Terms that some pages hold all of.
+FREQUENT = ["thes", "erre", "at"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -46,14 +48,14 @@ def tokenize_term_counts(spark, d):
     return V.table(spark, d, "documents").select(F.explode(lexical.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TERMS_OF = f"list_distinct(list_filter({O.tok('substring(text, 1, 160)')}, lambda x: x NOT IN {O.FRAMING}))"
+_TERMS_OF = f"list_distinct(list_filter({O.tok('text')}, lambda x: x NOT IN {O.FRAMING}))"
 
 
 @_query(
     f"SELECT conv_id, turn, CAST(len(t) AS BIGINT) AS n_terms, array_to_string(list_sort(t), ' ') AS terms, len(t) BETWEEN 1 AND 32 AND coalesce(list_sum([length(x) for x in t]), 0) <= 256 AS valid FROM (SELECT *, {_TERMS_OF} AS t FROM conversations)"
 )
 def normalize_query_terms(spark, d):
-    rows = V.table(spark, d, "conversations").withColumn("t", lexical.content_terms(F.substring("text", 1, 160)))
+    rows = V.table(spark, d, "conversations").withColumn("t", lexical.content_terms(F.col("text")))
     return rows.select("conv_id", "turn", F.size("t").cast("long").alias("n_terms"), F.array_join(F.array_sort("t"), " ").alias("terms"), lexical.valid_query(F.col("t")).alias("valid"))
 
 
@@ -94,9 +96,9 @@ def bm25_scores_indexed(spark, d):
     return search.indexed_matches(search.postings(pages), search.doc_lengths(pages), TERMS)
 
 
-@_query(_SCORED + "SELECT page_id, path, score FROM scored WHERE matched = 3 ORDER BY score DESC, path LIMIT 20")
+@_query(f"WITH {O.scored(FREQUENT)} SELECT page_id, path, score FROM scored WHERE matched = 3 ORDER BY score DESC, path LIMIT 20")
 def search_strict_and(spark, d):
-    return search.ranked(search.strict_matches(V.pages(spark, d), TERMS), 3, 20).select("page_id", "path", "score")
+    return search.ranked(search.strict_matches(V.pages(spark, d), FREQUENT), 3, 20).select("page_id", "path", "score")
 
 
 @_query(_SCORED + "SELECT page_id, path, score FROM scored ORDER BY score DESC, path LIMIT 20")
@@ -205,7 +207,7 @@ def wiki_links_extract(spark, d):
 
 @_query(rf"WITH {O.BODIES} SELECT page_id, contains(regexp_replace(body, '(?s)\[\[(.*?)\]\]', ' ', 'g'), '[[') AS malformed FROM bodies")
 def links_malformed(spark, d):
-    return V.link_bodies(spark, d).select("page_id", markdown.unclosed(F.col("body")).alias("malformed"))
+    return V.linked_pages(spark, d).select("page_id", markdown.unclosed(F.col("body")).alias("malformed"))
 
 
 _INDEX = "'# Index' || chr(10) || '- [[docs/' || doc_id || '|T]]' || chr(10) || '- docs/' || (doc_id + 1) || '.md'"
@@ -220,7 +222,7 @@ def index_targets(spark, d):
 
 # --- graph
 
-_SEEDS = "seeds AS (SELECT 'all' AS scope, 'docs/' || doc_id AS page_id, CAST(doc_id AS INT) AS ordinal FROM documents WHERE doc_id < 5)"
+_SEEDS = "seeds AS (SELECT 'all' AS scope, page_id, CAST(row_number() OVER (ORDER BY matched = 3 DESC, score DESC, path, page_id) - 1 AS INT) AS ordinal FROM scored QUALIFY ordinal < 20)"
 _BOTH = "both_v AS (SELECT scope, from_page AS page_id, to_page AS other FROM links_v UNION ALL SELECT scope, to_page, from_page FROM links_v)"
 
 
@@ -231,13 +233,13 @@ def links_both_directions(spark, d):
 
 @_query(f"WITH {O.LINKS}, {O.PAGES} SELECT 'all' AS scope, from_page, to_page, relation FROM links_v WHERE to_page NOT IN (SELECT page_id FROM pages_v)")
 def links_broken(spark, d):
-    return graph.broken(V.links(spark, d), V.link_bodies(spark, d)).select("scope", "from_page", "to_page", "relation")
+    return graph.broken(V.links(spark, d), V.linked_pages(spark, d)).select("scope", "from_page", "to_page", "relation")
 
 
-@_query(f"WITH {O.LINKS}, {_SEEDS}, {_BOTH} SELECT b.scope, other AS page_id, 'wiki/' || other || '.md' AS path, min(ordinal) AS rank FROM both_v b JOIN seeds USING (scope, page_id) WHERE other <> page_id AND other IN (SELECT page_id FROM bodies) GROUP BY ALL")
+@_query(f"WITH {O.scored(FREQUENT)}, {O.LINKS}, {_SEEDS}, {_BOTH} SELECT b.scope, other AS page_id, 'wiki/' || other || '.md' AS path, min(ordinal) AS rank FROM both_v b JOIN seeds USING (scope, page_id) WHERE other <> page_id AND other IN (SELECT page_id FROM bodies) GROUP BY ALL")
 def neighbors_one_hop(spark, d):
-    seeds = V.link_bodies(spark, d).select("scope", "page_id", F.substring_index("page_id", "/", -1).cast("int").alias("ordinal")).where("ordinal < 5")
-    return graph.neighbours(seeds, V.links(spark, d), V.link_bodies(spark, d)).select("scope", "page_id", "path", "rank")
+    hits = search.ranked(search.matches(V.pages(spark, d), FREQUENT), 3, 20)
+    return graph.neighbours(graph.seeded(hits, "all"), V.links(spark, d), V.linked_pages(spark, d)).select("scope", "page_id", "path", "rank")
 
 
 @_query(f"WITH {O.PAGES} SELECT page_id, path, updated_at FROM pages_v WHERE scope = 'src1' AND page_id NOT IN ('docs/1', 'docs/21') ORDER BY updated_at DESC, path LIMIT 10")
@@ -254,19 +256,26 @@ def _listed(spark, d):
 
 @_query(f"WITH {O.LINKS}, {_LISTED} SELECT scope, page_id FROM bodies WHERE page_id NOT IN (SELECT to_page FROM links_v) AND page_id NOT IN (SELECT page_id FROM listed)")
 def orphans(spark, d):
-    return graph.orphans(V.link_bodies(spark, d), V.links(spark, d), _listed(spark, d))
+    return graph.orphans(V.linked_pages(spark, d), V.links(spark, d), _listed(spark, d))
 
 
 @_query(f"WITH {O.BODIES}, {_LISTED} SELECT scope, page_id FROM bodies WHERE page_id NOT IN (SELECT page_id FROM listed)")
 def index_missing(spark, d):
-    return V.link_bodies(spark, d).select("scope", "page_id").join(_listed(spark, d), ["scope", "page_id"], "left_anti")
+    return V.linked_pages(spark, d).select("scope", "page_id").join(_listed(spark, d), ["scope", "page_id"], "left_anti")
 
 
-@_query()
+_CONTEXT = f"""WITH {O.scored(FREQUENT)}, {O.LINKS}, {_BOTH}, c AS (SELECT 'all' AS scope, page_id, row_number() OVER (ORDER BY matched = 3 DESC, score DESC, path, page_id) - 1 AS ordinal FROM scored QUALIFY ordinal < {graph.candidate_quota(20)}),
+near AS (SELECT other AS page_id, min(ordinal) AS rank FROM both_v JOIN c USING (scope, page_id) WHERE other <> page_id AND other IN (SELECT page_id FROM pages_v) GROUP BY ALL),
+n AS (SELECT page_id, row_number() OVER (ORDER BY rank, 'wiki/' || page_id || '.md') AS i FROM near WHERE page_id NOT IN (SELECT page_id FROM c)),
+have AS (SELECT 0 AS phase, ordinal AS i, page_id FROM c UNION ALL SELECT 1, i, page_id FROM n WHERE i <= 19 - (SELECT count(*) FROM c) UNION ALL SELECT 2, 0, 'index'),
+late AS (SELECT 3 AS phase, row_number() OVER (ORDER BY updated_at DESC, path) AS i, page_id FROM pages_v WHERE page_id NOT IN (SELECT page_id FROM have))
+SELECT CAST(row_number() OVER (ORDER BY phase, i) - 1 AS INT) AS place, page_id FROM (SELECT * FROM have UNION ALL SELECT * FROM late) QUALIFY place < 20"""
+
+
+@_query(_CONTEXT)
 def context_select(spark, d):
     pages = V.pages(spark, d).withColumn("scope", F.lit("all"))
-    ids = graph.select_context(pages, V.links(spark, d), "all", TERMS)
-    return spark.createDataFrame(list(enumerate(ids)), "place int, page_id string")
+    return graph.context_pages(pages, V.links(spark, d), "all", FREQUENT, 20)
 
 
 # --- evidence
@@ -291,7 +300,12 @@ def query_links_bounded(spark, d):
     return evidence.hit_links(_top(spark, d), V.links(spark, d), 2, 20)
 
 
-@_query()
+@_query(
+    _SCORED
+    + f""", best AS (SELECT page_id, path, title, {O.excerpt('title', 'body', TERMS, 64)} AS snippet FROM (SELECT * FROM scored WHERE scope = 'src3' ORDER BY matched = 3 DESC, score DESC, path LIMIT 5)),
+body AS (SELECT CAST(to_json({{'question': 'thing nation ering', 'hits': list({{'page_id': page_id, 'path': path, 'title': title, 'snippet': snippet}} ORDER BY page_id)}}) AS VARCHAR) AS content FROM best)
+SELECT 'query' AS adapter, 'result-' || substring(sha256(content), 1, 16) AS source_id, '1' AS version, sha256(content) AS digest, content FROM body"""
+)
 def query_filed(spark, d):
     return evidence.filed(search.search(V.pages(spark, d), "src3", TERMS, 5, 64), "thing nation ering")
 
@@ -299,16 +313,25 @@ def query_filed(spark, d):
 # --- sources and projection
 
 
-@_query(f"WITH {O.ENVELOPES} SELECT source_id, version, digest FROM env WHERE copy = 0")
+#: Sources that are known already: every third conversation's, some with another digest.
+_KNOWN = "known AS (SELECT source_id, version, CASE WHEN CAST(source_id AS BIGINT) % 2 = 0 THEN digest ELSE 'other' END AS digest FROM env WHERE copy = 0 AND CAST(source_id AS BIGINT) % 3 = 0)"
+
+
+def _known(rows):
+    i = F.col("source_id").cast("long")
+    return rows.where((F.col("copy") == 0) & (i % 3 == 0)).withColumn("digest", F.when(i % 2 == 0, F.col("digest")).otherwise("other"))
+
+
+@_query(f"WITH {O.ENVELOPES}, {_KNOWN} SELECT source_id, version, digest FROM env WHERE copy = 0 AND (source_id, version) NOT IN (SELECT (source_id, version) FROM known)")
 def source_accept_dedup(spark, d):
     rows = V.envelopes(spark, d)
-    return acceptance.accepted(rows, rows.limit(0), ["received_at", "copy"]).select("source_id", "version", "digest")
+    return acceptance.accepted(rows, _known(rows), ["received_at", "copy"]).select("source_id", "version", "digest")
 
 
-@_query(f"WITH {O.ENVELOPES} SELECT b.source_id, b.version, b.digest, a.digest AS accepted_digest FROM env a JOIN env b USING (source_id, version) WHERE a.copy = 0 AND b.copy = 1 AND a.digest <> b.digest")
+@_query(f"WITH {O.ENVELOPES}, {_KNOWN} SELECT b.source_id, b.version, b.digest, coalesce(k.digest, a.digest) AS accepted_digest FROM env a JOIN env b USING (source_id, version) LEFT JOIN known k USING (source_id, version) WHERE a.copy = 0 AND b.digest <> coalesce(k.digest, a.digest)")
 def source_conflicts(spark, d):
     rows = V.envelopes(spark, d)
-    return acceptance.conflicts(rows, rows.limit(0), ["received_at", "copy"]).select("source_id", "version", "digest", "accepted_digest")
+    return acceptance.conflicts(rows, _known(rows), ["received_at", "copy"]).select("source_id", "version", "digest", "accepted_digest")
 
 
 @_query(f"WITH {O.ENVELOPES} SELECT source_id, version, count(DISTINCT digest) AS digests, count(*) AS n FROM env GROUP BY ALL HAVING count(DISTINCT digest) > 1")
@@ -344,7 +367,7 @@ def _lint_page(spark, d):
         .when(i % 9 == 3, "---\ntitle: only\n---\n")
         .otherwise(F.concat(F.lit("---\nid: docs/"), i, F.lit("\ntitle: T\ntype: note\nsource_refs: ['docs:"), i % 50, F.lit("@1']\n---\n")))
     )
-    pages = V.link_bodies(spark, d).withColumn("doc_id", F.substring_index("page_id", "/", -1).cast("long")).withColumn("body", F.concat(head, "body"))
+    pages = V.linked_pages(spark, d).withColumn("doc_id", F.substring_index("page_id", "/", -1).cast("long")).withColumn("body", F.concat(head, "body"))
     refs = V.table(spark, d, "documents").where("doc_id % 50 < 40").select(F.concat(F.lit("docs:"), F.col("doc_id"), F.lit("@1")).alias("ref"))
     index = pages.where("doc_id % 2 = 0").agg(F.concat(F.lit("# Index\n- [[docs/999999]]\n"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("- "), "page_id"))), "\n")).alias("body"))
     return pages, refs, index
@@ -495,7 +518,7 @@ def edit_preconditions(spark, d):
 
 @_query(f"WITH {O.LINKS} SELECT from_page AS page_id, to_page AS target FROM links_v WHERE to_page NOT IN (SELECT page_id FROM bodies) AND CAST(split_part(from_page, '/', 2) AS INT) % 2 = 0")
 def prospective_links(spark, d):
-    pages = V.link_bodies(spark, d)
+    pages = V.linked_pages(spark, d)
     even = F.substring_index("page_id", "/", -1).cast("int") % 2 == 0
     return edits.prospective_broken(pages.where(even).select("path", F.col("body").alias("content")), pages.where(~even))
 
@@ -524,7 +547,10 @@ def render_index(spark, d):
     return bootstrap.rendered_index(pages).select(F.sha2("body", 256).alias("digest")).crossJoin(pages.agg(F.count(F.lit(1)).alias("n")))
 
 
-@_query()
+@_query(
+    """SELECT 'n' || doc_id || '.md' AS path, 'See ' || CASE WHEN doc_id + 1 IN (SELECT doc_id FROM documents) THEN '[[notes/n' ELSE '[[n' END || (doc_id + 1) || '#Part|other]] and '
+|| CASE WHEN doc_id % 7 IN (SELECT doc_id FROM documents WHERE doc_id < 5) THEN '![](../assets/a' ELSE '![unsupported obsidian embed](a' END || (doc_id % 7) || '.png) and [[lost]] [[open' AS body FROM documents"""
+)
 def obsidian_rewrite(spark, d):
     i = F.col("doc_id")
     docs = V.table(spark, d, "documents").select("doc_id")

@@ -25,7 +25,7 @@ def title(text: str) -> str:
 PAGES = f"""pages_v AS (SELECT source AS scope, 'docs/' || doc_id AS page_id, 'wiki/docs/' || doc_id || '.md' AS path, {title('text')} AS title, text AS body,
   sha256(text) AS digest, ['docs:' || doc_id || '@sha256-' || substring(sha256(text), 1, 16)] AS source_refs, make_timestamp((1767225600 + doc_id) * 1000000) AS updated_at, doc_id FROM documents)"""
 BODIES = """bodies AS (SELECT 'all' AS scope, 'docs/' || doc_id AS page_id, 'wiki/docs/' || doc_id || '.md' AS path,
-  '[[wiki/docs/' || ((doc_id * 7 + 3) % 1100) || '.md|x]] [[../bad]] [[ docs/' || ((doc_id * 11 + 5) % 1000) || '#a]]' || CASE WHEN doc_id % 7 = 0 THEN ' [[open' ELSE '' END AS body, doc_id FROM documents)"""
+  coalesce(text, '') || chr(10) || '[[wiki/docs/' || ((doc_id * 7 + 3) % 1100) || '.md|x]] [[../bad]] [[ docs/' || ((doc_id * 11 + 5) % 500) || '#a]]' || CASE WHEN doc_id % 7 = 0 THEN ' [[open' ELSE '' END AS body, doc_id FROM documents)"""
 
 
 def normal(target: str) -> str:

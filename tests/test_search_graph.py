@@ -101,10 +101,14 @@ def test_context(pages, links):
         (6, ["a"], ["a", "n"], ["r", "s", "n"], ["a", "n", "index", "r", "s"]),
         (5, ["a", "b", "c", "d"], ["d"], [], ["a", "b", "c", "d", "index"]),
         (4, ["", "a", "a"], ["", "b"], ["c"], ["a", "b", "index", "c"]),
+        (4, ["a", "b"], ["n", "o"], ["o", "n"], ["a", "b", "n", "index"]),
+        (6, ["a"], ["n", "o", "p", "q", "r"], ["q"], ["a", "n", "o", "p", "q", "index"]),
     ],
 )
-def test_merge(limit, candidates, near, latest, want):
-    assert graph.merged(limit, candidates, near, latest) == want
+def test_merge(spark, limit, candidates, near, latest, want):
+    table = lambda ids: spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "page_id string, i int")
+    got = graph.merged(limit, table(candidates), table(near), table(latest)).orderBy("place").collect()
+    assert [r.page_id for r in got] == want and [r.place for r in got] == list(range(len(want)))
 
 
 def test_quota():
