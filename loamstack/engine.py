@@ -65,6 +65,7 @@ class Engine:
         """Drop what an interrupted write left behind, then bring the projection up to date."""
         for table in ("sources", "operations", "stages", "files", "log", "pages", "links", "postings", "lengths", "state"):
             self.store.recover(table)
+        C.discard_stages(self.store, self.operations.table().where("status NOT IN ('committed', 'failed')"))
         P.ensure(self.store, self.scope, self.snapshot(), self.schema_digest, self.clock())
 
     def now(self):
@@ -83,6 +84,10 @@ class Engine:
             F.timestamp_seconds(F.coalesce("ordinal", F.lit(0))).alias("updated_at"),
         )
 
+    def refs(self) -> DataFrame:
+        """The references of the accepted sources."""
+        return self.store.get("sources", SOURCES).select(source_ref(F.col("adapter"), F.col("source_id"), F.col("version")).alias("ref"))
+
     def pages(self) -> DataFrame:
         return self.store.get("pages", PAGES)
 
@@ -120,11 +125,15 @@ class Engine:
 
     # --- work
 
-    def run_ready(self, n: int = 16) -> list[str]:
-        """Claim ready operations and run each to its end; descriptors that can never run fail first."""
+    def claim(self, n: int) -> tuple[str, list[str]]:
+        """Fail descriptors that can never run, then claim ready operations."""
         for row in work.descriptor_failures(self.operations.table(), self.scope).select("operation_id").collect():
             self.operations.move(row[0], "fail", self.now(), failure_class="descriptor")
-        token, ids = self.operations.claim(self.scope, self.now(), n)
+        return self.operations.claim(self.scope, self.now(), n)
+
+    def run_ready(self, n: int = 16) -> list[str]:
+        """Claim ready operations and run each to its end."""
+        token, ids = self.claim(n)
         for operation in ids:
             if self.operations.renew(operation, token, self.now()):
                 self.run(operation)
@@ -145,7 +154,7 @@ class Engine:
                 self.operations.move(operation, "plan", self.now())
             self.operations.move(operation, "apply", self.now(), lease_expires_at=self.clock() + dt.timedelta(seconds=APPLY_LEASE_SECONDS))
             frame = self.spark.createDataFrame(plan.edits, "path string, expected_digest string, content string")
-            generation = C.commit(self.store, frame, operation, self.schema_digest, sorted({*plan.source_refs, ref}))
+            generation = C.commit(self.store, frame, operation, self.schema_digest, sorted({*plan.source_refs, ref}), self.refs())
         except (PlanRejected, C.StaleEdit, C.BrokenPlan) as error:
             kind = {"StaleEdit": "stale", "BrokenPlan": "content"}.get(type(error).__name__, "plan")
             return self.operations.move(operation, "fail", self.now(), failure_class=kind)
@@ -177,7 +186,7 @@ class Engine:
         row = self.operations.table().where(F.col("operation_id") == operation).first()
         plan, ref = self.plan(row)
         frame = self.spark.createDataFrame(plan.edits, "path string, expected_digest string, content string")
-        name = C.stage(self.store, frame, operation, self.schema_digest, sorted({*plan.source_refs, ref}))
+        name = C.stage(self.store, frame, operation, self.schema_digest, sorted({*plan.source_refs, ref}), self.refs())
         self.operations.move(operation, "plan", self.now())
         self.operations.move(operation, "review", self.now())
         return name
@@ -189,7 +198,7 @@ class Engine:
             raise KeyError(operation)
         self.operations.move(operation, "apply", self.now(), lease_expires_at=self.clock() + dt.timedelta(seconds=APPLY_LEASE_SECONDS))
         try:
-            generation = C.commit(self.store, staged, operation, self.schema_digest, C.staged_refs(self.store, operation))
+            generation = C.commit(self.store, staged, operation, self.schema_digest, C.staged_refs(self.store, operation), self.refs())
         except (C.StaleEdit, C.BrokenPlan) as error:
             return self.operations.move(operation, "fail", self.now(), failure_class="stale" if isinstance(error, C.StaleEdit) else "content")
         P.ensure(self.store, self.scope, self.snapshot(), self.schema_digest, self.clock())
@@ -204,7 +213,15 @@ class Engine:
         """A scheduler over this engine; start() begins its scans."""
         from loamstack.streaming.scheduler import Scheduler
 
-        return Scheduler(lambda n: self.operations.claim(self.scope, self.now(), n), self.run, lambda i, t: self.operations.renew(i, t, self.now()), **settings)
+        context = self.spark.sparkContext
+
+        def run(operation: str) -> None:
+            # the group by which a lost lease cancels this operation's jobs
+            context.setJobGroup(operation, operation, interruptOnCancel=True)
+            self.run(operation)
+
+        settings = {"lost": context.cancelJobGroup, **settings}
+        return Scheduler(self.claim, run, lambda i, t: self.operations.renew(i, t, self.now()), **settings)
 
     # --- maintenance
 
@@ -212,7 +229,7 @@ class Engine:
         """Findings over pages, links, index, log and projection."""
         pages, files = self.snapshot(), self.files()
         index = files.where("path = 'wiki/index.md'").select(F.col("content").alias("body"))
-        refs = self.store.get("sources", SOURCES).select(source_ref(F.col("adapter"), F.col("source_id"), F.col("version")).alias("ref"))
+        refs = self.refs()
         log = C.log_text(self.store.get("log", struct(C.LOG)))
         row = P.snapshot_digest(pages, wiki_links(pages)).first()
         found = lint.page_findings(pages, lint.parsed(pages), refs).unionByName(lint.link_findings(pages, wiki_links(pages), index)).unionByName(lint.log_findings(log, self.schema_digest, files))

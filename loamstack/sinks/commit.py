@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamstack.functions.identity import digest
 from loamstack.functions.markdown import page_id
 from loamstack.model import struct
-from loamstack.operators.edits import preconditions, prospective_broken
+from loamstack.operators.edits import preconditions, prospective_broken, prospective_findings
 from loamstack.sinks.store import Store
 
 FILES = "path string, digest string, content string"
@@ -20,7 +20,7 @@ class StaleEdit(RuntimeError):
 
 
 class BrokenPlan(RuntimeError):
-    """An edit would leave a broken link."""
+    """An edit would leave a page that breaks a rule, or a broken link."""
 
 
 def generation(edits: DataFrame, operation: str, schema_digest: str) -> str:
@@ -29,7 +29,22 @@ def generation(edits: DataFrame, operation: str, schema_digest: str) -> str:
     return rows.agg(F.sha2(F.concat_ws("\n", F.lit(operation), F.lit(schema_digest), F.array_join(F.sort_array(F.collect_list("e")), "\n")), 256)).first()[0]
 
 
-def commit(store: Store, edits: DataFrame, operation: str, schema_digest: str, refs: list[str]) -> str:
+def _checked(edits: DataFrame, files: DataFrame, known_refs: DataFrame | None) -> None:
+    """Raise unless the edits fit the files as they are and the pages will be sound; with ``known_refs`` (ref) the rules of a page count too."""
+    bad = preconditions(edits, files).where("outcome NOT IN ('ok', 'create')").limit(1).collect()
+    if bad:
+        raise StaleEdit(f"{bad[0]['path']}: {bad[0]['outcome']}")
+    known = files.select(page_id(F.col("path")).alias("page_id")).where("page_id IS NOT NULL")
+    if known_refs is None:
+        if prospective_broken(edits, known).limit(1).count():
+            raise BrokenPlan("an edit links to a page that won't exist")
+        return
+    found = prospective_findings(edits.select("path", "content"), known, known_refs).where("severity = 'error'").limit(1).collect()
+    if found:
+        raise BrokenPlan(f"{found[0]['page_id']}: {found[0]['code']}")
+
+
+def commit(store: Store, edits: DataFrame, operation: str, schema_digest: str, refs: list[str], known_refs: DataFrame | None = None) -> str:
     """Apply edits (path, expected_digest, content); a replay of the same commit changes nothing. Files first, then the log."""
     files, log = store.get("files", struct(FILES)), store.get("log", struct(LOG))
     name = generation(edits, operation, schema_digest)
@@ -38,12 +53,7 @@ def commit(store: Store, edits: DataFrame, operation: str, schema_digest: str, r
     new = edits.select("path", digest(F.col("content").cast("binary")).alias("digest"), "content")
     applied = new.join(files.select("path", "digest"), ["path", "digest"], "left_anti").limit(1).count() == 0
     if not applied:  # else the files were replaced and only the log entry is missing
-        bad = preconditions(edits, files).where("outcome NOT IN ('ok', 'create')").limit(1).collect()
-        if bad:
-            raise StaleEdit(f"{bad[0]['path']}: {bad[0]['outcome']}")
-        known = files.select(page_id(F.col("path")).alias("page_id")).where("page_id IS NOT NULL")
-        if prospective_broken(edits, known).limit(1).count():
-            raise BrokenPlan("an edit links to a page that won't exist")
+        _checked(edits, files, known_refs)
         store.put("files", files.join(new.select("path"), "path", "left_anti").unionByName(new))
     paths = sorted(r[0] for r in new.select("path").collect())
     n = log.agg(F.coalesce(F.max("ordinal"), F.lit(0))).first()[0]
@@ -65,15 +75,13 @@ class BrokenStage(RuntimeError):
     """A stage that isn't what was staged."""
 
 
-def stage(store: Store, edits: DataFrame, operation: str, schema_digest: str, refs: list[str]) -> str:
+def stage(store: Store, edits: DataFrame, operation: str, schema_digest: str, refs: list[str], known_refs: DataFrame | None = None) -> str:
     """Keep validated edits for review; the same plan staged again changes nothing. Returns the generation that a commit will have."""
     name = generation(edits, operation, schema_digest)
     stages = store.get("stages", struct(STAGE))
     if stages.where((F.col("operation_id") == operation) & (F.col("generation") == name)).limit(1).count():
         return name
-    bad = preconditions(edits, store.get("files", struct(FILES))).where("outcome NOT IN ('ok', 'create')").limit(1).collect()
-    if bad:
-        raise StaleEdit(f"{bad[0]['path']}: {bad[0]['outcome']}")
+    _checked(edits, store.get("files", struct(FILES)), known_refs)
     rows = edits.select(
         F.lit(operation).alias("operation_id"), F.lit(name).alias("generation"), F.lit(schema_digest).alias("schema_digest"), F.array(*[F.lit(r) for r in sorted(refs)]).cast("array<string>").alias("source_refs"),
         "path", "expected_digest", digest(F.col("content").cast("binary")).alias("digest"), "content",
@@ -100,8 +108,8 @@ def staged_refs(store: Store, operation: str) -> list[str]:
     return list(row[0]) if row else []
 
 
-def discard_stages(store: Store, open_ids: list[str]) -> None:
-    """Drop the stages of operations that are not open any more."""
+def discard_stages(store: Store, open_ids: DataFrame) -> None:
+    """Drop the stages of operations that are not open (operation_id) any more."""
     stages = store.get("stages", struct(STAGE))
-    if stages.where(~F.col("operation_id").isin(*open_ids) if open_ids else F.lit(True)).limit(1).count():
-        store.put("stages", stages.where(F.col("operation_id").isin(*open_ids) if open_ids else F.lit(False)))
+    if stages.join(open_ids.select("operation_id"), "operation_id", "left_anti").limit(1).count():
+        store.put("stages", stages.join(open_ids.select("operation_id"), "operation_id", "left_semi").select(*stages.columns))

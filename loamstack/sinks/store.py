@@ -1,12 +1,16 @@
-"""A store of tables as generations of Parquet, with an atomic pointer to the current one.
+"""A store of tables as generations of Parquet, with numbered pointers to them.
 
-``put`` writes ``table/generation=<n>/`` and then renames a pointer file into place, so a reader sees the old or the
-new generation and a write that dies leaves only a folder that nothing points to (``recover`` deletes those). The
-paths may be in any Hadoop file system.
+``put`` writes a folder ``table/generation=<n>-<name>/`` and then creates the pointer ``current-<n>``, which holds that
+name; the file system lets one writer create it. The highest pointer that is complete counts, so a reader sees the old
+or the new generation at any moment, and a write that dies leaves only a folder that nothing points to. ``recover``
+deletes those, and all generations before the last two. The paths may be in any Hadoop file system.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -23,46 +27,58 @@ class Store:
     def _fs(self):
         return self._path().getFileSystem(self._conf)
 
+    def _pointers(self, table: str) -> list[int]:
+        """Numbers of the pointers, the highest first."""
+        fs = self._fs()
+        if not fs.exists(self._path(table)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(self._path(table))]
+        return sorted((int(n[8:]) for n in names if n.startswith("current-")), reverse=True)
+
+    def _folder(self, table: str, n: int) -> str | None:
+        """The folder that a pointer names; None while it is being written."""
+        rows = self.spark.read.text(f"{self.root}/{table}/current-{n}").collect()
+        return rows[0][0] if rows else None
+
+    def _current(self, table: str) -> tuple[int, str]:
+        return next(((n, f) for n in self._pointers(table) if (f := self._folder(table, n))), (0, ""))
+
     def generation(self, table: str) -> int:
-        """The current generation; 0 if there is none. Between the two steps of a pointer's change the draft counts."""
-        name = next((n for n in ("CURRENT", "NEXT") if self._fs().exists(self._path(table, n))), None)
-        if name is None:
-            return 0
-        rows = self.spark.read.text(f"{self.root}/{table}/{name}").collect()
-        return int(rows[0][0]) if rows else 0
+        """The current generation; 0 if there is none."""
+        return self._current(table)[0]
 
     def get(self, table: str, schema: StructType) -> DataFrame:
-        n = self.generation(table)
+        n, folder = self._current(table)
         if not n:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/generation={n}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/{folder}")
 
     def put(self, table: str, df: DataFrame, expected: int | None = None) -> int:
-        """Write the next generation; ``expected`` makes it a compare and set."""
+        """Write the next generation; ``expected`` makes it a compare and set. Of two writers of one generation the later one fails."""
         now = self.generation(table)
         if expected is not None and expected != now:
             raise RuntimeError(f"{table} is at generation {now}, not {expected}")
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/generation={now + 1}")
-        fs, draft, pointer = self._fs(), self._path(table, "NEXT"), self._path(table, "CURRENT")
-        out = fs.create(draft, True)
-        out.write(bytearray(str(now + 1).encode()))
+        folder = f"generation={now + 1}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{table}/{folder}")
+        try:
+            out = self._fs().create(self._path(table, f"current-{now + 1}"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"{table}: another writer made generation {now + 1}") from e
+        out.write(bytearray(folder.encode()))
         out.close()
-        fs.delete(pointer, False)
-        if not fs.rename(draft, pointer):
-            raise OSError(f"{table}: the pointer could not be renamed")
         return now + 1
 
     def recover(self, table: str) -> list[int]:
-        """Restore a pointer whose rename was cut off, then delete generations that no pointer names; returns those deleted."""
-        fs = self._fs()
-        if not fs.exists(self._path(table)):
-            return []
-        if not fs.exists(self._path(table, "CURRENT")) and fs.exists(self._path(table, "NEXT")):
-            fs.rename(self._path(table, "NEXT"), self._path(table, "CURRENT"))
-        now, gone = self.generation(table), []
-        for s in fs.listStatus(self._path(table)):
+        """Delete pointers that were cut off, and folders that neither the current pointer nor the one before names; returns the generations of those deleted."""
+        fs, gone = self._fs(), []
+        named = [(n, self._folder(table, n)) for n in self._pointers(table)]
+        live = [(n, f) for n, f in named if f][:2]
+        for n, _ in named:
+            if n not in {k for k, _ in live}:
+                fs.delete(self._path(table, f"current-{n}"), False)
+        for s in fs.listStatus(self._path(table)) if fs.exists(self._path(table)) else []:
             name = s.getPath().getName()
-            if name.startswith("generation=") and int(name[11:]) > now:
+            if name.startswith("generation=") and name not in {f for _, f in live}:
                 fs.delete(s.getPath(), True)
-                gone.append(int(name[11:]))
-        return gone
+                gone.append(int(name[11:].split("-")[0]))
+        return sorted(gone)

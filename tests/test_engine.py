@@ -55,7 +55,7 @@ def test_knowledge_loop(spark, tmp_path):
     assert other.retrieve("leases").hits.count() == 0
 
 
-@pytest.mark.parametrize("edit,kind", [(("wiki/log.md", "", "x"), "plan"), (("wiki/a.md", "0" * 64, "x"), "stale"), (("wiki/a.md", "", "[[gone]]"), "content")])
+@pytest.mark.parametrize("edit,kind", [(("wiki/log.md", "", "x"), "plan"), (("wiki/a.md", "0" * 64, "x"), "stale"), (("wiki/a.md", "", "[[gone]]"), "content"), (("wiki/a.md", "", "no frontmatter"), "content"), (("wiki/a.md", "", "---\nid: a\ntitle: T\ntype: note\nsource_refs: ['a:none@1']\n---\nx"), "content")])
 def test_rejected_plans_leave_the_pages_alone(spark, tmp_path, edit, kind):
     def bad(source, context, schema):
         import hashlib
@@ -78,10 +78,15 @@ def test_store_recovers_from_a_cut_off_write(spark, tmp_path):
     assert store.recover("t") == [2] and store.recover("none") == []
     with pytest.raises(RuntimeError):
         store.put("t", rows, expected=0)
-    (tmp_path / "t" / "CURRENT").rename(tmp_path / "t" / "NEXT")
-    assert store.generation("t") == 1
+    # a pointer that was cut off does not count, and the next writer of its number is refused until it is recovered
+    (tmp_path / "t" / "current-2").touch()
+    assert store.generation("t") == 1 and store.get("t", rows.schema).count() == 1
+    with pytest.raises(RuntimeError):
+        store.put("t", rows)
     store.recover("t")
-    assert (tmp_path / "t" / "CURRENT").exists()
+    assert [store.put("t", rows.union(rows)), store.put("t", rows), store.put("t", rows)] == [2, 3, 4]
+    # the last two generations stay, for readers of the one before
+    assert store.recover("t") == [1, 2] and store.get("t", rows.schema).count() == 1
 
 
 def test_projection_is_rebuilt_by_scope(spark, tmp_path):

@@ -57,7 +57,7 @@ def test_a_changed_stage_is_refused(spark, tmp_path):
     store.put("stages", rows.withColumn("content", F.lit("y")))
     with pytest.raises(C.BrokenStage):
         C.load_stage(store, "o", "s")
-    C.discard_stages(store, [])
+    C.discard_stages(store, spark.createDataFrame([], "operation_id string"))
     assert C.load_stage(store, "o", "s") is None
 
 
