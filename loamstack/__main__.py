@@ -25,6 +25,8 @@ def main(args: list[str]) -> int:
         lacking = workspace.missing(spark, root)
         print(json.dumps(lacking))
         return int(bool(lacking))
+    if command == "bootstrap":  # before the engine writes anything
+        bootstrap.require_disjoint(spark, rest[0], root)
     engine = Engine(spark, root, scope)
     if command == "bootstrap":
         print(json.dumps(engine.bootstrap(bootstrap.tree(spark, rest[0]))))

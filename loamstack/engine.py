@@ -26,6 +26,7 @@ from loamstack.sinks import projection as P
 from loamstack.sinks.operations import Operations
 from loamstack.sinks.store import Store
 
+ASSETS = struct("path string, digest string, content binary")
 SOURCES = struct("scope string, adapter string, source_id string, version string, digest string, media_type string, received_at timestamp, content binary")
 
 
@@ -63,7 +64,7 @@ class Engine:
 
     def recover(self) -> None:
         """Drop what an interrupted write left behind, then bring the projection up to date."""
-        for table in ("sources", "operations", "stages", "files", "log", "pages", "links", "postings", "lengths", "state"):
+        for table in ("sources", "operations", "stages", "files", "assets", "log", "pages", "links", "postings", "lengths", "state"):
             self.store.recover(table)
         C.discard_stages(self.store, self.operations.table().where("status NOT IN ('committed', 'failed')"))
         P.ensure(self.store, self.scope, self.snapshot(), self.schema_digest, self.clock())
@@ -84,6 +85,10 @@ class Engine:
             F.timestamp_seconds(F.coalesce("ordinal", F.lit(0))).alias("updated_at"),
         )
 
+    def assets(self) -> DataFrame:
+        """Imported files that are no notes, under the paths to which rewritten references point."""
+        return self.store.get("assets", ASSETS)
+
     def refs(self) -> DataFrame:
         """The references of the accepted sources."""
         return self.store.get("sources", SOURCES).select(source_ref(F.col("adapter"), F.col("source_id"), F.col("version")).alias("ref"))
@@ -237,7 +242,7 @@ class Engine:
         return lint.ordered(found.unionByName(lint.suggestions(found, suggest)))
 
     def bootstrap(self, files: DataFrame) -> dict:
-        """Import a Markdown tree (path, content binary) into an empty engine: a source for every file, a page for every note, an index."""
+        """Import a Markdown tree (path, content binary) into an empty engine: a source for every file, a page for every note, the assets, an index."""
         from loamstack.sources import bootstrap as B
 
         if self.store.generation("files") or self.store.generation("sources"):
@@ -246,6 +251,7 @@ class Engine:
         names = B.catalog(every)
         digest = F.sha2("content", 256)
         self.store.put("sources", every.select(F.lit(self.scope).alias("scope"), F.lit("bootstrap").alias("adapter"), F.col("path").alias("source_id"), digest.alias("version"), digest.alias("digest"), F.lit("text/markdown").alias("media_type"), self.now().alias("received_at"), "content"))
+        self.store.put("assets", every.where("NOT note").select(F.concat(F.lit("wiki/assets/"), "path").alias("path"), digest.alias("digest"), "content"))
         notes = every.where("note").select("path", F.decode("content", "UTF-8").alias("raw"), digest.alias("found")).withColumn("meta", frontmatter(F.col("raw")))
         own = F.when(F.col("meta.ok"), F.regexp_replace("raw", r"(?s)\A\s*---\s*?\n.*?\n\s*---\s*?(\n|\z)", "")).otherwise(F.col("raw"))
         base = F.regexp_replace(B.base_name(F.col("path")), r"(?i)\.md$", "")

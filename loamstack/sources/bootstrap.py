@@ -111,3 +111,19 @@ def tree(spark, root: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     marker = base.rsplit("/", 1)[-1]
     return found.select(F.regexp_extract("path", rf"^.*?/\Q{marker}\E/(.*)$", 1).alias("path"), "content")
+
+
+def require_disjoint(spark, one: str, other: str) -> None:
+    """Raise if one of two folders is the other or lies in it: an import must not read what it writes."""
+    from urllib.parse import unquote, urlsplit
+
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def place(name: str) -> list[str]:
+        path = hadoop.Path(name)
+        url = urlsplit(path.getFileSystem(conf).makeQualified(path).toString())
+        return [f"{url.scheme}://{url.netloc}", *(x for x in unquote(url.path).split("/") if x)]
+
+    a, b = place(one), place(other)
+    if a[: len(b)] == b or b[: len(a)] == a:
+        raise ValueError(f"{one} and {other} overlap")

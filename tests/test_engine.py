@@ -115,10 +115,22 @@ def test_bootstrap(spark, tmp_path):
     assert "[[notes/Alpha#Top]]" in got["wiki/notes/sub/Beta.md"] and "![unsupported obsidian embed](nothing)" in got["wiki/notes/sub/Beta.md"]
     assert "- [[notes/Alpha|Alpha page]]" in got["wiki/index.md"]
     assert engine.retrieve("alpha").hits.count() >= 1
+    assert [(r.path, bytes(r.content)) for r in engine.assets().collect()] == [("wiki/assets/img/diagram.png", b"png")]
     with pytest.raises(RuntimeError):
         engine.bootstrap(frame)
 
 
+@pytest.mark.parametrize("one, other, meet", [("/a/b", "/a/b/", True), ("/a/b", "/a/b/c", True), ("file:///a/b/c", "/a/b", True), ("/a/b", "/a/bc", False), ("/a/b c", "/a/b c/d", True)])
+def test_an_import_does_not_overlap_its_store(spark, one, other, meet):
+    from loamstack.sources.bootstrap import require_disjoint
+
+    if meet:
+        with pytest.raises(ValueError):
+            require_disjoint(spark, one, other)
+    else:
+        require_disjoint(spark, one, other)
+
+
 def test_workspace_scan(spark, tmp_path):
     import hashlib
 
