@@ -110,6 +110,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovered_turns(_read(spark, sf_dir, "conversations"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstack.llm.divergence import quality_rules
+
+    return quality_rules(_read(spark, sf_dir, "documents"))
+
+
 _OP7_ORACLE = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
@@ -125,6 +131,33 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM w LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+_CLASSES = {"lower": "[a-z]", "space": r"[\x20\x09-\x0D]", "letters": r"[^\x00-\x7F\P{L}]", "upper": "[A-Z]", "digits": "[0-9]", "stops": r"[.,;:!?''\"()\-]", "symbols": "[#*$%&|<>]"}
+_HALF = "(CASE WHEN {p} > 0 THEN {p} / 2 * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} / 2 * log2({q} / (({p} + {q}) / 2)) ELSE 0 END)"
+_CHANCE = "least({q} / 2, 1 / (8 * {n} * 0.6931471805599453))"
+_BINS = [*_CLASSES, "other"]
+_OP12_ORACLE = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS l FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, CAST(length(t) AS DOUBLE) AS chars, {", ".join(f"length(t) - length(regexp_replace(t, '{x}', '', 'g')) AS c_{k}" for k, x in _CLASSES.items())} FROM d),
+m AS (SELECT r, doc_id, l, CAST(len(ws) AS BIGINT) AS n_words, chars, length(t) - c_space AS word_chars, c_symbols AS n_symbols, {", ".join(f"c_{k}" for k in _CLASSES)}, chars - {" - ".join(f"c_{k}" for k in _CLASSES)} AS c_other,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS k FROM (SELECT r, i, array_to_string(list_slice(ws, i + 1, i + 5), ' ') AS s FROM (SELECT r, ws, unnest(range(len(ws) - 4)) AS i FROM w WHERE len(ws) > 5))),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM g WHERE k > 1) GROUP BY r),
+u AS (SELECT r, l, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS word FROM d),
+n AS (SELECT l, word, count(*) AS n FROM u GROUP BY ALL), tot AS (SELECT l, sum(n) AS total FROM n GROUP BY l),
+common AS (SELECT l, word, n / total AS q, total FROM n JOIN tot USING (l) WHERE n * 1000 >= total),
+refs AS (SELECT l, {", ".join(f"sum(c_{k}) / greatest(sum(chars), 1) AS q_{k}" for k in _BINS)} FROM m GROUP BY l),
+shares AS (SELECT l, sum(q) AS share, list(q) AS qs, max(total) AS total FROM common GROUP BY l),
+hits AS (SELECT r, word, count(*) AS n FROM u JOIN common USING (l, word) GROUP BY ALL),
+held AS (SELECT r, sum({_HALF.format(p="p", q="q")} - q / 2) AS parts, sum(n) AS n_common FROM (SELECT r, n, n / n_words AS p, q FROM hits JOIN m USING (r) JOIN common USING (l, word)) GROUP BY r),
+j AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words, total, n_words >= 50 AND total >= 10000 AS by_word, chars >= 200 AND total >= 10000 AS by_class, qs, greatest(1 - share, 0) AS rare, share,
+  1 - coalesce(n_common, 0) / n_words AS mine, coalesce(parts, 0) AS parts, {" + ".join(_HALF.format(p=f"(c_{k} / chars)", q=f"q_{k}") for k in _BINS)} AS cd, {" + ".join(_CHANCE.format(q=f"q_{k}", n="chars") for k in _BINS)} AS cc
+  FROM m LEFT JOIN rep USING (r) LEFT JOIN held USING (r) LEFT JOIN refs USING (l) LEFT JOIN shares USING (l)),
+v AS (SELECT *, parts + share / 2 + {_HALF.format(p="mine", q="rare")} AS wd, {_CHANCE.format(q="rare", n="n_words")} + list_sum(list_transform(qs, lambda q: {_CHANCE.format(q="q", n="n_words")})) AS wc,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+NOT base_failed AND NOT coalesce(by_word AND wd > wc + 0.15, false) AND NOT coalesce(by_class AND cd > cc + 0.1, false) AS kept,
+CASE WHEN by_class THEN round(sqrt(greatest(cd, 0)), 6) END AS class_distance, CASE WHEN by_word THEN round(sqrt(greatest(wd, 0)), 6) END AS word_distance FROM v"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_brown_lm": op1_brown_lm,
@@ -137,8 +170,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
         "op10_chat": op10_chat,
+        "op12_divergence": op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2_ORACLE, "op4_url_filter": _OP4_ORACLE, "op7_exact_dedup": _OP7_ORACLE}
+    return {"op2_decontamination": _OP2_ORACLE, "op4_url_filter": _OP4_ORACLE, "op7_exact_dedup": _OP7_ORACLE, "op12_divergence": _OP12_ORACLE}
