@@ -110,6 +110,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovered_turns(_read(spark, sf_dir, "conversations"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstack.llm.filter_audit import filter_audit
+
+    return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamstack.llm.divergence import quality_rules
 
@@ -158,6 +164,19 @@ NOT base_failed AND NOT coalesce(by_word AND wd > wc + 0.15, false) AND NOT coal
 CASE WHEN by_class THEN round(sqrt(greatest(cd, 0)), 6) END AS class_distance, CASE WHEN by_word THEN round(sqrt(greatest(wd, 0)), 6) END AS word_distance FROM v"""
 
 
+_OP11_ORACLE = r"""WITH RECURSIVE x AS (SELECT *, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b,
+  100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM x LEFT JOIN lab USING (doc_id)),
+m AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda y: (y = 'A' AND a) OR (y = 'B' AND b) OR (y = 'C' AND c) OR (y = 'D' AND d) OR (y = 'E' AND e)) AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+p AS (SELECT [y] AS o FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(y) UNION ALL SELECT list_append(o, y) FROM p, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(y) WHERE NOT list_contains(o, y)),
+s AS (SELECT array_to_string(o, '') AS filter_order, CAST(i AS INT) AS step, o[i] AS letter, list_slice(o, 1, i - 1) AS before FROM (SELECT o, unnest(range(1, 6)) AS i FROM p WHERE len(o) = 5)),
+r AS (SELECT part, filter_order, step, letter, list_contains(fails, letter) AS hit, list_has_any(fails, before) AS gone, fails = [letter] AS alone, n, good, toxic FROM m CROSS JOIN s),
+g AS (SELECT part, filter_order, step, letter, CAST(coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_brown_lm": op1_brown_lm,
@@ -170,9 +189,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
         "op10_chat": op10_chat,
+        "op11_filter_audit": op11_filter_audit,
         "op12_divergence": op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2_ORACLE, "op4_url_filter": _OP4_ORACLE, "op7_exact_dedup": _OP7_ORACLE, "op12_divergence": _OP12_ORACLE}
+    return {"op2_decontamination": _OP2_ORACLE, "op4_url_filter": _OP4_ORACLE, "op7_exact_dedup": _OP7_ORACLE, "op11_filter_audit": _OP11_ORACLE, "op12_divergence": _OP12_ORACLE}
