@@ -70,3 +70,26 @@ def set_hash(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFr
     fold = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ""), 256)
     parts = rows.groupBy(*keys, F.substring(column, 1, 3).alias("_part")).agg(fold(column).alias("_hash"))
     return parts.groupBy(*keys).agg(fold(F.concat("_part", "_hash")).alias(name))
+
+
+#: A multiset of row hashes is told by so many sums of so many hex digits each.
+LANES, LANE = 4, 15
+_SIZE = 1 << 4 * LANE
+
+
+def multiset_hash(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """``name`` for each key: a hash of its multiset of row hashes (SHA-256 in hex), whatever their order.
+
+    It is a sum, so that it combines before the shuffle, and a changed row is subtracted and added (``changed_hash``).
+    """
+    lane = lambda i: F.conv(F.substring(column, 1 + LANE * i, LANE), 16, 10).cast("decimal(38,0)")
+    sums = rows.groupBy(*keys).agg(*[F.sum(lane(i)).alias(f"_lane{i}") for i in range(LANES)])
+    shown = [F.lpad(F.lower(F.hex(F.pmod(F.col(f"_lane{i}"), F.lit(_SIZE).cast("decimal(38,0)")).cast("long"))), LANE, "0") for i in range(LANES)]
+    return sums.select(*keys, F.concat(*shown).alias(name))
+
+
+def changed_hash(before: str, added: str, removed: str) -> str:
+    """The multiset hash after rows were added and removed; '' is the hash of no rows."""
+    lanes = lambda h: [int(h[i * LANE : (i + 1) * LANE] or "0", 16) for i in range(LANES)]
+    new = [(x + y - z) % _SIZE for x, y, z in zip(lanes(before), lanes(added), lanes(removed), strict=True)]
+    return "".join(f"{x:0{LANE}x}" for x in new) if any(new) else ""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loamstack.functions.identity import digest
 from loamstack.model import LimitExceeded, ReadLimits, require_scope
+from loamstack.operators.index import Index
+from loamstack.operators.index import search as indexed
 from loamstack.operators.search import search
 
 
@@ -44,6 +46,14 @@ def query(pages: DataFrame, links: DataFrame, scope: str, text: str, limits: Rea
     return Evidence(hits, citations(hits), hit_links(hits, links.where(F.col("scope") == scope), limits.page_limit, limits.page_limit))
 
 
+def query_indexed(index: Index, pages: DataFrame, links: DataFrame, scope: str, text: str, limits: ReadLimits | None = None) -> Evidence:
+    """The same from the written index: ``pages`` is read by the ids of the hits, a page limit at most."""
+    limits = limits or ReadLimits()
+    found = indexed(index, pages, scope, text, limits.pages, limits.characters)
+    hits = pages.sparkSession.createDataFrame(found.collect(), found.schema)
+    return Evidence(hits, citations(hits), hit_links(hits, links.where(F.col("scope") == scope), limits.page_limit, limits.page_limit))
+
+
 def read_pages(pages: DataFrame, scope: str, ids: list[str], limits: ReadLimits | None = None) -> DataFrame:
     """Pages in the order asked for, up to the page limit; a missing page or a passed size bound raises."""
     limits = limits or ReadLimits()

@@ -32,13 +32,19 @@ MESSAGES = {
     "index.broken_page": "index points to a page that does not exist",
     "index.missing_page": "canonical page is not listed in index",
     "page.orphan": "page has no incoming wiki link or index entry",
-    "log.malformed": "log contains a non-structured or incomplete entry",
+    "log.malformed": "log entry is not a complete structured commit record",
     "log.duplicate_operation": "log contains duplicate operation IDs",
     "log.schema_mismatch": "log entry schema digest differs from the current schema",
     "log.order": "log entry file list is not deterministic",
     "log.missing_file": "log entry cites a file absent from canonical Markdown",
     "projection.drift": "SQL/search projection is not ready or does not match canonical Markdown",
+    "projection.unavailable": "configured search index does not expose projection drift checks",
+    "lint.provider_unavailable": "optional maintainer lint could not read schema",
+    "lint.provider_failed": "optional maintainer lint failed without changing canonical content",
+    "lint.suggestion": "optional maintainer suggested a reviewable edit",
 }
+#: The other text of log.malformed, of a line that is no list item.
+NO_LIST_ITEM = "log contains a non-structured entry"
 
 
 def _finding(df: DataFrame, code: str | Column, severity: str, path: Column | None = None, page: Column | None = None, refs: Column | None = None, message: str | None = None) -> DataFrame:
@@ -118,32 +124,45 @@ def link_findings(pages: DataFrame, links: DataFrame, index: DataFrame) -> DataF
 
 
 def log_entries(log: DataFrame) -> DataFrame:
-    """line_no, raw, record, complete of the log's entries (``log``: body); blank lines and headings are skipped."""
-    rows = log.select(F.posexplode(lines(F.col("body"))).alias("line_no", "line")).withColumn("raw", trimmed(F.col("line")))
-    rows = rows.where("raw <> '' AND NOT startswith(raw, '#')")
-    record = F.from_json(F.when(F.col("raw").startswith("- "), F.substring("raw", 3, 1 << 30)), LOG_RECORD)
+    """line_no, listed, record, complete of the log's lines (line_no, line); blank lines and headings are skipped."""
+    rows = log.withColumn("raw", trimmed(F.col("line"))).where("raw <> '' AND NOT startswith(raw, '#')")
+    listed = F.col("raw").startswith("- ")
+    record = F.from_json(F.when(listed, F.substring("raw", 3, 1 << 30)), LOG_RECORD)
     full = (F.coalesce(F.col("record.operation_id"), F.lit("")) != "") & (F.coalesce(F.col("record.generation"), F.lit("")) != "") & (F.coalesce(F.size("record.files"), F.lit(0)) > 0)
-    return rows.select("line_no", "raw", record.alias("record")).withColumn("complete", F.coalesce(full, F.lit(False)))
+    return rows.select("line_no", listed.alias("listed"), record.alias("record")).withColumn("complete", F.coalesce(full, F.lit(False)))
+
+
+def text_lines(text: DataFrame) -> DataFrame:
+    """line_no, line of one text (body)."""
+    return text.select(F.posexplode(lines(F.col("body"))).alias("line_no", "line"))
 
 
 def log_findings(log: DataFrame, schema_digest: str, files: DataFrame) -> DataFrame:
-    """``files``: path of every canonical file."""
+    """``log``: line_no, line, in any order and any number of tasks; ``files``: path of every canonical file."""
     entries = log_entries(log)
-    again = F.row_number().over(Window.partitionBy("complete", "record.operation_id").orderBy("line_no"))
-    good = F.col("complete")
+    good, path = F.col("complete"), F.lit(LOG_PATH)
     own = _each(
-        entries.withColumn("again", again),
+        entries,
         {
-            "log.malformed": ~good,
-            "log.duplicate_operation": good & (F.col("again") > 1),
+            "log.malformed": ~good & F.col("listed"),
             "log.schema_mismatch": good & ~F.col("record.schema_digest").eqNullSafe(F.lit(schema_digest)),
             "log.order": good & (F.col("record.files") != F.array_sort("record.files")),
         },
         ERROR,
-        F.lit(LOG_PATH),
+        path,
     )
-    cited = entries.where("complete").select(F.explode("record.files").alias("path"))
-    return own.unionByName(_finding(cited.join(files, "path", "left_anti"), "log.missing_file", ERROR, F.col("path")))
+    whole = entries.where(good).select("line_no", F.col("record.operation_id").alias("operation_id"))
+    # each entry after an operation's first one; a join, since the engine splits an operation with very many
+    first = whole.groupBy("operation_id").agg(F.min("line_no").alias("first"))
+    again = whole.join(first, "operation_id").where("line_no > first")
+    cited = entries.where(good).select(F.explode("record.files").alias("path"))
+    parts = [
+        own,
+        _finding(entries.where("NOT listed"), "log.malformed", ERROR, path, message=NO_LIST_ITEM),
+        _finding(again, "log.duplicate_operation", ERROR, path),
+        _finding(cited.join(files, "path", "left_anti"), "log.missing_file", ERROR, F.col("path")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def projection_finding(state: DataFrame, snapshot_digest: str) -> DataFrame:
@@ -152,16 +171,27 @@ def projection_finding(state: DataFrame, snapshot_digest: str) -> DataFrame:
     return _finding(ok.where("NOT ok"), "projection.drift", ERROR)
 
 
+def projection_unavailable(spark) -> DataFrame:
+    """The finding of an engine whose index keeps no state to compare."""
+    return _finding(spark.range(1), "projection.unavailable", INFO)
+
+
 def suggestions(findings: DataFrame, suggest=None) -> DataFrame:
-    """Findings of an optional callable that sees the findings so far and returns texts; its failure is a warning."""
+    """Findings of an optional callable that sees the findings so far and returns the paths that it would edit.
+
+    A callable that raises ``LookupError`` could not read the schema; any other failure is a warning of its own.
+    """
     spark = findings.sparkSession
     schema = "code string, severity string, path string, page_id string, message string, refs array<string>"
     if suggest is None:
         return spark.createDataFrame([], schema)
+    one = lambda code, severity, path=None: (code, severity, path, None, MESSAGES[code], None)
     try:
-        rows = [("lint.suggestion", INFO, None, None, str(x)[:4096], None) for x in suggest([r.asDict() for r in ordered(findings).limit(200).collect()])]
+        rows = [one("lint.suggestion", INFO, str(x)) for x in suggest([r.asDict() for r in ordered(findings).limit(200).collect()])]
+    except LookupError:
+        rows = [one("lint.provider_unavailable", WARNING)]
     except Exception:  # noqa: BLE001  whatever the callable raises is one finding
-        rows = [("lint.provider_failed", WARNING, None, None, "the suggestion provider failed", None)]
+        rows = [one("lint.provider_failed", WARNING)]
     return spark.createDataFrame(rows, schema)
 
 

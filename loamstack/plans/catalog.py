@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstack.functions import identity, lexical, markdown
-from loamstack.operators import acceptance, edits, evidence, graph, lint, search, work
+from loamstack.operators import acceptance, batch, edits, evidence, graph, lint, search, work
 from loamstack.plans import oracles as O
+from loamstack.plans import shared
 from loamstack.plans import views as V
 from loamstack.sinks.projection import snapshot_digest
 from loamstack.sources import bootstrap
@@ -124,6 +125,44 @@ def search_topk_ties(spark, d):
     return search.ranked(search.matches(V.pages(spark, d), ["the"]), 1, 100).select("page_id", "path", "score")
 
 
+@_query(_SCORED + "SELECT CAST(row_number() OVER (ORDER BY matched = 3 DESC, score DESC, path, page_id) - 1 AS INT) AS place, page_id, path, matched = 3 AS strict, score FROM scored QUALIFY place < 20")
+def search_top_from_blocks(spark, d):
+    """The two-phase top k from a written index, without a read of any text."""
+    pages = V.pages(spark, d).withColumn("scope", F.lit("all"))
+    return shared.written_index(pages).best("all", TERMS, 20)
+
+
+#: Questions: the first line's terms of every document whose id is divisible by 20; BM25 of all pages that hold a term.
+_ASKED = f"""{O.POSTINGS}, qs AS (SELECT doc_id AS question, scope, page_id, {O.tok('title')} AS t FROM pages_v WHERE doc_id % 20 = 0),
+qtok AS (SELECT question, scope, unnest(t) AS term, unnest(range(len(t))) AS i FROM qs),
+qf AS (SELECT question, scope, term, min(i) AS i FROM qtok WHERE term NOT IN {O.FRAMING} AND length(term) <= 256 GROUP BY ALL),
+qr AS (SELECT question, scope, term, row_number() OVER w AS n, sum(length(term)) OVER w AS r FROM qf WINDOW w AS (PARTITION BY question ORDER BY i)),
+qt AS (SELECT question, scope, term, count(*) OVER (PARTITION BY question) AS n_terms FROM qr WHERE n <= 32 AND r <= 256),
+stats AS (SELECT count(*) AS n, avg(dl) AS mean FROM dls), dfs AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY term),
+sc AS (SELECT question, p.scope, p.page_id, 'wiki/' || p.page_id || '.md' AS path, count(*) = max(n_terms) AS strict,
+  round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (8.0 * tf_title + tf_body) * 2.2 / ((8.0 * tf_title + tf_body) + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM qt JOIN post p ON p.term = qt.term{{scope}} JOIN dfs ON dfs.term = qt.term JOIN dls ON dls.scope = p.scope AND dls.page_id = p.page_id CROSS JOIN stats GROUP BY question, p.scope, p.page_id),
+best AS (SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY strict DESC, score DESC, path, page_id) - 1 AS INT) AS place, page_id, strict, score FROM sc)"""
+
+
+def _questions(pages):
+    asked = pages.where(F.substring_index("page_id", "/", -1).cast("long") % 20 == 0)
+    return asked.select(F.substring_index("page_id", "/", -1).cast("long").alias("question"), "scope", lexical.summary_terms(F.col("title")).alias("terms"), F.col("page_id").alias("wanted"))
+
+
+@_query("WITH " + _ASKED.replace("{scope}", " AND p.scope = qt.scope") + " SELECT question, place, page_id, strict, score FROM best WHERE place < 5")
+def search_batch(spark, d):
+    pages = V.pages(spark, d)
+    return shared.written_index(pages).top(_questions(pages), 5).select("question", "place", "page_id", "strict", "score")
+
+
+@_query("WITH " + _ASKED.replace("{scope}", " AND p.scope = qt.scope") + ", hit AS (SELECT question, bool_or(best.page_id = qs.page_id AND place < 5) AS hit FROM qs LEFT JOIN best USING (question) GROUP BY question) SELECT count(*) AS queries, count(*) FILTER (hit) AS hits, count(*) FILTER (hit) >= ceil(count(*) * 0.85) AS passed FROM hit")
+def retrieval_gate(spark, d):
+    """How many documents their own first line finds among the first five hits of their scope."""
+    pages = V.pages(spark, d)
+    return batch.retrieval_gate(shared.written_index(pages), _questions(pages), 5, 0.85)
+
+
 def _excerpt(limit: int) -> str:
     return f"WITH {O.PAGES} SELECT page_id, {O.excerpt('title', 'body', TERMS, limit)} AS snippet FROM pages_v"
 
@@ -278,6 +317,21 @@ def context_select(spark, d):
     return graph.context_pages(pages, V.links(spark, d), "all", FREQUENT, 20)
 
 
+@_query(
+    "WITH " + _ASKED.replace("{scope}", "") + f""", {O.LINKS}, {_BOTH}, c AS (SELECT question, page_id, place AS ordinal FROM best WHERE place < {graph.candidate_quota(20)}),
+near AS (SELECT question, other AS page_id, min(ordinal) AS rank FROM both_v b JOIN c ON b.page_id = c.page_id WHERE other <> b.page_id AND other IN (SELECT page_id FROM pages_v) GROUP BY ALL),
+n AS (SELECT question, page_id, row_number() OVER (PARTITION BY question ORDER BY rank, 'wiki/' || page_id || '.md') AS i FROM near ANTI JOIN c USING (question, page_id)),
+have AS (SELECT question, 0 AS phase, ordinal AS i, page_id FROM c UNION ALL SELECT question, 1, i, page_id FROM n LEFT JOIN (SELECT question, count(*) AS k FROM c GROUP BY question) USING (question) WHERE i <= 19 - coalesce(k, 0)
+  UNION ALL SELECT question, 2, 0, 'index' FROM qs),
+late AS (SELECT question, 3 AS phase, i, page_id FROM (SELECT q.question, r.i, r.page_id FROM qs q CROSS JOIN (SELECT page_id, row_number() OVER (ORDER BY updated_at DESC, path) AS i FROM pages_v QUALIFY i <= 41) r) ANTI JOIN have USING (question, page_id))
+SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY phase, i) - 1 AS INT) AS place, page_id FROM (SELECT * FROM have UNION ALL SELECT * FROM late) QUALIFY place < 20"""
+)
+def context_select_batch(spark, d):
+    """The context of many sources at once: quotas, neighbours and recent pages as windows by question."""
+    pages = V.pages(spark, d).withColumn("scope", F.lit("all"))
+    return batch.context_pages(shared.written_index(pages), pages, V.links(spark, d), _questions(pages), 20)
+
+
 # --- evidence
 
 _HITS = _SCORED + ", hits5 AS (SELECT page_id, path FROM scored ORDER BY matched = 3 DESC, score DESC, path LIMIT 20)"
@@ -350,6 +404,15 @@ def projection_row_hash(spark, d):
     return identity.set_hash(rows, ["scope"], "h", "rows_digest")
 
 
+_LANES = " || ".join(f"lpad(lower(to_hex(CAST(sum(CAST('0x' || substring(h, {1 + identity.LANE * i}, {identity.LANE}) AS UBIGINT)) % {1 << 4 * identity.LANE} AS UBIGINT))), {identity.LANE}, '0')" for i in range(identity.LANES))
+
+
+@_query(f"WITH {O.PAGES} SELECT scope, {_LANES} AS rows_digest FROM (SELECT scope, sha256(concat_ws('|', page_id, path, digest, title)) AS h FROM pages_v) GROUP BY scope")
+def projection_multiset_hash(spark, d):
+    rows = V.pages(spark, d).select("scope", F.sha2(F.concat_ws("|", "page_id", "path", "digest", "title"), 256).alias("h"))
+    return identity.multiset_hash(rows, ["scope"], "h", "rows_digest")
+
+
 @_query(f"WITH {O.PAGES}, {O.LINKS} SELECT scope, count(*) AS page_count, 0::BIGINT AS link_count FROM pages_v GROUP BY scope UNION ALL SELECT 'all', 0, count(*) FROM links_v")
 def projection_state(spark, d):
     return snapshot_digest(V.pages(spark, d), V.links(spark, d)).select("scope", "page_count", "link_count")
@@ -408,12 +471,13 @@ def lint_health(spark, d):
 @_query(
     """WITH e AS (SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'gibberish' WHEN 1 THEN '- {"operation_id": "op' || user_id || '", "generation": "g", "schema_digest": "s", "source_refs": [], "files": ["b", "a"]}'
 WHEN 2 THEN '- {"operation_id": "op' || event_id || '", "generation": "", "files": ["a"]}' WHEN 3 THEN '# heading' ELSE '- {"operation_id": "op' || event_id || '", "generation": "g", "schema_digest": "other", "files": ["a", "c"]}' END AS line FROM events),
-found AS (SELECT 'log.malformed' AS code, 'wiki/log.md' AS path FROM e WHERE event_id % 5 IN (0, 2)
-UNION ALL SELECT 'log.duplicate_operation', 'wiki/log.md' FROM (SELECT row_number() OVER (PARTITION BY user_id) AS r FROM e WHERE event_id % 5 = 1) WHERE r > 1
-UNION ALL SELECT 'log.schema_mismatch', 'wiki/log.md' FROM e WHERE event_id % 5 = 4
-UNION ALL SELECT 'log.order', 'wiki/log.md' FROM e WHERE event_id % 5 = 1
-UNION ALL SELECT 'log.missing_file', 'c' FROM e WHERE event_id % 5 = 4)
-SELECT code, path, count(*) AS n FROM found GROUP BY ALL"""
+found AS (SELECT 'log.malformed' AS code, 'wiki/log.md' AS path, 'log contains a non-structured entry' AS message FROM e WHERE event_id % 5 = 0
+UNION ALL SELECT 'log.malformed', 'wiki/log.md', 'log entry is not a complete structured commit record' FROM e WHERE event_id % 5 = 2
+UNION ALL SELECT 'log.duplicate_operation', 'wiki/log.md', 'log contains duplicate operation IDs' FROM (SELECT row_number() OVER (PARTITION BY user_id) AS r FROM e WHERE event_id % 5 = 1) WHERE r > 1
+UNION ALL SELECT 'log.schema_mismatch', 'wiki/log.md', 'log entry schema digest differs from the current schema' FROM e WHERE event_id % 5 = 4
+UNION ALL SELECT 'log.order', 'wiki/log.md', 'log entry file list is not deterministic' FROM e WHERE event_id % 5 = 1
+UNION ALL SELECT 'log.missing_file', 'c', 'log entry cites a file absent from canonical Markdown' FROM e WHERE event_id % 5 = 4)
+SELECT code, path, message, count(*) AS n FROM found GROUP BY ALL"""
 )
 def lint_log_records(spark, d):
     i, u = F.col("event_id"), F.col("user_id")
@@ -424,9 +488,9 @@ def lint_log_records(spark, d):
         .when(i % 5 == 3, "# heading")
         .otherwise(F.concat(F.lit('- {"operation_id": "op'), i, F.lit('", "generation": "g", "schema_digest": "other", "files": ["a", "c"]}')))
     )
-    log = V.table(spark, d, "events").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(i, line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    log = V.table(spark, d, "events").select(i.alias("line_no"), line.alias("line"))
     files = spark.createDataFrame([("a",), ("b",)], "path string")
-    return lint.log_findings(log, "s", files).groupBy("code", "path").agg(F.count(F.lit(1)).alias("n"))
+    return lint.log_findings(log, "s", files).groupBy("code", "path", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- operations

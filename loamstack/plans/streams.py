@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstack.model import ENVELOPES
 from loamstack.plans import views as V
+from loamstack.plans.shared import folder
 from loamstack.sinks.store import Store
 from loamstack.streaming.ingest import accept_stream, state_stream
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one of the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loamstack-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def accepted_once(spark: SparkSession, d: str) -> DataFrame:
-    base = _folder(spark)
+    base = folder(spark, "stream")
     V.envelopes(spark, d).select(*ENVELOPES.fieldNames()).write.parquet(f"{base}/in")
     store = Store(spark, f"{base}/store")
     accept_stream(spark.readStream.schema(ENVELOPES).parquet(f"{base}/in"), store, ENVELOPES, f"{base}/checkpoint").awaitTermination()
@@ -29,7 +21,7 @@ def accepted_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 def states_once(spark: SparkSession, d: str) -> DataFrame:
-    base = _folder(spark)
+    base = folder(spark, "stream")
     # one text that sorts as (ts, event_id) does
     at = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("|"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
     V.events(spark, d).select("op", at.alias("at"), "event").write.parquet(f"{base}/in")

@@ -1,17 +1,30 @@
-"""The projection of a workspace: pages, links, postings and lengths by scope, and one state row for each scope."""
+"""The projection of a workspace: pages, links, the index and one state row for each scope.
+
+A rebuild replaces a scope's rows in every table; a commit advances them by the pages that it changed. Either is part of one
+transaction of the ledger. The snapshot's digest is a sum over rows, so that a commit subtracts the old rows and adds the new.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.functions.identity import row_hash, set_hash
+from loamstack.functions.identity import changed_hash, multiset_hash, row_hash
 from loamstack.functions.markdown import wiki_links
 from loamstack.model import LINKS, PAGES, STATE, require_scope
-from loamstack.operators.search import doc_lengths, postings
-from loamstack.sinks.store import Store
+from loamstack.operators import index as I
+from loamstack.sinks.ledger import Ledger, Snapshot, Transaction
 
-POSTINGS = "scope string, page_id string, term string, tf_title long, tf_body long"
+#: Tables of the projection, their schemas and what orders their rows in files, so that a filter skips row groups.
+TABLES = {
+    "pages": (PAGES, ["scope", "page_id"]),
+    "links": (LINKS, ["scope", "from_page"]),
+    "blocks": (I.BLOCKS, ["scope", "term"]),
+    "extent": (I.EXTENT, []),
+    "voids": (I.VOIDS, []),
+    "gone": (I.GONE, []),
+    "state": (STATE, []),
+}
 
 
 def page_hash():
@@ -25,37 +38,81 @@ def snapshot_digest(pages: DataFrame, links: DataFrame) -> DataFrame:
     e = links.select("scope", row_hash(F.lit("link"), F.col("from_page"), F.col("to_page"), F.col("relation")).alias("h"), F.lit(0).alias("p"), F.lit(1).alias("l"))
     both = p.unionByName(e)
     counts = both.groupBy("scope").agg(F.sum("p").cast("long").alias("page_count"), F.sum("l").cast("long").alias("link_count"))
-    return set_hash(both, ["scope"], "h", "snapshot_digest").join(counts, "scope")
+    return multiset_hash(both, ["scope"], "h", "snapshot_digest").join(counts, "scope")
+
+
+def _digest(scope: str, pages: DataFrame, links: DataFrame) -> tuple[str, int, int]:
+    row = snapshot_digest(pages, links).where(F.col("scope") == scope).first()
+    return (row["snapshot_digest"], row["page_count"], row["link_count"]) if row else ("", 0, 0)
+
+
+def _state(scope: str, schema_digest: str, found: tuple[str, int, int], now) -> dict:
+    return {"scope": scope, "schema_digest": schema_digest, "snapshot_digest": found[0], "page_count": found[1], "link_count": found[2], "ready_at": now}
+
+
+def index(ledger: Ledger, at: Snapshot | None = None) -> I.Index:
+    """The index as one version of the ledger has it."""
+    at = at or ledger.snapshot()
+    return I.Index(*[ledger.get(name, TABLES[name][0], at) for name in ("blocks", "extent", "voids", "gone")])
 
 
-def rebuild(store: Store, scope: str, pages: DataFrame, schema_digest: str, now) -> dict:
+def rebuild(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str, now) -> dict:
     """Replace one scope's rows in every table; an empty snapshot clears the scope and is ready too."""
     require_scope(scope)
+    tx = ledger.begin()
     pages = pages.where(F.col("scope") == scope).select(*PAGES.fieldNames())
     links = wiki_links(pages).select(*LINKS.fieldNames())
-    tables = {"pages": (pages, PAGES), "links": (links, LINKS), "postings": (postings(pages), None), "lengths": (doc_lengths(pages), None)}
-    for name, (rows, schema) in tables.items():
-        schema = schema or rows.schema
-        others = store.get(name, schema).where(F.col("scope") != scope)
-        # sorted by term, so that a term filter skips row groups
-        both = others.unionByName(rows.select(*others.columns))
-        store.put(name, both.repartitionByRange("scope", "term").sortWithinPartitions("scope", "term") if name == "postings" else both)
-    row = snapshot_digest(pages, links).first()
-    state = {"scope": scope, "schema_digest": schema_digest, "snapshot_digest": row["snapshot_digest"] if row else "", "page_count": row["page_count"] if row else 0, "link_count": row["link_count"] if row else 0, "ready_at": now}
-    others = store.get("state", STATE).where(F.col("scope") != scope)
-    store.put("state", others.unionByName(pages.sparkSession.createDataFrame([tuple(state.values())], STATE)))
+    state = _state(scope, schema_digest, _digest(scope, pages, links), now)
+    none = {name: ledger.spark.createDataFrame([], schema) for name, (schema, _) in TABLES.items()}
+    own = none | {"pages": pages, "links": links, "blocks": I.blocks(pages, tx.number), "extent": I.extent(pages), "state": ledger.spark.createDataFrame([tuple(state.values())], STATE)}
+    for name, (schema, order) in TABLES.items():
+        both = tx.get(name, schema).where(F.col("scope") != scope).unionByName(own[name].select(*schema.fieldNames()))
+        tx.put(name, both.repartitionByRange(*order).sortWithinPartitions(*order) if order else both)
+    tx.commit(note="rebuild")
     return state
 
 
-def is_current(store: Store, scope: str, pages: DataFrame, schema_digest: str) -> bool:
+def advance(tx: Transaction, scope: str, new: DataFrame, schema_digest: str, now) -> dict:
+    """Bring the projection up to pages that a commit writes (PAGES, few, each id once); all else stays as it is.
+
+    The rows written are those of the changed pages, whatever the size of the scope. There must be a state row.
+    """
+    spark = tx.ledger.spark
+    tx.guard(*TABLES)
+    ids = [r[0] for r in new.select("page_id").collect()]  # of a plan's files
+    held = tx.get("pages", PAGES).where((F.col("scope") == scope) & F.col("page_id").isin(*ids))
+    old = spark.createDataFrame(held.collect(), PAGES)  # as few, and bounded by a plan's sizes
+    pages = tx.upsert("pages", new.select(*PAGES.fieldNames()).coalesce(1), ["scope", "page_id"], n=len(ids))
+    links = wiki_links(pages).select(*LINKS.fieldNames())
+    was = wiki_links(old).select(*LINKS.fieldNames())
+    tx.upsert("links", links.coalesce(1), ["scope", "from_page"], pages.select("scope", F.col("page_id").alias("from_page")), n=len(ids))
+    tx.append("blocks", I.blocks(pages, tx.number).coalesce(1).sortWithinPartitions("scope", "term"), n=len(ids))
+    gone = I.extent(old).select("scope", (-F.col("pages")).alias("pages"), (-F.col("tokens")).alias("tokens"))
+    tx.append("extent", I.extent(pages).unionByName(gone).coalesce(1))
+    if old.count():
+        tx.append("voids", old.select("scope", "page_id", F.lit(tx.number).cast("long").alias("before")).coalesce(1), n=len(ids))
+        tx.append("gone", I.term_counts(old).coalesce(1), n=len(ids))
+    before = tx.get("state", STATE).where(F.col("scope") == scope).first()
+    added, removed = _digest(scope, pages, links), _digest(scope, old, was)
+    now_is = changed_hash(before["snapshot_digest"], added[0], removed[0]), before["page_count"] + added[1] - removed[1], before["link_count"] + added[2] - removed[2]
+    state = _state(scope, schema_digest, now_is, now)
+    tx.upsert("state", spark.createDataFrame([tuple(state.values())], STATE).coalesce(1), ["scope"])
+    return state
+
+
+def tidy(ledger: Ledger) -> list[str]:
+    """Merge the segments of tables that have many."""
+    return [name for name, (schema, _) in TABLES.items() if ledger.compact(name, schema)]
+
+
+def is_current(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str) -> bool:
     """Whether the state row is that of these pages and this schema."""
-    state = store.get("state", STATE).where(F.col("scope") == scope).first()
-    row = snapshot_digest(pages, wiki_links(pages)).where(F.col("scope") == scope).first()
-    return state is not None and state["schema_digest"] == schema_digest and state["snapshot_digest"] == (row["snapshot_digest"] if row else "")
+    state = ledger.get("state", STATE).where(F.col("scope") == scope).first()
+    return state is not None and state["schema_digest"] == schema_digest and state["snapshot_digest"] == _digest(scope, pages, wiki_links(pages))[0]
 
 
-def ensure(store: Store, scope: str, pages: DataFrame, schema_digest: str, now) -> bool:
+def ensure(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str, now) -> bool:
     """Check, rebuild if it drifted, check again."""
-    if not is_current(store, scope, pages, schema_digest):
-        rebuild(store, scope, pages, schema_digest, now)
-    return is_current(store, scope, pages, schema_digest)
+    if not is_current(ledger, scope, pages, schema_digest):
+        rebuild(ledger, scope, pages, schema_digest, now)
+    return is_current(ledger, scope, pages, schema_digest)

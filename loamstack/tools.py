@@ -7,14 +7,10 @@ refuses by raising. A call that Spark has not answered within the limits' ``seco
 from __future__ import annotations
 
 import json
-import threading
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
-
+from loamstack.deadline import DeadlineExceeded, deadline
 from loamstack.engine import Engine
 from loamstack.model import ReadLimits
 from loamstack.operators import evidence
@@ -32,37 +28,6 @@ class ScopeOverride(ValueError):
     """A call that names a scope."""
 
 
-class DeadlineExceeded(TimeoutError):
-    """The call's jobs were cancelled."""
-
-
-@contextmanager
-def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
-    """Cancel the jobs begun in the block (by this thread) that are not done after ``seconds``; none where it is zero."""
-    if not seconds:
-        yield
-        return
-    context, tag, passed = spark.sparkContext, f"read-{uuid.uuid4().hex}", threading.Event()
-
-    def cancel() -> None:
-        passed.set()
-        context.cancelJobsWithTag(tag)
-
-    timer = threading.Timer(seconds, cancel)
-    timer.daemon = True
-    context.addJobTag(tag)
-    timer.start()
-    try:
-        yield
-    except Exception as error:
-        if passed.is_set():
-            raise DeadlineExceeded(f"no answer within {seconds} seconds") from error
-        raise
-    finally:
-        timer.cancel()
-        context.removeJobTag(tag)
-
-
 @dataclass(frozen=True)
 class Tool:
     name: str
@@ -113,3 +78,6 @@ class Tools:
     def _operation(self, id: str) -> dict:
         with deadline(self.engine.spark, self.limits.seconds):
             return self.engine.operation(id)
+
+
+__all__ = ["DeadlineExceeded", "InvalidArgument", "ScopeOverride", "Tool", "ToolNotFound", "Tools", "deadline"]

@@ -5,6 +5,7 @@ import pytest
 from loamstack.engine import Engine, Plan
 from loamstack.model import SourceConflict
 from loamstack.sinks import projection
+from loamstack.sinks.ledger import Ledger
 from loamstack.sinks.store import Store
 
 SOURCES = [("lease", "# Lease policy\nLeases renew every ten seconds and expire after thirty."), ("store", "# Storage choice\nThe embedded ledger keeps session memory durable."), ("lease", "# Lease policy\nLeases now expire after sixty seconds, see storage.")]
@@ -92,7 +93,7 @@ def test_store_recovers_from_a_cut_off_write(spark, tmp_path):
 def test_projection_is_rebuilt_by_scope(spark, tmp_path):
     from loamstack.plans import views
 
-    store, now = Store(spark, str(tmp_path)), dt.datetime(2026, 1, 1)
+    store, now = Ledger(spark, str(tmp_path)), dt.datetime(2026, 1, 1)
     pages = views.pages(spark, "/root/testdata/sf0.001")
     for scope in ("src0", "src1"):
         assert projection.ensure(store, scope, pages.where(f"scope = '{scope}'"), "d", now)

@@ -81,15 +81,19 @@ def test_raw_rules(spark):
 def test_log_rules(spark):
     entry = lambda **x: "- " + json.dumps({"operation_id": "o", "generation": "g", "schema_digest": "s", "source_refs": [], "files": ["a", "b"]} | x)
     body = "\n".join(["# Log", "", entry(), entry(files=["b", "a"]), entry(operation_id="p", schema_digest="t"), "text", "- {", entry(operation_id=""), entry(operation_id="q", files=["zz"])])
-    found = lint.log_findings(spark.createDataFrame([(body,)], "body string"), "s", spark.createDataFrame([("a",), ("b",)], "path string"))
+    found = lint.log_findings(lint.text_lines(spark.createDataFrame([(body,)], "body string")), "s", spark.createDataFrame([("a",), ("b",)], "path string"))
     assert sorted((r.code, r.path) for r in found.collect()) == [("log.duplicate_operation", "wiki/log.md"), *[("log.malformed", "wiki/log.md")] * 3, ("log.missing_file", "zz"), ("log.order", "wiki/log.md"), ("log.schema_mismatch", "wiki/log.md")]
+    assert sorted(r.message for r in found.where("code = 'log.malformed'").collect()) == ["log contains a non-structured entry"] + ["log entry is not a complete structured commit record"] * 2
 
 
 def test_suggestions(spark):
     none = spark.createDataFrame([], "code string, severity string, path string, page_id string, message string, refs array<string>")
     assert lint.suggestions(none).count() == 0
-    assert lint.suggestions(none, lambda seen: ["merge them"]).first().code == "lint.suggestion"
-    assert lint.suggestions(none, lambda seen: 1 / 0).first().code == "lint.provider_failed"
+    first = lambda suggest: tuple(lint.suggestions(none, suggest).first())[:3]
+    assert first(lambda seen: ["wiki/a.md"]) == ("lint.suggestion", "info", "wiki/a.md")
+    assert first(lambda seen: 1 / 0) == ("lint.provider_failed", "warning", None)
+    assert first(lambda seen: {}["schema"]) == ("lint.provider_unavailable", "warning", None)
+    assert tuple(lint.projection_unavailable(spark).first())[:2] == ("projection.unavailable", "info")
 
 
 @pytest.mark.parametrize("digest,n", [("x", 0), ("y", 1)])

@@ -9,7 +9,7 @@ from loamstack.engine import Engine
 from loamstack.functions import times
 from loamstack.operators import edits, evidence
 from loamstack.sinks import commit as C
-from loamstack.sinks.store import Store
+from loamstack.sinks.ledger import Ledger
 from loamstack.sources import bootstrap, workspace
 from loamstack.streaming.scheduler import Scheduler
 from tests.test_engine import Clock, maintainer
@@ -47,7 +47,7 @@ def test_stage_review_apply(spark, tmp_path):
 
 
 def test_a_changed_stage_is_refused(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
+    store = Ledger(spark, str(tmp_path))
     frame = spark.createDataFrame([("wiki/a.md", "", "x")], "path string, expected_digest string, content string")
     C.stage(store, frame, "o", "s", ["r"])
     assert C.load_stage(store, "o", "s").count() == 1 and C.load_stage(store, "none", "s") is None

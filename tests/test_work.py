@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from loamstack.model import OPERATIONS
 from loamstack.operators import acceptance, edits, work
-from loamstack.sinks.operations import Operations
-from loamstack.sinks.store import Store
+from loamstack.sinks.ledger import Ledger
+from loamstack.sinks.operations import Conflict, LeaseHeld, Operations, Refused
 
 T0 = dt.datetime(2026, 1, 1)
 SCHEMA = b"# Schema\nversion: 1\n"
@@ -68,7 +68,7 @@ def test_fold_against_a_loop(spark):
 
 
 def test_operations_store(spark, tmp_path):
-    ops = Operations(Store(spark, str(tmp_path)))
+    ops = Operations(Ledger(spark, str(tmp_path)))
     request = table(spark, op("x")).select("scope", "adapter", "source_id", "version", "digest", "schema_digest", "media_type", "manifest_ref", "schema_snapshot")
     first = ops.reserve(request, at(0)).collect()
     assert len(first) == 1 and first[0].operation_id == "s:a:x@1#" + "a" * 16
@@ -81,14 +81,24 @@ def test_operations_store(spark, tmp_path):
     token, ids = ops.claim("s", at(2))
     assert ids == [name] and ops.claim("s", at(3))[1] == []
     assert ops.renew(name, token, at(4)) and not ops.renew(name, "other", at(4))
-    assert ops.move(name, "commit", at(5)) == "received"
-    assert [ops.move(name, e, at(6)) for e in ("plan", "plan", "review")] == ["planned", "planned", "awaiting_review"]
-    assert ops.move(name, "apply", at(7), lease_expires_at=T0 + dt.timedelta(seconds=300)) == "applying"
-    ops.move(name, "apply", at(8))
+    with pytest.raises(Refused):
+        ops.move(name, "commit", at(5))
+    assert [ops.move(name, e, at(6), **({"plan_digest": "d"} if e == "plan" else {})) for e in ("plan", "plan", "review", "review")] == ["planned", "planned", "awaiting_review", "awaiting_review"]
+    before = ops.lease(name, T0 + dt.timedelta(seconds=7), 300)
+    with pytest.raises(LeaseHeld):
+        ops.lease(name, T0 + dt.timedelta(seconds=8), 300)
     assert ops.table().first().attempt == 1
-    ops.move(name, "apply", at(400))
+    ops.fenced(name, before, ops.ledger.snapshot())
+    now = ops.lease(name, T0 + dt.timedelta(seconds=400), 300)
     assert ops.table().first().attempt == 2
-    assert ops.move(name, "commit", at(401), generation="g") == "committed" and ops.move(name, "fail", at(402), failure_class="x") == "committed"
+    ops.fenced(name, now, ops.ledger.snapshot())
+    with pytest.raises(LeaseHeld):  # taken over
+        ops.fenced(name, before, ops.ledger.snapshot())
+    assert ops.move(name, "commit", at(401), generation="g") == "committed" == ops.move(name, "commit", at(402), generation="g")
+    with pytest.raises(Conflict):
+        ops.move(name, "commit", at(403), generation="h")
+    with pytest.raises(Refused):
+        ops.move(name, "fail", at(402), failure_class="x")
     assert ops.claim("s", at(1000))[1] == []
     assert work.public_operations(ops.table()).first().asDict() == {"operation_id": name, "status": "completed", "failure_class": None, "generation": "g"}
 
