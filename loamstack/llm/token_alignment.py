@@ -6,9 +6,9 @@ of B's pieces (the ``proto`` of the installed sentencepiece, which has taken the
 a token ends within a character, or a byte fallback or the added space makes a span wrong, the end follows from the token's
 own bytes, and every token's bytes are compared with the text, so that no span is taken on trust.
 
-Neither tokenizer has a token across the place where a space or line end follows another character that is no white space: A's expression starts a new
-piece there, B has no piece with a space or line end behind another character (checked when it is loaded). So texts are cut
-there into chunks, mostly words, and a worker keeps what it has found for a chunk. Spark carries the rest: the links of all
+Neither tokenizer has a token across the place where a space or line end follows a character that is no white space, or where a
+stop follows a Latin letter: A's expression starts a new piece there, B has no piece that holds such a place (checked when it is
+loaded). So texts are cut there into chunks, mostly words, and a worker keeps what it has found for a chunk. Spark carries the rest: the links of all
 documents are counted by a shuffle on the pair of ids, the counts come back to the documents by a join.
 
 Per document: doc_id, n_a, n_b (tokens), n_groups (runs between byte offsets at which tokens of both end), n_links (pairs of
@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 from loamstack.llm.bpe_transducer import byte_alphabet
 from loamstack.llm.common import binary_rows, lean, written
 
-#: A chunk: white space and what follows, up to a space or line end behind a character that is no white space.
-_CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-#: Chunks of a text in hand at a time; chunks and their bytes that a worker keeps.
-BLOCK, MEMO_CHUNKS, MEMO_BYTES = 50_000, 200_000, 16 << 20
+#: Where texts are cut, and places of that kind that no token of B may hold.
+_CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])")
+_HELD = re.compile(r"\n|[^ ] |[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]")
+#: Longest text whose chunks are in hand at once, chunks in hand of longer ones; chunks and their bytes that a worker keeps.
+WHOLE, BLOCK, MEMO_CHUNKS, MEMO_BYTES = 1 << 20, 50_000, 300_000, 48 << 20
 #: Pairs of ids whose counts are broadcast, the most frequent ones; all others are joined by a shuffle.
 BROADCAST_PAIRS = 1 << 18
 SPACE_MARK = "▁"
@@ -46,33 +47,26 @@ class NoTokens(Exception):
     """The tokens of a text do not join to it."""
 
 
-def ends(raw: bytes, pieces: list[bytes], coarse: list[int]) -> list[int]:
-    """Where each token ends in ``raw``, from the coarse ends of the library, corrected by the tokens' bytes."""
-    out, at = [], 0
-    for piece, end in zip(pieces, coarse, strict=True):
-        if end - at != len(piece):  # a part of a character, a fallback byte, an added space
-            end = at + len(piece)
-        if raw[at:end] != piece:
-            raise NoTokens
-        out.append(end)
-        at = end
-    if at != len(raw):
+def ends(raw: bytes, ids: list[int], names: list[bytes], sizes, coarse):
+    """Where each token ends in ``raw`` (an array), from the coarse ends of the library, corrected by the tokens' bytes."""
+    import numpy as np
+
+    if b"".join([names[i] for i in ids]) != raw:
         raise NoTokens
-    return out
+    fine = np.cumsum(sizes[np.array(ids, "i8")])
+    # where a token is a part of a character, a fallback byte or has a space added, its own bytes tell its end
+    return np.where(coarse == fine, coarse, fine)
+
 
+def in_bytes(text: str, coarse):
+    """Ends in characters as ends in bytes."""
+    import numpy as np
 
-def aligned(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[str], list[tuple[int, int]]]:
-    """The groups as text, and the links as pairs of ids, of tokens that cover the same bytes."""
-    groups, links, i, j, start_a, start_b = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        here, there = a_ends[i], b_ends[j]
-        i += here <= there
-        j += there <= here
-        if here == there:
-            groups.append(",".join(map(str, a[start_a:i])) + "|" + ",".join(map(str, b[start_b:j])))
-            start_a, start_b = i, j
-    return groups, links
+    if text.isascii():
+        return coarse
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    reach = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype("i8"))
+    return np.concatenate(([0], reach))[coarse]
 
 
 class Aligner:
@@ -80,6 +74,7 @@ class Aligner:
 
     def __init__(self, a_json: str, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -93,53 +88,97 @@ class Aligner:
         names = [self.b.id_to_piece(i) for i in range(len(self.b))]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(SPACE_MARK, " ").encode() for i, x in enumerate(names)]
         self.size = len(self.b)
-        # whether a text may be cut where a space or line end follows another character
-        self.cuts = not any(SPACE_MARK in x.lstrip(SPACE_MARK) or "\n" in x for x in names) and not self.b.is_unknown(self.b.piece_to_id(SPACE_MARK))
+        self.a_names = [self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), "i8") for x in (self.a_names, self.b_bytes))
+        # whether a text may be cut: no piece holds such a place, and a line end is a fallback byte
+        self.cuts = not any(_HELD.search(x.replace(SPACE_MARK, " ")) for x in names) and not self.b.is_unknown(self.b.piece_to_id(SPACE_MARK)) and self.b.id_to_piece(self.b.encode("\n")[-1]) == "<0x0A>"
         self.space = self.b.piece_to_id(SPACE_MARK)
         self.clear()
 
     def clear(self) -> None:
+        import numpy as np
+
         self.place: dict[str, int] = {}
-        self.facts, self.groups, self.links, self.kept = [], [], [], 0
+        self.groups, self.links, self.kept = [], [], 0
+        #: n_a, n_b, n_groups, n_links of each chunk kept; -1 where its tokens do not join to it.
+        self.facts = np.zeros((1024, 4), "i8")
 
     def chunks(self, text: str):
         """Lists of chunks of the text with its space before it."""
-        found = (m.group() for m in _CHUNK.finditer(" " + text)) if self.cuts else iter([" " + text])
-        while block := list(itertools.islice(found, BLOCK)):
-            yield block
-
-    def _pieces(self, chunk: str) -> list[tuple[int, int]]:
-        """id and coarse end (in bytes of the chunk) of B's tokens."""
-        if chunk == " ":
-            return [(self.space, 1)]
-        if chunk[0] == " ":  # B adds that space
-            return [(x.id, x.end + 1) for x in self.b.encode(chunk[1:], return_type="proto").pieces]
-        pieces = self.b.encode(chunk, return_type="proto").pieces
-        if not pieces or pieces[0].id != self.space:
-            raise NoTokens
-        return [(x.id, x.end) for x in pieces[1:]]
+        text = " " + text
+        if not self.cuts:
+            yield [text]
+        elif len(text) <= WHOLE:
+            yield _CUT.split(text)
+        else:
+            cuts = itertools.pairwise(itertools.chain([0], (m.start() for m in _CUT.finditer(text)), [len(text)]))
+            while block := [text[i:j] for i, j in itertools.islice(cuts, BLOCK)]:
+                yield block
+
+    def _of_b(self, text: str) -> tuple[list[int], object]:
+        """ids and coarse ends (in bytes) of B's tokens of a text that begins where texts are cut.
+
+        B adds the space that the text begins with. To others it adds one that is taken off again, behind a line end that keeps it apart.
+        """
+        import numpy as np
+
+        if text == " ":  # of nothing B makes nothing
+            return [self.space], np.ones(1, "i8")
+        asked, drop, shift = (text[1:], 0, 1) if text[0] == " " else (text, 1, 0) if text[0] == "\n" else ("\n" + text, 2, -1)
+        pieces = list(self.b.encode(asked, return_type="proto").pieces)[drop:]
+        return [x.id for x in pieces], np.fromiter((x.end for x in pieces), "i8", len(pieces)) + shift
+
+    def _align(self, chunks: list[str]) -> list[tuple[tuple[int, int, int, int], bytes, bytes]]:
+        """Counts, groups and links of chunks that may stand behind each other in this order."""
+        import numpy as np
+
+        text = "".join(chunks)
+        raw, seen = text.encode(), self.a.encode(text, add_special_tokens=False)
+        a, b, coarse = seen.ids, *self._of_b(text)
+        spans = np.fromiter(itertools.chain.from_iterable(seen.offsets), "i8", 2 * len(a))
+        a_ends = ends(raw, a, self.a_names, self.a_sizes, in_bytes(text, spans[1::2]))
+        b_ends = ends(raw, b, self.b_bytes, self.b_sizes, coarse)
+        stops = np.cumsum([len(c.encode()) for c in chunks])
+        both = a_ends[np.isin(a_ends, b_ends, assume_unique=True)]
+        # tokens overlap once in each stretch between two ends of any
+        every = np.union1d(a_ends, b_ends)
+        codes = np.array(a, "i8")[np.searchsorted(a_ends, every)] * self.size + np.array(b, "i8")[np.searchsorted(b_ends, every)]
+        cut_a, cut_b = (np.searchsorted(x, both, "right").tolist() for x in (a_ends, b_ends))
+        upto = [np.searchsorted(x, stops, "right") for x in (a_ends, b_ends, both, every)]
+        counts = np.diff(np.array(upto), axis=1, prepend=0).T.tolist()
+        a_text, b_text = list(map(str, a)), list(map(str, b))
+        groups = [f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)]  # noqa: B905
+        out, g, e = [], 0, 0
+        for fact, h, f in zip(counts, upto[2].tolist(), upto[3].tolist(), strict=True):
+            out.append((tuple(fact), ";".join(groups[g:h]).encode(), codes[e:f].tobytes()))
+            g, e = h, f
+        return out
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode and align chunks that are not known yet."""
+        """Encode and align chunks that are not known yet: those that may stand behind each other together, others, and all if that fails, one by one."""
         import numpy as np
 
-        for chunk, seen in zip(chunks, self.a.encode_batch(chunks, add_special_tokens=False), strict=True):
-            raw = chunk.encode()
+        follow = [c for c in chunks if c[0] in " \n" and not c[-1].isspace()]
+        alone = [c for c in chunks if not (c[0] in " \n" and not c[-1].isspace())]
+        found: list = []
+        try:
+            found = self._align(follow) if follow else []
+        except NoTokens:
+            alone = [*follow, *alone]
+            follow = []
+        for chunk in alone:
             try:
-                ids, reach = seen.ids, list(itertools.accumulate((len(c.encode()) for c in chunk), initial=0))
-                a_ends = ends(raw, [self.a_bytes[i] for i in ids], [reach[e] for _, e in seen.offsets])
-                pieces = self._pieces(chunk)
-                b_ends = ends(raw, [self.b_bytes[i] for i, _ in pieces], [e for _, e in pieces])
-                groups, links = aligned(ids, a_ends, [i for i, _ in pieces], b_ends)
-                fact, text = (len(ids), len(pieces), len(groups), len(links)), ";".join(groups).encode()
-                codes = np.array([x * self.size + y for x, y in links], "<i8").tobytes()
+                found += self._align([chunk])
             except NoTokens:
-                fact, text, codes = None, b"", b""
-            self.place[chunk] = len(self.facts)
-            self.facts.append(fact)
-            self.groups.append(text)
-            self.links.append(codes)
-            self.kept += 2 * len(chunk) + len(text) + len(codes)
+                found.append(((-1, -1, -1, -1), b"", b""))
+        n = len(self.groups)
+        while n + len(found) > len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        self.facts[n : n + len(found)] = [x[0] for x in found]
+        self.groups += [x[1] for x in found]
+        self.links += [x[2] for x in found]
+        self.place.update(zip([*follow, *alone], range(n, n + len(found)), strict=True))
+        self.kept += sum(2 * len(c) + len(x[1]) + len(x[2]) for c, x in zip([*follow, *alone], found, strict=True))
 
     def document(self, text: str) -> tuple[tuple[int, int, int, int], str, object, object]:
         """The counts of a text (n_a, n_b, n_groups, n_links), its groups' digest, its distinct pairs as codes and how often it links each."""
@@ -150,19 +189,20 @@ class Aligner:
             return none
         totals, digest, between, parts = np.zeros(4, "i8"), hashlib.sha256(), b"", []
         for block in self.chunks(text):
-            if self.kept > MEMO_BYTES or len(self.facts) > MEMO_CHUNKS:
+            if self.kept > MEMO_BYTES or len(self.groups) > MEMO_CHUNKS:
                 self.clear()
             if new := [c for c in dict.fromkeys(block) if c not in self.place]:
                 self.learn(new)
             at = list(map(self.place.__getitem__, block))
-            if None in (facts := [self.facts[i] for i in at]):
+            places, times = np.unique(at, return_counts=True)
+            facts = self.facts[places]
+            if (facts < 0).any():
                 return none
-            totals += np.array(facts, "i8").sum(0)
-            digest.update(between + b";".join([self.groups[i] for i in at]))
+            totals += times @ facts
+            digest.update(between + b";".join(map(self.groups.__getitem__, at)))
             between = b";"
-            places, times = np.unique(np.array(at), return_counts=True)
-            codes = [self.links[i] for i in places]
-            parts.append(_summed(np.frombuffer(b"".join(codes), "<i8"), np.repeat(times, [len(c) // 8 for c in codes])))
+            codes = [self.links[i] for i in places.tolist()]
+            parts.append(_summed(np.frombuffer(b"".join(codes), "<i8"), np.repeat(times, facts[:, 3])))
         codes, times = parts[0] if len(parts) == 1 else _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         return tuple(map(int, totals)), digest.hexdigest(), codes, times.astype("i4")
 
