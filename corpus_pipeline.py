@@ -16,8 +16,9 @@ ties and repeated rows leave one row, the least by its other columns; very long
 texts are read whole; an empty table stays empty; further columns pass through
 stages 1 to 4 under whatever name.
 
-A stage's result reads intermediate tables until it is written. The next stage
-begins by deleting those of the stage before, unless its input still reads them.
+A stage's result reads intermediate tables until it is written. Each stage begins by
+deleting those tables that nothing can read any more, whoever made them; a result that is
+still held keeps its tables, in whatever order stages are called.
 """
 
 from __future__ import annotations
@@ -27,27 +28,26 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 from loamstack.llm import bpe_transducer, cotrain, decontaminate, exact_dedup, simhash
-from loamstack.llm.common import made, reads, release, written
+from loamstack.llm.common import sweep, written
 
 #: SQL can express neither the classifier nor the fingerprints.
 ORACLE_SQL = None
 
 
-_MADE = [0, 0]
+#: Columns that stages know by name.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _stage(work):
-    """``work`` as a stage that first deletes the tables which the stage before has made, if nothing of ``docs`` depends on them."""
+    """``work`` as a stage: it first deletes tables that are not read any more, and carries further columns under plain names."""
 
     @functools.wraps(work)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        first, last = _MADE
-        if first < last <= made() and not reads(docs, first, last):
-            release(spark, first, last)
-        first = made()
-        out = work(spark, docs, sf_dir)
-        _MADE[:] = first, made()
-        return out
+        sweep(spark)
+        names = docs.columns
+        plain = docs.toDF(*[n if n in KNOWN else f"further_{i}" for i, n in enumerate(names)])
+        out = work(spark, plain, sf_dir)
+        return out.toDF(*names) if out.columns == plain.columns else out
 
     return stage
 

@@ -44,7 +44,8 @@ NAMES = {
     "assistant": "assistant ai bot a agent model gpt teacher",
 }
 _ROLE_OF = {name: i for i, r in enumerate(ROLES) for name in NAMES[r].split()}
-_MARKER = re.compile(r"^\s*(?:[>*#\-]+\s*)?[\[<(*]{0,2}([A-Za-z][A-Za-z ]{0,20}?)[\]>)*]{0,2}\s*(:|\]|>|-)\s*")
+#: A bare dash marks a role only before white space ("A - yes", not "A-level").
+_MARKER = re.compile(r"^\s*+(?:[>*#\-]++\s*+)?[\[<(*]{0,2}([A-Za-z][A-Za-z ]{0,20}?)[\]>)*]{0,2}\s*+(:|\]|>|-(?=\s|$))\s*+")
 #: Sizes of the observed features: marker (none, role 0..2, other), position, question, length class.
 SIZES = (5, 3, 2, 4)
 SEGMENT = 256
@@ -54,7 +55,7 @@ FAN = 256
 
 def marker(line: str) -> tuple[int, int]:
     """(marker feature, length of the marker text)."""
-    found = _MARKER.match(line[:80])
+    found = _MARKER.match(line)
     if not found:
         return 0, 0
     role = _ROLE_OF.get(found[1].strip().lower())
@@ -160,11 +161,12 @@ def cuts(matrices, entry: int | None = None, last: int | None = None) -> list[in
 
 
 def pieces(lines: list[str], states: list[int]) -> list[tuple[str, bool, str, list[int]]]:
-    """(role, whether the turn starts here, text without its marker, states) of each turn or piece of one."""
+    """(role, whether the turn starts here, text without its marker, states) of each turn or piece of one; the marker of another role stays."""
     out: list[list] = []
     for line, s in zip(lines, states):
         if s % 2 == 0 or not out:
-            out.append([ROLES[s // 2], s % 2 == 0, [line[marker(line)[1] :] if s % 2 == 0 else line], [s]])
+            role, end = marker(line)
+            out.append([ROLES[s // 2], s % 2 == 0, [line[end:] if s % 2 == 0 and role - 1 == s // 2 else line], [s]])
         else:
             out[-1][2].append(line)
             out[-1][3].append(s)

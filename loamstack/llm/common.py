@@ -7,6 +7,7 @@ executor costs a re-read and not a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -14,7 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[str] = []
+#: Path of each table and a weak reference to the relation that reads it.
+_WRITTEN: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,27 +50,35 @@ def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/loamstack-{label}-{uuid.uuid4().hex}"
     # small row groups, since a writer holds one of them in memory
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    relation = out._jdf.queryExecution().analyzed().relation()
+    _WRITTEN.append((path, spark._jvm.java.lang.ref.WeakReference(relation)))
+    return out
 
 
-def made() -> int:
-    """How many tables ``written`` has made and not deleted."""
-    return len(_WRITTEN)
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``written`` has made; their readers end with them."""
+    _delete(spark, _WRITTEN[:])
 
 
-def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
-    """Delete the tables that ``written`` has made (from the ``first`` to before the ``last``); their readers end with them."""
-    for name in _WRITTEN[first:last]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del _WRITTEN[first:last]
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables of ``written`` that no DataFrame reads any more, and tell how many went.
 
+    A table belongs to the relation that reads it, which every plan made from it holds; once the JVM has collected that,
+    nothing can read the table again. What is still reachable stays, in whatever order results are made and used.
+    """
+    gc.collect()  # proxies of Python keep their plans
+    spark._jvm.System.gc()
+    gone = [x for x in _WRITTEN if x[1].get() is None]
+    _delete(spark, gone)
+    return len(gone)
 
-def reads(df: DataFrame, first: int, last: int) -> bool:
-    """Whether ``df`` still reads one of these tables."""
-    names = [x.rsplit("/", 1)[-1] for x in _WRITTEN[first:last]]
-    return bool(names) and any(n in f for f in df.inputFiles() for n in names)
+
+def _delete(spark: SparkSession, tables: list) -> None:
+    for entry in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(entry[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(entry)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

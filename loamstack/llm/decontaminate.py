@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.llm.common import binary_rows, lean, text_or_empty, written
+from loamstack.llm.common import binary_rows, lean, text_or_empty, unused, written
 
 #: Words of the contract, on text in which A-Z are still upper case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -109,7 +109,7 @@ def _scanner(items, key: str, window: int) -> Scanner:
 
 def _slices(benchmark: DataFrame, id_col: str, text_col: str, slice_bytes: int):
     """The benchmark's items, at most about ``slice_bytes`` at a time."""
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), text_or_empty(text_col).alias("text"))
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), text_or_empty(text_col).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / slice_bytes))
     for k in range(n):
@@ -119,7 +119,7 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str, slice_bytes: int):
 
 def _scan(docs: DataFrame, benchmark: DataFrame, finish, schema: str, text_col: str, item_id: str, item_text: str, window: int, slice_bytes: int) -> DataFrame:
     """Pass the slices over the documents; ``finish(batch, rows)`` makes the last pass's output from (number of words, spans, items) of each row."""
-    spark, current = docs.sparkSession, docs
+    spark, current, (state_name,) = docs.sparkSession, docs, unused(docs, "hits")
     for last, items in _slices(benchmark, item_id, item_text, slice_bytes):
         shared, key = spark.sparkContext.broadcast(items), hashlib.sha256(repr((window, items)).encode()).hexdigest()
 
@@ -128,7 +128,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, finish, schema: str, text_col:
 
             scanner = _scanner(shared, key, window)
             for batch in batches:
-                old = batch.column("__hits").to_pylist() if "__hits" in batch.schema.names else None
+                old = batch.column(state_name).to_pylist() if state_name in batch.schema.names else None
                 rows = []
                 for i, raw in enumerate(binary_rows(batch, text_col)):
                     words = words_of(raw)
@@ -138,20 +138,20 @@ def _scan(docs: DataFrame, benchmark: DataFrame, finish, schema: str, text_col:
                         found |= set(old[i]["items"])
                     rows.append((len(words), merged(spans), found))
                 if old is not None:
-                    batch = batch.select([n for n in batch.schema.names if n != "__hits"])
+                    batch = batch.select([n for n in batch.schema.names if n != state_name])
                 if last:
                     yield from finish(batch, rows)
                 else:
                     kind = pa.struct([("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
                     state = pa.array([{"spans": [{"a": a, "b": b} for a, b in s], "items": sorted(f)} for _, s, f in rows], kind)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, state], names=[*batch.schema.names, "__hits"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, state], names=[*batch.schema.names, state_name])
 
         if last:
             return lean(current).mapInArrow(run, schema)
         from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
         hits = _parse_datatype_string("struct<spans:array<struct<a:int,b:int>>,items:array<string>>")
-        current = written(lean(current).mapInArrow(run, StructType([*docs.schema.fields, StructField("__hits", hits)])), "passes")
+        current = written(lean(current).mapInArrow(run, StructType([*docs.schema.fields, StructField(state_name, hits)])), "passes")
     raise AssertionError("there is always a last slice")
 
 

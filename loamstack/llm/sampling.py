@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,10 @@ def sampled(df: DataFrame, by: list[str], rows: int, per: str | None = None, gro
     ``per``, its ``groups`` most frequent values are sampled.
     """
     scale = 1 << 30
-    low: Column = F.pmod(F.xxhash64(*by), F.lit(scale))
+    # rows without an id are told apart by what they hold
+    plain = [c for c, kind in df.dtypes if kind in ("string", "bigint", "int", "double", "boolean")]
+    none = reduce(Column.__and__, [F.col(c).isNull() for c in by])
+    low: Column = F.pmod(F.when(none, F.xxhash64(*plain)).otherwise(F.xxhash64(*by)), F.lit(scale))
     if per is None:
         n = df.count()
         return df.where(low < int(scale * min(1.0, rows / n))) if n > rows else df

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from loamstack.llm import chat_transcripts as C
 
@@ -62,7 +63,8 @@ def brute(rows, model):
     turns = []
     for line, s in zip(lines, states):
         if s % 2 == 0:
-            turns.append((C.ROLES[s // 2], [line[C.marker(line)[1] :]]))
+            own = C.ROLES[C.marker(line)[0] - 1] == C.ROLES[s // 2] if 1 <= C.marker(line)[0] <= 3 else False
+            turns.append((C.ROLES[s // 2], [line[C.marker(line)[1] :] if own else line]))
         else:
             turns[-1][1].append(line)
     return [(k, r, len(t), f"<|{r}|>\n" + "\n".join(t).strip("\n") + "\n<|end|>\n") for k, (r, t) in enumerate(turns)]
@@ -98,3 +100,16 @@ def test_edges(spark):
     assert {r.conv_id for r in got} == {1, 2, 3, None}
     assert all(r.rendered.startswith("<|") for r in got)
     assert C.recovered_turns(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("line", ["A-level results are out", "Me-too movement", "Bot-generated text", "Q-tips are cotton"])
+def test_a_word_with_a_dash_is_no_marker(line):
+    assert C.marker(line) == (0, 0)
+    assert C.pieces([line], [4])[0][2] == line
+
+
+def test_markers_anywhere_and_only_of_the_recovered_role_are_taken_off():
+    assert C.marker(" " * 200 + "User: hi")[0] == 2 and C.marker("User:" + " " * 300 + "hi")[1] == 305
+    assert C.marker("A - yes") == (3, 4) and C.marker("bot -")[0] == 3
+    assert C.pieces(["User: hi"], [2])[0][:3] == ("user", True, "hi")
+    assert C.pieces(["User: hi"], [4])[0][:3] == ("assistant", True, "User: hi")

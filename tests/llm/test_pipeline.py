@@ -50,3 +50,30 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
     assert sorted(got, key=str) == sorted([(1, "a"), (None, ""), (3, "b"), (3, "c")], key=str)
     assert simhash.distinct_rows(P.exact(spark, docs.limit(0), "")).count() == 0
     assert cotrain.accepted(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 7
+
+
+def test_two_results_at_once_and_tables_that_go_when_nothing_reads_them(spark):
+    from loamstack.llm import common
+
+    one = spark.createDataFrame([(i, f"text {i % 7}", "en", "s", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    two = spark.createDataFrame([(i, f"other {i % 5}", "en", "s", 1) for i in range(40)], one.schema)
+    a = P.exact(spark, one, "")
+    b = P.exact(spark, two, "")
+    part = a.select("text")
+    near = P.near(spark, a, "")
+    del a
+    common.sweep(spark)
+    assert (part.count(), b.count(), near.count(), b.distinct().count()) == (7, 5, 7, 5)
+    before = len(common._WRITTEN)
+    del part, b, near
+    assert common.sweep(spark) > 0 and len(common._WRITTEN) < before
+
+
+def test_column_names_of_any_kind_pass_through(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1 AS `a.b`", "doc_id AS `__hits`", "'v' AS `x y`", "2 AS near_row", "3 AS `sieve_row`", "array(doc_id) AS hits")
+    for name, stage in P.STAGES:
+        docs = written(stage(spark, docs, sf), name)
+        if name != "tokens":
+            assert docs.columns == [*COLUMNS, "a.b", "__hits", "x y", "near_row", "sieve_row", "hits"]
+            assert docs.where("doc_id <> __hits OR hits[0] <> doc_id OR `a.b` <> 1 OR `x y` <> 'v'").count() == 0 and docs.count() > 0

@@ -24,3 +24,10 @@ def test_smaller_batches_unless_the_session_sets_its_own(spark):
     lean(spark.range(1))
     assert spark.conf.get(key) == "77"
     spark.conf.set(key, before)
+
+
+def test_rows_without_an_id_are_sampled_too(spark):
+    rows = [(None, f"text {i}", "ab"[i % 2]) for i in range(4000)]
+    got = sampled(spark.createDataFrame(rows, "id long, text string, lang string"), ["id"], 200, "lang")
+    counts = {r["lang"]: r["count"] for r in got.groupBy("lang").count().collect()}
+    assert all(120 < counts[x] < 280 for x in "ab")
