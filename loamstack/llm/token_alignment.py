@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 from loamstack.llm.bpe_transducer import byte_alphabet
 from loamstack.llm.common import binary_rows, lean, written
 
-#: Where texts are cut, and places of that kind that no token of B may hold.
-_CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])")
-_HELD = re.compile(r"\n|[^ ] |[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]")
+#: A chunk, up to a place where texts are cut: a Latin word up to a space, line end or stop; a stop up to white space; or else all up to a
+#: space or line end behind a character that is no white space. And places that no token of B may hold.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_CHUNK = re.compile(rf"[ \n][{_LATIN}]++(?=[ \n.,;:!?])|[.,;:!?](?=[ \n])|\s*+\S++(?:[^\S \n]\s*+\S*+)*+|\s+")
+_HELD = re.compile(rf"\n|[^ ] |[{_LATIN}][.,;:!?]")
 #: Longest text whose chunks are in hand at once, chunks in hand of longer ones; chunks and their bytes that a worker keeps.
 WHOLE, BLOCK, MEMO_CHUNKS, MEMO_BYTES = 1 << 20, 50_000, 300_000, 48 << 20
 #: Pairs of ids whose counts are broadcast, the most frequent ones; all others are joined by a shuffle.
@@ -109,10 +111,10 @@ class Aligner:
         if not self.cuts:
             yield [text]
         elif len(text) <= WHOLE:
-            yield _CUT.split(text)
+            yield _CHUNK.findall(text)
         else:
-            cuts = itertools.pairwise(itertools.chain([0], (m.start() for m in _CUT.finditer(text)), [len(text)]))
-            while block := [text[i:j] for i, j in itertools.islice(cuts, BLOCK)]:
+            found = (m.group() for m in _CHUNK.finditer(text))
+            while block := list(itertools.islice(found, BLOCK)):
                 yield block
 
     def _of_b(self, text: str) -> tuple[list[int], object]:
