@@ -303,7 +303,12 @@ class Engine:
             # the group by which a lost lease cancels this operation's jobs; between two jobs the run asks itself
             gone.discard(operation)
             context.setJobGroup(operation, operation, interruptOnCancel=True)
-            self.run(operation, lambda: operation not in gone)
+            try:
+                self.run(operation, lambda: operation not in gone)
+            except Exception as error:
+                if operation in gone and not isinstance(error, Cancelled):  # a job that was cancelled fails in its own way
+                    raise Cancelled("the work lease was lost") from error
+                raise
 
         def lost(operation: str) -> None:
             gone.add(operation)

@@ -193,7 +193,7 @@ def test_a_crash_between_any_two_writes_leaves_one_whole_version(spark, tmp_path
             seen = engine_of(spark, tmp_path)
             assert seen.files().count() == 0 and seen.pages().count() == 0 and seen.operation(operation)["status"] == "running"
             seen.clock.now = engine.clock.now + dt.timedelta(seconds=1000)  # the lease runs out
-            engine, n = seen, n + 3
+            engine, n = seen, n + 6
             continue
         break
     monkeypatch.setattr(L.Ledger, "_write", write)
@@ -273,21 +273,27 @@ def test_the_scheduler_cancels_what_it_has_lost(spark, tmp_path, monkeypatch):
 
     def waits(*given):
         planning.set()
-        assert go_on.wait(60)
+        assert go_on.wait(240)
         return maintainer(*given)
 
     engine = Engine(spark, str(tmp_path), "s", waits, clock=Clock())
     operation = engine.ingest("a", "lease", "1", b"# Lease\nten seconds")
     scheduler = engine.scheduler(scan=0.1, lease=0.3)
-    monkeypatch.setattr(engine.operations, "renew", lambda *given: False)
+    monkeypatch.setattr(engine.operations, "renew", lambda *given: not planning.is_set())
     told = threading.Event()
     lost, scheduler._lost = scheduler._lost, lambda i: (lost(i), told.set())
     scheduler.start()
-    assert planning.wait(60) and told.wait(60)
+    assert planning.wait(240) and told.wait(240)
     go_on.set()
-    assert scheduler.stop(60)
+    assert scheduler.stop(240)
     assert [(i, type(e)) for i, e in scheduler.errors] == [(operation, Cancelled)]
     assert engine.operation(operation)["status"] == "queued" and engine.files().count() == 0
+    # a job that is cancelled ends the run in the same way
+    monkeypatch.setattr(engine, "run", lambda i, held: (lost(i), 1 / 0))
+    again = engine.scheduler()
+    lost = again._lost
+    again._guarded(operation, "token")
+    assert [(i, type(e)) for i, e in again.errors] == [(operation, Cancelled)]
 
 
 def test_lint_tells_a_source_that_was_changed(spark, tmp_path):
