@@ -2,7 +2,8 @@
 
 All tables lie in one ledger: an accepted source and its operation, or a commit with its log entry, its projection and
 the operation's end, become visible together or not at all. A maintainer is any callable that takes the accepted source, the
-context pages and the schema and returns an edit plan; it runs on the driver and never inside a plan of Spark.
+context pages and the schema and returns an edit plan, or the output lines of a model process that hold one; it runs on
+the driver and never inside a plan of Spark.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ class Engine:
     spark: SparkSession
     root: str
     scope: str
-    maintainer: Callable[[dict, list[dict], str], Plan] | None = None
+    maintainer: Callable[[dict, list[dict], str], Plan | list[str]] | None = None
     schema: str = "# Schema\nversion: 1\n"
     clock: Callable[[], dt.datetime] = field(default=lambda: dt.datetime.now(dt.UTC).replace(tzinfo=None))
 
@@ -236,9 +237,20 @@ class Engine:
         ids = [r["page_id"] for r in self.contexts(question).orderBy("place").collect() if r["page_id"] != graph.CONTROL]
         context = [r.asDict() for r in evidence.read_pages(self.pages(), self.scope, ids).collect()] if ids else []
         plan = self.maintainer(seen.asDict(), context, self.schema)
+        if not isinstance(plan, Plan):
+            plan = self.decoded(plan)
         self.validate(plan, seen["ref"])
         return plan, seen["ref"]
 
+    def decoded(self, lines: list[str]) -> Plan:
+        """The plan in the output lines of a model process; without one, or with too much output, the plan is rejected."""
+        rows = self.spark.createDataFrame([(0, k, x) for k, x in enumerate(lines)] or [(0, 0, "")], "run int, line_no int, line string")
+        found = E.decoded_plans(rows).first()
+        if found["failure"]:
+            raise PlanRejected(found["failure"])
+        plan = found["plan"]
+        return Plan(plan["schema_digest"] or "", list(plan["source_refs"] or []), [(e["path"] or "", e["expected_digest"] or "", e["content"] or "") for e in plan["edits"] or []], plan["rationale"] or "")
+
     def validate(self, plan: Plan, ref: str) -> None:
         kind = "plan_id int, plan_schema string, schema_digest string, wanted_ref string, source_refs array<string>, rationale string, edits array<struct<path:string,content:string>>"
         frame = self.spark.createDataFrame([(0, plan.schema_digest, self.schema_digest, ref, plan.source_refs, plan.rationale, [(p, c) for p, _, c in plan.edits])], kind)

@@ -52,17 +52,26 @@ def prospective_broken(edits: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 PLAN = "schema_digest string, source_refs array<string>, rationale string, edits array<struct<path:string,expected_digest:string,content:string>>"
+OUTPUT_BYTES = 1 << 20
 
 
-def decoded_plans(events: DataFrame) -> DataFrame:
-    """plan of each run from a model process's output lines (run, line_no, line): the last line that decodes wins, null if none does.
+def decoded_plans(events: DataFrame, output_bytes: int = OUTPUT_BYTES) -> DataFrame:
+    """run, failure, plan of a model process's output lines (run, line_no, line): the last line that is a plan wins.
 
-    A line passes only as one JSON object with edits; longer ones than a megabyte are left out.
+    A line is a plan if it is exactly one JSON object whose known keys have their kinds; other keys are left out. Failures:
+    ``oversized`` (a run's lines have more bytes than ``output_bytes``), ``empty`` (no output), ``malformed`` (no line is a plan). They never hold output.
     """
-    plan = F.from_json("line", PLAN)
-    good = events.where(F.octet_length("line") <= 1 << 20).select("run", "line_no", plan.alias("plan")).where("plan.edits IS NOT NULL AND plan.schema_digest IS NOT NULL")
-    last = good.groupBy("run").agg(F.max_by("plan", "line_no").alias("plan"))
-    return events.select("run").distinct().join(last, "run", "left")
+    line = F.coalesce(F.col("line"), F.lit(""))
+    # as an array of one: what stands behind a value breaks it, a second value is its second element
+    one = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    whole = one.isNotNull() & F.try_variant_get(one, "$[1]", "variant").isNull() & line.rlike(r"^\s*\{")
+    read = F.from_json(line, f"{PLAN}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    rows = events.select("run", "line_no", F.octet_length(line).alias("n"), F.when(whole, read).alias("p"))
+    good = F.col("p").isNotNull() & F.col("p._broken").isNull()
+    plan = F.struct(*[F.col(f"p.{x.split()[0]}") for x in PLAN.split(", ")])
+    found = rows.groupBy("run").agg(F.sum("n").alias("bytes"), F.max_by(F.when(good, plan), F.when(good, F.col("line_no"))).alias("plan"))
+    failure = F.when(F.col("bytes") > output_bytes, "oversized").when(F.col("bytes") == 0, "empty").when(F.col("plan").isNull(), "malformed")
+    return found.select("run", failure.alias("failure"), F.when(failure.isNull(), F.col("plan")).alias("plan"))
 
 
 def prospective_findings(edits: DataFrame, pages: DataFrame, raw_refs: DataFrame) -> DataFrame:

@@ -48,6 +48,19 @@ def final_states(events: DataFrame, keys: list[str], order: list[str], event: st
     return own.withColumn("_r", F.aggregate("_events", start, step)).select(*keys, F.col("_r.s").alias("status"), F.col("_r.n").cast("long").alias("applied"), F.size("_events").cast("long").alias("n_events"))
 
 
+def refused_events(events: DataFrame, keys: list[str], order: list[str], event: str = "event") -> DataFrame:
+    """keys, refused, last_refused: how many of a key's events its state did not take, and the last of them."""
+    own = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(event).alias("_e")))).alias("_events"))
+    start = F.struct(F.lit("received").alias("s"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("last"))
+
+    def step(acc, x):
+        new = next_state(acc["s"], x["_e"])
+        same = new == acc["s"]
+        return F.struct(new.alias("s"), (acc["n"] + same.cast("int")).alias("n"), F.when(same, x["_e"]).otherwise(acc["last"]).alias("last"))
+
+    return own.withColumn("_r", F.aggregate("_events", start, step)).select(*keys, F.col("_r.n").cast("long").alias("refused"), F.col("_r.last").alias("last_refused"))
+
+
 def public_status(status: Column) -> Column:
     out = F.lit("failed")
     for name, shown in PUBLIC.items():

@@ -13,6 +13,7 @@ from loamstack.operators import acceptance, batch, edits, evidence, graph, lint,
 from loamstack.plans import oracles as O
 from loamstack.plans import shared
 from loamstack.plans import views as V
+from loamstack.sinks import text
 from loamstack.sinks.projection import snapshot_digest
 from loamstack.sources import bootstrap
 
@@ -501,6 +502,11 @@ def ops_final_state(spark, d):
     return work.final_states(V.events(spark, d), ["op"], ["ts", "event_id"])
 
 
+@_query(O.STATES + ", no AS (SELECT o.op, o.i, o.event FROM ordered o JOIN fold f ON f.op = o.op AND f.i = o.i JOIN fold g ON g.op = o.op AND g.i = o.i - 1 WHERE f.n = g.n) SELECT final.op, count(no.i) AS refused, arg_max(no.event, no.i) AS last_refused FROM final LEFT JOIN no ON no.op = final.op GROUP BY final.op")
+def ops_refused(spark, d):
+    return work.refused_events(V.events(spark, d), ["op"], ["ts", "event_id"])
+
+
 @_query(f"WITH {O.OPS} SELECT operation_id, CASE status WHEN 'received' THEN 'queued' WHEN 'committed' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE 'running' END AS status, CASE WHEN status = 'failed' THEN 'source' END AS failure_class, generation FROM ops")
 def ops_public_status(spark, d):
     return work.public_operations(V.operations(spark, d).withColumn("failure_class", identity.failure_class(F.col("failure"))))
@@ -572,6 +578,15 @@ def plan_validation(spark, d):
     return edits.validated(plans).select("plan_id", "failure")
 
 
+@_query("SELECT conv_id AS run, CASE WHEN max(length(text)) = 0 THEN 'empty' WHEN count(*) FILTER (turn % 3 = 1) = 0 THEN 'malformed' END AS failure, sha256(arg_max(text, turn) FILTER (turn % 3 = 1)) AS content FROM conversations GROUP BY conv_id")
+def plan_decoding(spark, d):
+    """Turns as output lines: plain text, plans that hold the turn's text, plans with something behind them."""
+    t, text_ = F.col("turn") % 3, F.col("text")
+    plan = F.to_json(F.struct(F.lit("s").alias("schema_digest"), F.array(F.lit("a:b@1")).alias("source_refs"), F.lit(1).alias("unknown"), F.array(F.struct(F.lit("wiki/a.md").alias("path"), F.lit("").alias("expected_digest"), text_.alias("content"))).alias("edits")))
+    rows = V.table(spark, d, "conversations").select(F.col("conv_id").alias("run"), F.col("turn").alias("line_no"), F.when(t == 1, plan).when(t == 2, F.concat(plan, F.lit(" and more"))).otherwise(text_).alias("line"))
+    return edits.decoded_plans(rows).select("run", "failure", F.sha2(F.col("plan.edits")[0]["content"].cast("binary"), 256).alias("content"))
+
+
 @_query("SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND doc_id % 3 = 0 THEN 'create' WHEN doc_id % 2 = 1 THEN 'unexpected_precondition' WHEN doc_id % 3 = 0 THEN 'missing_precondition' WHEN doc_id % 3 = 1 THEN 'ok' ELSE 'stale' END AS outcome FROM documents")
 def edit_preconditions(spark, d):
     i, found = F.col("doc_id"), F.sha2(F.col("text").cast("binary"), 256)
@@ -611,6 +626,13 @@ def render_index(spark, d):
     return bootstrap.rendered_index(pages).select(F.sha2("body", 256).alias("digest")).crossJoin(pages.agg(F.count(F.lit(1)).alias("n")))
 
 
+@_query(f"WITH {O.PAGES} SELECT CAST(row_number() OVER (ORDER BY path, page_id) AS BIGINT) AS line_no, '- [[' || page_id || '|' || title || ']]' AS line FROM pages_v")
+def render_index_lines(spark, d):
+    """The index as numbered lines by range, where no task holds all of it."""
+    rows = V.pages(spark, d).select("path", "page_id", F.concat(F.lit("- [["), "page_id", F.lit("|"), "title", F.lit("]]")).alias("line"))
+    return text.numbered(rows, ["path", "page_id"], shared.folder(spark, "index-lines")).select("line_no", "line")
+
+
 @_query(
     """SELECT 'n' || doc_id || '.md' AS path, 'See ' || CASE WHEN doc_id + 1 IN (SELECT doc_id FROM documents) THEN '[[notes/n' ELSE '[[n' END || (doc_id + 1) || '#Part|other]] and '
 || CASE WHEN doc_id % 7 IN (SELECT doc_id FROM documents WHERE doc_id < 5) THEN '![](../assets/a' ELSE '![unsupported obsidian embed](a' END || (doc_id % 7) || '.png) and [[lost]] [[open' AS body FROM documents"""

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from loamstack.model import ENVELOPES
 from loamstack.plans import views as V
 from loamstack.plans.shared import folder
-from loamstack.sinks.store import Store
+from loamstack.sinks.ledger import Ledger
 from loamstack.streaming.ingest import accept_stream, state_stream
 
 
 def accepted_once(spark: SparkSession, d: str) -> DataFrame:
     base = folder(spark, "stream")
     V.envelopes(spark, d).select(*ENVELOPES.fieldNames()).write.parquet(f"{base}/in")
-    store = Store(spark, f"{base}/store")
+    store = Ledger(spark, f"{base}/store")
     accept_stream(spark.readStream.schema(ENVELOPES).parquet(f"{base}/in"), store, ENVELOPES, f"{base}/checkpoint").awaitTermination()
     return store.get("sources", ENVELOPES).select("source_id", "version", "digest")
 

@@ -10,23 +10,28 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loamstack.operators.acceptance import KEY, accepted, conflicts, valid_envelope
 from loamstack.operators.work import EVENTS
-from loamstack.sinks.store import Store
+from loamstack.sinks.ledger import Ledger
 
 
-def accept_stream(envelopes: DataFrame, store: Store, schema, checkpoint: str, available_now: bool = True):
-    """Accept envelopes from a stream into the store's ``sources``; conflicts go to ``conflicts``. Batches are idempotent: acceptance is an anti join on identity."""
+def accept_stream(envelopes: DataFrame, ledger: Ledger, schema, checkpoint: str, available_now: bool = True):
+    """Accept envelopes from a stream into the ledger's ``sources``; conflicts go to ``conflicts``. A batch writes its own rows only.
+
+    Batches are idempotent: acceptance is an anti join on identity, and a conflict replaces itself.
+    """
     names = schema.fieldNames()
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
         rows = rows.where(valid_envelope()).select(*names).persist()
-        known = store.get("sources", schema)
-        order = ["received_at", "digest"]
-        bad = conflicts(rows, known, order).select(*names)
+        tx = ledger.begin()
+        tx.guard("sources")
+        known, order = tx.get("sources", schema), ["received_at", "digest"]
+        bad = conflicts(rows, known, order).select(*names).distinct()
         new = accepted(rows, known, order).select(*names)
         if not bad.isEmpty():
-            store.put("conflicts", store.get("conflicts", schema).unionByName(bad).distinct())
+            tx.upsert("conflicts", bad, [*KEY, "digest"])
         if not new.isEmpty():
-            store.put("sources", known.unionByName(new))
+            tx.append("sources", new)
+        tx.commit(batch=number)
         rows.unpersist()
 
     writer = envelopes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

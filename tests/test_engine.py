@@ -6,7 +6,6 @@ from loamstack.engine import Engine, Plan
 from loamstack.model import SourceConflict
 from loamstack.sinks import projection
 from loamstack.sinks.ledger import Ledger
-from loamstack.sinks.store import Store
 
 SOURCES = [("lease", "# Lease policy\nLeases renew every ten seconds and expire after thirty."), ("store", "# Storage choice\nThe embedded ledger keeps session memory durable."), ("lease", "# Lease policy\nLeases now expire after sixty seconds, see storage.")]
 
@@ -70,26 +69,6 @@ def test_rejected_plans_leave_the_pages_alone(spark, tmp_path, edit, kind):
     assert engine.files().count() == 0 and engine.run(operation) == "failed"
 
 
-def test_store_recovers_from_a_cut_off_write(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    rows = spark.createDataFrame([(1,)], "x int")
-    assert store.put("t", rows) == 1
-    rows.write.parquet(f"{tmp_path}/t/generation=2")  # written, never pointed to
-    assert store.get("t", rows.schema).count() == 1
-    assert store.recover("t") == [2] and store.recover("none") == []
-    with pytest.raises(RuntimeError):
-        store.put("t", rows, expected=0)
-    # a pointer that was cut off does not count, and the next writer of its number is refused until it is recovered
-    (tmp_path / "t" / "current-2").touch()
-    assert store.generation("t") == 1 and store.get("t", rows.schema).count() == 1
-    with pytest.raises(RuntimeError):
-        store.put("t", rows)
-    store.recover("t")
-    assert [store.put("t", rows.union(rows)), store.put("t", rows), store.put("t", rows)] == [2, 3, 4]
-    # the last two generations stay, for readers of the one before
-    assert store.recover("t") == [1, 2] and store.get("t", rows.schema).count() == 1
-
-
 def test_projection_is_rebuilt_by_scope(spark, tmp_path):
     from loamstack.plans import views
 

@@ -319,3 +319,16 @@ def test_one_version_of_the_index_reads_no_text(spark, tmp_path):
     assert "In(page_id, [" in scan and "EqualTo(scope,s)" in scan
     want = search.search(pages, "s", ["the", "of"], 5, 64)
     assert [tuple(r) for r in hits.select("page_id", "snippet", "strict", "score").collect()] == [tuple(r) for r in want.select("page_id", "snippet", "strict", "score").collect()]
+
+
+def test_ordered_text_in_parts(spark, tmp_path):
+    from loamstack.sinks import text
+
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), F.concat(F.lit("line "), F.col("id") * 7919 % 5003).alias("line")).repartition(7)
+    text.write_ordered(rows, ["k"], "line", str(tmp_path / "log"), heading="# Log")
+    parts = sorted((tmp_path / "log").glob("part-*"))
+    want = [f"line {k}" for k in sorted(i * 7919 % 5003 for i in range(5000))]
+    assert "".join(p.read_text() for p in parts).split("\n")[:-1] == ["# Log", *want]
+    got = text.numbered(rows, ["k"], str(tmp_path / "lines")).orderBy("line_no").collect()
+    assert [r.line for r in got] == want and [r.line_no for r in got] == list(range(1, 5001))
+    assert text.numbered(rows.limit(0), ["k"], str(tmp_path / "none")).count() == 0

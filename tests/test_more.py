@@ -23,9 +23,26 @@ def test_times(spark):
 
 def test_last_plan_that_decodes_wins(spark):
     good = lambda p: json.dumps({"schema_digest": "s", "source_refs": ["a"], "rationale": "", "edits": [{"path": p, "expected_digest": "", "content": ""}]})
-    rows = [("r", 0, good("one")), ("r", 1, good("two")), ("r", 2, "noise"), ("r", 3, '{"other": 1}'), ("q", 0, "noise")]
-    got = {r.run: r.plan for r in edits.decoded_plans(spark.createDataFrame(rows, "run string, line_no int, line string")).collect()}
-    assert got["q"] is None and got["r"].edits[0].path == "two"
+    rows = [("r", 0, good("one")), ("r", 1, good("two")), ("r", 2, "noise"), ("r", 3, good("three") + " x"), ("r", 4, good("four") + "," + good("five")), ("r", 5, '{"edits": "none"}'), ("q", 0, "noise"), ("e", 0, ""), ("e", 1, None), ("o", 0, good("big")), ("o", 1, "x" * 300), ("u", 0, '{"schema_digest": "s", "edits": [], "other": {"a": 1}}')]
+    frame = spark.createDataFrame(rows, "run string, line_no int, line string")
+    got = {r.run: r for r in edits.decoded_plans(frame, 500).collect()}
+    assert {k: r.failure for k, r in got.items()} == {"r": "oversized" if sum(len(x[2]) for x in rows[:6]) > 500 else None, "q": "malformed", "e": "empty", "o": None if len(rows[9][2]) + 300 <= 500 else "oversized", "u": None}
+    assert {r.run: r.plan.edits[0].path for r in edits.decoded_plans(frame).collect() if r.plan and r.plan.edits} == {"r": "two", "o": "big"}
+    assert edits.decoded_plans(frame, 100).where("run = 'o'").first().failure == "oversized"
+
+
+def test_output_lines_of_a_model_process_are_a_plan(spark, tmp_path):
+    made = []
+
+    def lines(source, context, schema):
+        plan = maintainer(source, context, schema)
+        made.append(json.dumps({"schema_digest": plan.schema_digest, "source_refs": plan.source_refs, "edits": [dict(zip(("path", "expected_digest", "content"), e, strict=True)) for e in plan.edits]}))
+        return ["thinking", made[-1]] if source["source_id"] == "lease" else ["nothing"]
+
+    engine = Engine(spark, str(tmp_path), "s", lines, clock=Clock())
+    one, two = engine.ingest("a", "lease", "1", b"# Lease\nten seconds"), engine.ingest("a", "store", "1", b"# Store")
+    assert engine.run(one) == "committed" and engine.run(two) == "failed"
+    assert engine.operation(two)["failure_class"] == "plan"
 
 
 def test_prospective_findings(spark):
