@@ -66,6 +66,8 @@ def rebuild(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str, no
     none = {name: ledger.spark.createDataFrame([], schema) for name, (schema, _) in TABLES.items()}
     own = none | {"pages": pages, "links": links, "blocks": I.blocks(pages, tx.number), "extent": I.extent(pages), "state": ledger.spark.createDataFrame([tuple(state.values())], STATE)}
     for name, (schema, order) in TABLES.items():
+        if name != "state" and not state["page_count"] and name not in tx.at.tables:
+            continue  # nothing to write, nothing to replace
         both = tx.get(name, schema).where(F.col("scope") != scope).unionByName(own[name].select(*schema.fieldNames()))
         tx.put(name, both.repartitionByRange(*order).sortWithinPartitions(*order) if order else both)
     tx.commit(note="rebuild")
