@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from loamstack.deadline import DeadlineExceeded, deadline
 from loamstack.functions.identity import raw_location, source_ref
 from loamstack.functions.lexical import InvalidQuery
-from loamstack.functions.markdown import frontmatter, page_id, page_title, source_title, wiki_links
+from loamstack.functions.markdown import frontmatter, page_id, page_title, source_title, unclosed, wiki_links
 from loamstack.model import APPLY_LEASE_SECONDS, LINKS, MAX_SOURCE_BYTES, OPERATIONS, PAGES, ReadLimits, SourceConflict, require_scope, struct
-from loamstack.operators import batch, evidence, graph, lint, work
+from loamstack.operators import batch, evidence, graph, lint, refcounts, work
 from loamstack.operators import edits as E
 from loamstack.operators.search import related_terms
 from loamstack.sinks import commit as C
@@ -81,7 +81,7 @@ class Engine:
         """Drop what an interrupted write left behind, then bring the projection up to date."""
         self.ledger.recover()
         C.discard_stages(self.ledger, self.operations.table().where("status NOT IN ('committed', 'failed')"))
-        P.ensure(self.ledger, self.scope, self.snapshot(), self.schema_digest, self.clock())
+        P.ensure(self.ledger, self.scope, self.snapshot(), self.schema_digest, self.clock(), self._listing(self.files()))
 
     def tidy(self) -> list[str]:
         """Merge the small segments of tables that have many; their names."""
@@ -108,6 +108,10 @@ class Engine:
         log = self.ledger.get("log", struct(C.LOG)).select("ordinal", F.explode("files").alias("path")).groupBy("path").agg(F.max("ordinal").alias("ordinal"))
         return self._pages_of(self.files().join(log, "path", "left"))
 
+    def _listing(self, files: DataFrame) -> DataFrame:
+        """scope, body of the index among files."""
+        return files.where(F.col("path") == lint.INDEX_PATH).select(F.lit(self.scope).alias("scope"), F.col("content").alias("body"))
+
     def assets(self) -> DataFrame:
         """Imported files that are no notes, under the paths to which rewritten references point."""
         return self.ledger.get("assets", ASSETS)
@@ -285,7 +289,9 @@ class Engine:
         token = self.operations.lease(operation, self.clock(), APPLY_LEASE_SECONDS)
 
         def beside(tx, files: DataFrame, ordinal: int, name: str) -> None:
-            P.advance(tx, self.scope, self._pages_of(files.withColumn("ordinal", F.lit(ordinal))), self.schema_digest, self.clock())
+            new = self._listing(files)
+            listing = None if new.isEmpty() else (self._listing(tx.get("files", struct(C.FILES))), new)
+            P.advance(tx, self.scope, self._pages_of(files.withColumn("ordinal", F.lit(ordinal))), self.schema_digest, self.clock(), listing)
             self.operations.write(tx, self.operations.moved(tx.get("operations", OPERATIONS), operation, "commit", self.now(), generation=name, lease_token="", lease_expires_at=None))
 
         def check(newest: Snapshot) -> None:
@@ -344,6 +350,14 @@ class Engine:
         found = found.unionByName(lint.projection_finding(self.ledger.get("state", P.STATE), row["snapshot_digest"] if row else ""))
         return lint.ordered(found.unionByName(lint.suggestions(found, suggest)))
 
+    def lint_links(self) -> DataFrame:
+        """The findings of ``lint`` on links, orphans and the index, from the counts that commits keep; no text is read but the index's."""
+        at = self.ledger.snapshot()
+        index = self._listing(self.ledger.get("files", struct(C.FILES), at))
+        counts, links = (self.ledger.get(name, P.TABLES[name][0], at).where(F.col("scope") == self.scope) for name in ("counts", "links"))
+        own = lint.finding(index.where(unclosed(F.col("body"))), "index.malformed", lint.ERROR, F.lit(lint.INDEX_PATH))
+        return lint.ordered(own.unionByName(refcounts.counted_findings(counts, links)))
+
     def bootstrap(self, files: DataFrame) -> dict:
         """Import a Markdown tree (path, content binary) into an empty engine: a source for every file, a page for every note, the assets, an index."""
         from loamstack.sources import bootstrap as B
@@ -372,7 +386,7 @@ class Engine:
         both = content.select("path", "content").unionByName(index)
         tx.put("files", both.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"), "content"))
         tx.commit(bootstrap=True)
-        P.ensure(self.ledger, self.scope, self.snapshot(), self.schema_digest, self.clock())
+        P.ensure(self.ledger, self.scope, self.snapshot(), self.schema_digest, self.clock(), self._listing(self.files()))
         n = every.agg(F.count(F.when(F.col("note"), 1)), F.count(F.when(~F.col("note"), 1))).first()
         return {"notes": n[0], "assets": n[1]}
 

@@ -47,7 +47,7 @@ MESSAGES = {
 NO_LIST_ITEM = "log contains a non-structured entry"
 
 
-def _finding(df: DataFrame, code: str | Column, severity: str, path: Column | None = None, page: Column | None = None, refs: Column | None = None, message: str | None = None) -> DataFrame:
+def finding(df: DataFrame, code: str | Column, severity: str, path: Column | None = None, page: Column | None = None, refs: Column | None = None, message: str | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
     name = F.lit(code) if isinstance(code, str) else code
     return df.select(
@@ -65,7 +65,7 @@ def raw_findings(records: DataFrame) -> DataFrame:
     invalid = records.where("NOT valid").withColumn("code", F.concat(F.lit("raw."), F.coalesce(F.nullif("error_class", F.lit("")), F.lit("manifest_invalid"))))
     order = Window.partitionBy("ref").orderBy("path")
     again = records.where("valid").withColumn("before", F.lag("digest").over(order)).where("before <> digest")
-    return _finding(invalid, F.col("code"), ERROR, F.col("path"), message=MESSAGES["raw"]).unionByName(_finding(again, "raw.duplicate_identity", ERROR, F.col("path")))
+    return finding(invalid, F.col("code"), ERROR, F.col("path"), message=MESSAGES["raw"]).unionByName(finding(again, "raw.duplicate_identity", ERROR, F.col("path")))
 
 
 def page_findings(pages: DataFrame, parsed: DataFrame, raw_refs: DataFrame) -> DataFrame:
@@ -90,10 +90,10 @@ def page_findings(pages: DataFrame, parsed: DataFrame, raw_refs: DataFrame) -> D
     )
     cited = parsed.where(ok).select("path", "page_id", F.explode("meta.source_refs").alias("ref"))
     parts = [
-        _finding(repeated, "page.duplicate_id", ERROR, **at),
+        finding(repeated, "page.duplicate_id", ERROR, **at),
         own,
-        _finding(cited.join(raw_refs, "ref", "left_anti"), "citation.unknown_source", ERROR, refs=F.array("ref"), **at),
-        _finding(pages.where(unclosed(F.col("body"))), "link.malformed", ERROR, **at),
+        finding(cited.join(raw_refs, "ref", "left_anti"), "citation.unknown_source", ERROR, refs=F.array("ref"), **at),
+        finding(pages.where(unclosed(F.col("body"))), "link.malformed", ERROR, **at),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -114,11 +114,11 @@ def link_findings(pages: DataFrame, links: DataFrame, index: DataFrame) -> DataF
     index_path = F.lit(INDEX_PATH)
     missing = links.join(known.withColumnRenamed("page_id", "to_page"), "to_page", "left_anti")
     parts = [
-        _finding(index.where(unclosed(F.col("body"))), "index.malformed", ERROR, index_path),
-        _finding(listed.join(known, "page_id", "left_anti"), "index.broken_page", ERROR, index_path, F.col("page_id")),
-        _finding(pages.join(listed, "page_id", "left_anti"), "index.missing_page", WARNING, index_path, F.col("page_id")),
-        _finding(pages.join(incoming.unionByName(listed), "page_id", "left_anti"), "page.orphan", WARNING, F.col("path"), F.col("page_id")),
-        _finding(missing, "link.broken", ERROR, None, F.col("from_page"), F.array("to_page")),
+        finding(index.where(unclosed(F.col("body"))), "index.malformed", ERROR, index_path),
+        finding(listed.join(known, "page_id", "left_anti"), "index.broken_page", ERROR, index_path, F.col("page_id")),
+        finding(pages.join(listed, "page_id", "left_anti"), "index.missing_page", WARNING, index_path, F.col("page_id")),
+        finding(pages.join(incoming.unionByName(listed), "page_id", "left_anti"), "page.orphan", WARNING, F.col("path"), F.col("page_id")),
+        finding(missing, "link.broken", ERROR, None, F.col("from_page"), F.array("to_page")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -158,9 +158,9 @@ def log_findings(log: DataFrame, schema_digest: str, files: DataFrame) -> DataFr
     cited = entries.where(good).select(F.explode("record.files").alias("path"))
     parts = [
         own,
-        _finding(entries.where("NOT listed"), "log.malformed", ERROR, path, message=NO_LIST_ITEM),
-        _finding(again, "log.duplicate_operation", ERROR, path),
-        _finding(cited.join(files, "path", "left_anti"), "log.missing_file", ERROR, F.col("path")),
+        finding(entries.where("NOT listed"), "log.malformed", ERROR, path, message=NO_LIST_ITEM),
+        finding(again, "log.duplicate_operation", ERROR, path),
+        finding(cited.join(files, "path", "left_anti"), "log.missing_file", ERROR, F.col("path")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -168,12 +168,12 @@ def log_findings(log: DataFrame, schema_digest: str, files: DataFrame) -> DataFr
 def projection_finding(state: DataFrame, snapshot_digest: str) -> DataFrame:
     """A drift finding unless the one state row holds this digest."""
     ok = state.agg(F.coalesce(F.max(F.col("snapshot_digest") == snapshot_digest), F.lit(False)).alias("ok"))
-    return _finding(ok.where("NOT ok"), "projection.drift", ERROR)
+    return finding(ok.where("NOT ok"), "projection.drift", ERROR)
 
 
 def projection_unavailable(spark) -> DataFrame:
     """The finding of an engine whose index keeps no state to compare."""
-    return _finding(spark.range(1), "projection.unavailable", INFO)
+    return finding(spark.range(1), "projection.unavailable", INFO)
 
 
 def suggestions(findings: DataFrame, suggest=None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstack.functions import identity, lexical, markdown
-from loamstack.operators import acceptance, batch, edits, evidence, graph, lint, search, work
+from loamstack.operators import acceptance, batch, edits, evidence, graph, lint, refcounts, search, work
 from loamstack.plans import oracles as O
 from loamstack.plans import shared
 from loamstack.plans import views as V
@@ -304,6 +304,24 @@ def index_missing(spark, d):
     return V.linked_pages(spark, d).select("scope", "page_id").join(_listed(spark, d), ["scope", "page_id"], "left_anti")
 
 
+@_query(
+    f"""WITH {O.LINKS}, mentions AS (SELECT 'docs/' || (doc_id * 2) AS page_id FROM documents)
+SELECT 'index.broken_page' AS code, 'wiki/index.md' AS path, page_id, NULL AS ref FROM mentions WHERE page_id NOT IN (SELECT page_id FROM bodies)
+UNION ALL SELECT 'index.missing_page', 'wiki/index.md', page_id, NULL FROM bodies WHERE page_id NOT IN (SELECT page_id FROM mentions)
+UNION ALL SELECT 'page.orphan', path, page_id, NULL FROM bodies WHERE page_id NOT IN (SELECT page_id FROM mentions) AND page_id NOT IN (SELECT to_page FROM links_v)
+UNION ALL SELECT 'link.broken', NULL, from_page, to_page FROM links_v WHERE to_page NOT IN (SELECT page_id FROM bodies)"""
+)
+def lint_links_incremental(spark, d):
+    """Counts of an earlier text and an earlier index, and an edit of every page and of the index: what the findings are after it."""
+    new, mention = V.linked_pages(spark, d), lambda i: V.table(spark, d, "documents").select(F.lit("all").alias("scope"), F.concat(F.lit("docs/"), i).alias("page_id"))
+    i = F.substring_index("page_id", "/", -1).cast("long")
+    old = new.withColumn("body", F.concat(F.lit("[[docs/"), i * 5 % 700, F.lit("]] [[docs/"), i + 1, F.lit("]]\n"), F.col("body")))
+    before = refcounts.contributions(old, mention(F.col("doc_id") * 3))
+    delta = refcounts.contributions(new, mention(F.col("doc_id") * 2)).unionByName(refcounts.contributions(old, mention(F.col("doc_id") * 3), -1))
+    found = refcounts.counted_findings(before.unionByName(delta), V.links(spark, d))
+    return found.select("code", "path", "page_id", F.array_join("refs", ",").alias("ref"))
+
+
 _CONTEXT = f"""WITH {O.scored(FREQUENT)}, {O.LINKS}, {_BOTH}, c AS (SELECT 'all' AS scope, page_id, row_number() OVER (ORDER BY matched = 3 DESC, score DESC, path, page_id) - 1 AS ordinal FROM scored QUALIFY ordinal < {graph.candidate_quota(20)}),
 near AS (SELECT other AS page_id, min(ordinal) AS rank FROM both_v JOIN c USING (scope, page_id) WHERE other <> page_id AND other IN (SELECT page_id FROM pages_v) GROUP BY ALL),
 n AS (SELECT page_id, row_number() OVER (ORDER BY rank, 'wiki/' || page_id || '.md') AS i FROM near WHERE page_id NOT IN (SELECT page_id FROM c)),

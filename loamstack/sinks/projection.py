@@ -13,7 +13,8 @@ from loamstack.functions.identity import changed_hash, multiset_hash, row_hash
 from loamstack.functions.markdown import wiki_links
 from loamstack.model import LINKS, PAGES, STATE, require_scope
 from loamstack.operators import index as I
-from loamstack.sinks.ledger import Ledger, Snapshot, Transaction
+from loamstack.operators import refcounts as R
+from loamstack.sinks.ledger import MANY_SEGMENTS, Ledger, Snapshot, Transaction
 
 #: Tables of the projection, their schemas and what orders their rows in files, so that a filter skips row groups.
 TABLES = {
@@ -23,6 +24,7 @@ TABLES = {
     "extent": (I.EXTENT, []),
     "voids": (I.VOIDS, []),
     "gone": (I.GONE, []),
+    "counts": (R.COUNTS, ["scope", "page_id"]),
     "state": (STATE, []),
 }
 
@@ -56,17 +58,18 @@ def index(ledger: Ledger, at: Snapshot | None = None) -> I.Index:
     return I.Index(*[ledger.get(name, TABLES[name][0], at) for name in ("blocks", "extent", "voids", "gone")])
 
 
-def rebuild(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str, now) -> dict:
-    """Replace one scope's rows in every table; an empty snapshot clears the scope and is ready too."""
+def rebuild(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str, now, listing: DataFrame | None = None) -> dict:
+    """Replace one scope's rows in every table; an empty snapshot clears the scope and is ready too. ``listing``: the index text (scope, body), if there is one."""
     require_scope(scope)
     tx = ledger.begin()
     pages = pages.where(F.col("scope") == scope).select(*PAGES.fieldNames())
     links = wiki_links(pages).select(*LINKS.fieldNames())
     state = _state(scope, schema_digest, _digest(scope, pages, links), now)
     none = {name: ledger.spark.createDataFrame([], schema) for name, (schema, _) in TABLES.items()}
-    own = none | {"pages": pages, "links": links, "blocks": I.blocks(pages, tx.number), "extent": I.extent(pages), "state": ledger.spark.createDataFrame([tuple(state.values())], STATE)}
+    mentions = R.listed(none["pages"] if listing is None else listing)
+    own = none | {"counts": R.contributions(pages, mentions), "pages": pages, "links": links, "blocks": I.blocks(pages, tx.number), "extent": I.extent(pages), "state": ledger.spark.createDataFrame([tuple(state.values())], STATE)}
     for name, (schema, order) in TABLES.items():
-        if name != "state" and not state["page_count"] and name not in tx.at.tables:
+        if name != "state" and not state["page_count"] and name not in tx.at.tables and not (name == "counts" and listing is not None):
             continue  # nothing to write, nothing to replace
         both = tx.get(name, schema).where(F.col("scope") != scope).unionByName(own[name].select(*schema.fieldNames()))
         tx.put(name, both.repartitionByRange(*order).sortWithinPartitions(*order) if order else both)
@@ -74,9 +77,10 @@ def rebuild(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str, no
     return state
 
 
-def advance(tx: Transaction, scope: str, new: DataFrame, schema_digest: str, now) -> dict:
+def advance(tx: Transaction, scope: str, new: DataFrame, schema_digest: str, now, listing: tuple[DataFrame, DataFrame] | None = None) -> dict:
     """Bring the projection up to pages that a commit writes (PAGES, few, each id once); all else stays as it is.
 
+    ``listing``: the index text (scope, body) before and after, where the commit writes it.
     The rows written are those of the changed pages, whatever the size of the scope. There must be a state row.
     """
     spark = tx.ledger.spark
@@ -94,6 +98,10 @@ def advance(tx: Transaction, scope: str, new: DataFrame, schema_digest: str, now
     if old.count():
         tx.append("voids", old.select("scope", "page_id", F.lit(tx.number).cast("long").alias("before")).coalesce(1), n=len(ids))
         tx.append("gone", I.term_counts(old).coalesce(1), n=len(ids))
+    none = old.limit(0).select("scope", "body")
+    left, joined = listing or (none, none)
+    delta = R.contributions(pages, R.listed(joined)).unionByName(R.contributions(old, R.listed(left), -1))
+    tx.append("counts", R.summed(delta).coalesce(1), n=len(ids))
     before = tx.get("state", STATE).where(F.col("scope") == scope).first()
     added, removed = _digest(scope, pages, links), _digest(scope, old, was)
     now_is = changed_hash(before["snapshot_digest"], added[0], removed[0]), before["page_count"] + added[1] - removed[1], before["link_count"] + added[2] - removed[2]
@@ -103,18 +111,25 @@ def advance(tx: Transaction, scope: str, new: DataFrame, schema_digest: str, now
 
 
 def tidy(ledger: Ledger) -> list[str]:
-    """Merge the segments of tables that have many."""
+    """Merge the segments of tables that have many; the counts are summed."""
+    tx = ledger.begin()
+    if len(tx.at.tables.get("counts", [])) > MANY_SEGMENTS:
+        tx.put("counts", R.summed(tx.get("counts", R.COUNTS)).repartitionByRange("scope", "page_id").sortWithinPartitions("scope", "page_id"))
+        tx.commit(note="counts")
+        return ["counts", *tidy(ledger)]
     return [name for name, (schema, _) in TABLES.items() if ledger.compact(name, schema)]
 
 
 def is_current(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str) -> bool:
     """Whether the state row is that of these pages and this schema."""
     state = ledger.get("state", STATE).where(F.col("scope") == scope).first()
+    if state and state["page_count"] and not ledger.generation("counts"):  # written before there were counts
+        return False
     return state is not None and state["schema_digest"] == schema_digest and state["snapshot_digest"] == _digest(scope, pages, wiki_links(pages))[0]
 
 
-def ensure(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str, now) -> bool:
+def ensure(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str, now, listing: DataFrame | None = None) -> bool:
     """Check, rebuild if it drifted, check again."""
     if not is_current(ledger, scope, pages, schema_digest):
-        rebuild(ledger, scope, pages, schema_digest, now)
+        rebuild(ledger, scope, pages, schema_digest, now, listing)
     return is_current(ledger, scope, pages, schema_digest)
