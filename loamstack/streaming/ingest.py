@@ -1,15 +1,12 @@
-"""Streams of envelopes and operation events."""
+"""Streams of envelopes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loamstack.operators.acceptance import KEY, accepted, conflicts, valid_envelope
-from loamstack.operators.work import EVENTS
 from loamstack.sinks.ledger import Ledger
 
 
@@ -38,36 +35,9 @@ def accept_stream(envelopes: DataFrame, ledger: Ledger, schema, checkpoint: str,
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
-def state_stream(events: DataFrame, key: str, order: str, lease_ms: int | None = None) -> DataFrame:
-    """key, status, applied, n_events after every batch, from keyed state; events of one batch apply in order.
-
-    ``lease_ms``: a key without an event for that long (processing time) is reported as ``expired``.
-    """
-    kind = events.schema[key].dataType.simpleString()
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, applied, seen = state.get if state.exists else ("received", 0, 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "status": ["expired"], "applied": [applied], "n_events": [seen]})
-            return
-        for frame in sorted(pd.concat(frames).itertuples(index=False), key=lambda r: (getattr(r, order), r.event)):
-            seen += 1
-            sources, target = EVENTS.get(frame.event, ((), None))
-            if status in sources:
-                status, applied = target, applied + 1
-        state.update((status, applied, seen))
-        if lease_ms:
-            state.setTimeoutDuration(lease_ms)
-        yield pd.DataFrame({key: [k[0]], "status": [status], "applied": [applied], "n_events": [seen]})
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if lease_ms else GroupStateTimeout.NoTimeout
-    return events.select(key, order, "event").groupBy(key).applyInPandasWithState(update, f"{key} {kind}, status string, applied long, n_events long", "status string, applied long, n_events long", "update", timeout)
-
-
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Drain what is there now."""
     stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-__all__ = ["KEY", "accept_stream", "run_once", "state_stream"]
+__all__ = ["KEY", "accept_stream", "run_once"]
