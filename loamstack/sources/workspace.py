@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loamstack.functions.identity import digest, source_ref
 from loamstack.functions.markdown import frontmatter, page_id, page_title
 from loamstack.model import MAX_SOURCE_BYTES, LimitExceeded, ReadLimits, require_scope, struct
+from loamstack.sources import tree
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -81,21 +82,33 @@ def manifest(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in content], columns=["ok", *names])
 
 
-def raw_records(spark: SparkSession, root: str, scope: str) -> DataFrame:
-    """path, ref, digest, valid, error_class of every source directory: manifests and sources meet in a full outer join."""
-    files = _scan(spark, root, "raw").withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
-    manifests = files.where(F.col("path").endswith("/manifest.yaml")).select("dir", manifest(F.col("content")).alias("m"))
-    sources = files.where(F.col("path").endswith("/source")).select("dir", "length", digest(F.col("content")).alias("found"))
+def raw_records(spark: SparkSession, root: str, scope: str, files: DataFrame | None = None) -> DataFrame:
+    """path, ref, digest, valid, error_class of every source directory: manifests and sources meet in a full outer join.
+
+    ``files``: the entries of a mounted tree (``tree.entries``), of which links and unreadable files are classes of their own.
+    """
+    files = _scan(spark, root, "raw").withColumn("status", F.lit(tree.READ)) if files is None else files
+    files = files.withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
+    manifests = files.where(F.col("path").endswith("/manifest.yaml")).select("dir", F.col("status").alias("m_status"), manifest(F.col("content")).alias("m"))
+    sources = files.where(F.col("path").endswith("/source")).select("dir", F.col("status").alias("s_status"), "length", digest(F.col("content")).alias("found"))
     joined = manifests.join(sources, "dir", "full_outer")
     error = (
-        F.when(F.col("m").isNull(), "manifest_missing")
+        F.when((F.col("m_status") == tree.LINK) | (F.col("s_status") == tree.LINK), "symlink")
+        .when(F.col("m_status").isNull(), "manifest_missing")
+        .when(F.col("m_status") != tree.READ, "manifest_unreadable")
         .when(~F.col("m.ok"), "manifest_invalid")
-        .when(F.col("found").isNull(), "source_missing")
-        .when(F.col("length") > MAX_SOURCE_BYTES, "source_too_large")
+        .when(F.col("s_status").isNull(), "source_missing")
+        .when((F.col("s_status") == tree.LARGE) | (F.col("length") > MAX_SOURCE_BYTES), "source_too_large")
+        .when(F.col("s_status") != tree.READ, "source_unreadable")
         .when(F.col("found") != F.lower("m.digest"), "source_digest_mismatch")
     )
     own = joined.where(F.col("m.scope").isNull() | (F.col("m.scope") == scope) | ~F.col("m.ok")).withColumn("error_class", error)
-    return own.select(F.col("dir").alias("path"), source_ref(F.col("m.adapter"), F.col("m.id"), F.col("m.version")).alias("ref"), F.col("m.digest").alias("digest"), F.col("error_class").isNull().alias("valid"), "error_class")
+    # a linked, special or unreadable folder or file that is neither a manifest nor a source
+    other = files.where(~F.col("status").isin(tree.READ, tree.LARGE) & ~F.col("path").endswith("/manifest.yaml") & ~F.col("path").endswith("/source"))
+    none = F.lit(None).cast("string")
+    lost = other.select("path", none.alias("ref"), none.alias("digest"), F.lit(False).alias("valid"), F.when(F.col("status") == tree.LINK, "symlink").otherwise("source_unreadable").alias("error_class"))
+    found = own.select(F.col("dir").alias("path"), source_ref(F.col("m.adapter"), F.col("m.id"), F.col("m.version")).alias("ref"), F.col("m.digest").alias("digest"), F.col("error_class").isNull().alias("valid"), "error_class")
+    return found.unionByName(lost)
 
 
 def read_source(spark: SparkSession, root: str, location: str, found: str, limits: ReadLimits | None = None) -> bytes:
