@@ -20,7 +20,7 @@ from loamstack.sinks.ledger import MANY_SEGMENTS, Ledger, Snapshot, Transaction
 TABLES = {
     "pages": (PAGES, ["scope", "page_id"]),
     "links": (LINKS, ["scope", "from_page"]),
-    "blocks": (I.BLOCKS, ["scope", "term"]),
+    "postings": (I.BLOCKS, ["scope", "term"]),
     "extent": (I.EXTENT, []),
     "voids": (I.VOIDS, []),
     "gone": (I.GONE, []),
@@ -55,7 +55,7 @@ def _state(scope: str, schema_digest: str, found: tuple[str, int, int], now) ->
 def index(ledger: Ledger, at: Snapshot | None = None) -> I.Index:
     """The index as one version of the ledger has it."""
     at = at or ledger.snapshot()
-    return I.Index(*[ledger.get(name, TABLES[name][0], at) for name in ("blocks", "extent", "voids", "gone")])
+    return I.Index(*[ledger.get(name, TABLES[name][0], at) for name in ("postings", "extent", "voids", "gone")])
 
 
 def rebuild(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str, now, listing: DataFrame | None = None) -> dict:
@@ -67,7 +67,7 @@ def rebuild(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str, no
     state = _state(scope, schema_digest, _digest(scope, pages, links), now)
     none = {name: ledger.spark.createDataFrame([], schema) for name, (schema, _) in TABLES.items()}
     mentions = R.listed(none["pages"] if listing is None else listing)
-    own = none | {"counts": R.contributions(pages, mentions), "pages": pages, "links": links, "blocks": I.blocks(pages, tx.number), "extent": I.extent(pages), "state": ledger.spark.createDataFrame([tuple(state.values())], STATE)}
+    own = none | {"counts": R.contributions(pages, mentions), "pages": pages, "links": links, "postings": I.blocks(pages, tx.number), "extent": I.extent(pages), "state": ledger.spark.createDataFrame([tuple(state.values())], STATE)}
     for name, (schema, order) in TABLES.items():
         if name != "state" and not state["page_count"] and name not in tx.at.tables and not (name == "counts" and listing is not None):
             continue  # nothing to write, nothing to replace
@@ -92,7 +92,7 @@ def advance(tx: Transaction, scope: str, new: DataFrame, schema_digest: str, now
     links = wiki_links(pages).select(*LINKS.fieldNames())
     was = wiki_links(old).select(*LINKS.fieldNames())
     tx.upsert("links", links.coalesce(1), ["scope", "from_page"], pages.select("scope", F.col("page_id").alias("from_page")), n=len(ids))
-    tx.append("blocks", I.blocks(pages, tx.number).coalesce(1).sortWithinPartitions("scope", "term"), n=len(ids))
+    tx.append("postings", I.blocks(pages, tx.number).coalesce(1).sortWithinPartitions("scope", "term"), n=len(ids))
     gone = I.extent(old).select("scope", (-F.col("pages")).alias("pages"), (-F.col("tokens")).alias("tokens"))
     tx.append("extent", I.extent(pages).unionByName(gone).coalesce(1))
     if old.count():
@@ -123,7 +123,7 @@ def tidy(ledger: Ledger) -> list[str]:
 def is_current(ledger: Ledger, scope: str, pages: DataFrame, schema_digest: str) -> bool:
     """Whether the state row is that of these pages and this schema."""
     state = ledger.get("state", STATE).where(F.col("scope") == scope).first()
-    if state and state["page_count"] and not ledger.generation("counts"):  # written before there were counts
+    if state and state["page_count"] and not (ledger.generation("counts") and ledger.generation("postings")):  # written before there were these
         return False
     return state is not None and state["schema_digest"] == schema_digest and state["snapshot_digest"] == _digest(scope, pages, wiki_links(pages))[0]
 
