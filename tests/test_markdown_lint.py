@@ -42,6 +42,20 @@ def test_frontmatter(spark):
     assert (rows[0].id, rows[0].title, rows[0].type, rows[0].source_refs, json.loads(rows[0].extras)) == ("a", "T", "note", ["x:1@1", "y:2@2"], {"tags": ["q"]})
 
 
+def test_only_the_leading_block_goes_to_python(spark):
+    import pandas as pd
+
+    long = "x" * 50_000 + "\n---\n" + "y\n" * 1000
+    texts = [
+        "---\nid: a\n---\n" + long, " --- \r\nid: a\r\n---\r\nbody", "---\nid: a\n\u00a0---\n" + long, "no\n---\nid: a\n---\n", "---", "---\n", "---\n---", "---\n---\n", "---\n---\nbody",
+        "---\nid: a\n--- x\n---\n", "----\nid: a\n---\n", "---\nid: a\n----\n---", "\n---\nid: a\n---\n", "---\r\n---\r\n", "---\nid: [\n---\nrest", "---\nid: a", "\u2003---\nid: b\n---", None, "", "a --- b\nid: a\n---\n" + long,
+    ]
+    got = [tuple(r) for r in col(spark, texts, M.frontmatter)]
+    whole = M._frontmatter.func(pd.Series(texts, dtype=object))
+    assert got == [tuple(r) for r in whole.itertuples(index=False)]
+    assert max(map(len, col(spark, ["---\nid: a\n---\n" + long, "no\n" + long, long], M.leading))) == 14
+
+
 def test_identities(spark):
     row = spark.range(1).select(I.source_ref(F.lit("a"), F.lit("i"), F.lit("v")), I.operation_id(F.lit("s"), F.lit("a"), F.lit("i"), F.lit("v"), F.lit("d" * 64)), I.inline_id(F.lit(" "), F.lit("k"), F.lit("e" * 64)), I.inline_version(F.lit(None).cast("string"), F.lit("e" * 64)), I.is_digest(F.lit("A" * 64)), I.is_digest(F.lit("g" * 64)), I.failure_class(F.lit("source: not there"))).first()
     assert tuple(row) == ("a:i@v", "s:a:i@v#" + "d" * 16, "k", "sha256-" + "e" * 16, True, False, "source")
