@@ -62,6 +62,15 @@ def test_scan_and_index_agree(pages):
     assert search.indexed_matches(search.postings(pages), search.doc_lengths(pages), ["absent"]).count() == 0
 
 
+def test_postings_are_counted_without_a_shuffle_and_rows_of_one_page_are_summed(spark, pages, monkeypatch):
+    assert "Exchange" not in search.postings(pages)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(search, "COUNTED_ROWS", 2)
+    rows = [("s", "p", "Oak ash", "oak oak"), ("s", "q", "", None), ("s", "p", "fir", "oak"), ("t", "p", None, "Ash ash fir"), ("s", None, "elm", ""), ("s", None, "elm", "elm"), ("s", "r", "ash", "")]
+    got = search.postings(spark.createDataFrame(rows, "scope string, page_id string, title string, body string")).collect()
+    want = [("s", "p", "oak", 1, 3), ("s", "p", "ash", 1, 0), ("s", "p", "fir", 1, 0), ("t", "p", "ash", 0, 2), ("t", "p", "fir", 0, 1), ("s", None, "elm", 2, 1), ("s", "r", "ash", 1, 0)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_bm25_against_the_formula(pages):
     import math
 
