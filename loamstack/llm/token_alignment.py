@@ -39,7 +39,7 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _CHUNK = re.compile(rf"[ \n][{_LATIN}]++(?=[ \n.,;:!?])|[.,;:!?](?=[ \n])|\s*+\S++(?:[^\S \n]\s*+\S*+)*+|\s+")
 _HELD = re.compile(rf"\n|[^ ] |[{_LATIN}][.,;:!?]")
 #: Longest text whose chunks are in hand at once, chunks in hand of longer ones; chunks and their bytes that a worker keeps.
-WHOLE, BLOCK, MEMO_CHUNKS, MEMO_BYTES = 1 << 20, 50_000, 300_000, 48 << 20
+WHOLE, BLOCK, MEMO_CHUNKS, MEMO_BYTES = 1 << 20, 50_000, 600_000, 96 << 20
 #: Pairs of ids whose counts are broadcast, the most frequent ones; all others are joined by a shuffle.
 BROADCAST_PAIRS = 1 << 18
 SPACE_MARK = "▁"
@@ -104,6 +104,25 @@ class Aligner:
         self.groups, self.links, self.kept = [], [], 0
         #: n_a, n_b, n_groups, n_links of each chunk kept; -1 where its tokens do not join to it.
         self.facts = np.zeros((1024, 4), "i8")
+        #: In how many blocks of text each was found since chunks were last given up.
+        self.uses = np.zeros(1024, "i4")
+
+    def thin(self) -> None:
+        """Give up the chunks that were found once since the last time, and half of all at least; what is frequent is not learnt again."""
+        import numpy as np
+
+        n = len(self.groups)
+        often = np.argsort(-self.uses[:n], kind="stable")[: min(n, MEMO_CHUNKS) // 2]
+        often = np.sort(often[self.uses[often] > 1])
+        names, groups, links, facts = list(self.place), self.groups, self.links, self.facts[often]
+        self.clear()
+        self.groups, self.links = ([x[i] for i in often.tolist()] for x in (groups, links))
+        self.place = {names[i]: k for k, i in enumerate(often.tolist())}
+        self.facts = np.concatenate([facts, self.facts])
+        self.uses = np.zeros(len(self.facts), "i4")
+        self.kept = sum(2 * len(c) + len(g) + len(x) for c, g, x in zip(self.place, self.groups, self.links, strict=True))
+        if self.kept > MEMO_BYTES // 2:
+            self.clear()
 
     def chunks(self, text: str):
         """Lists of chunks of the text with its space before it."""
@@ -176,6 +195,7 @@ class Aligner:
         n = len(self.groups)
         while n + len(found) > len(self.facts):
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
         self.facts[n : n + len(found)] = [x[0] for x in found]
         self.groups += [x[1] for x in found]
         self.links += [x[2] for x in found]
@@ -192,11 +212,12 @@ class Aligner:
         totals, digest, between, parts = np.zeros(4, "i8"), hashlib.sha256(), b"", []
         for block in self.chunks(text):
             if self.kept > MEMO_BYTES or len(self.groups) > MEMO_CHUNKS:
-                self.clear()
+                self.thin()
             if new := [c for c in dict.fromkeys(block) if c not in self.place]:
                 self.learn(new)
             at = list(map(self.place.__getitem__, block))
             places, times = np.unique(at, return_counts=True)
+            self.uses[places] += 1
             facts = self.facts[places]
             if (facts < 0).any():
                 return none

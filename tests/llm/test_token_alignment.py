@@ -98,6 +98,22 @@ def test_small_blocks_and_memo(both, monkeypatch):
         check(both, text)
 
 
+def test_frequent_chunks_outlive_a_full_memo(both, monkeypatch):
+    monkeypatch.setattr(T, "MEMO_CHUNKS", 60)
+    both.clear()
+    learnt, learn = [], both.learn
+    monkeypatch.setattr(both, "learn", lambda new: (learnt.extend(new), learn(new))[1])
+    texts = [f"the same words come again and {' '.join(f'rare{i}x{k}' for k in range(8))}" for i in range(40)]
+    got = [both.document(t) for t in texts]
+    assert learnt.count(" same") == 1 and len(both.groups) <= 60 + 16 and len(both.place) == len(both.groups)
+    both.clear()
+    for t, (facts, digest, codes, times) in zip(texts, got, strict=True):
+        both.clear()
+        again = both.document(t)
+        assert again[:2] == (facts, digest) and again[2].tolist() == codes.tolist() and again[3].tolist() == times.tolist()
+    both.clear()
+
+
 @pytest.mark.parametrize("frequent", [T.BROADCAST_PAIRS, 3, 0])
 def test_counts_of_the_corpus(spark, both, frequent):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "the fox"), (3, "the fox the fox"), (3, "the fox the fox"), *((100 + i, f"word {i % 7} the fox {'ab' * (i % 5)}") for i in range(40))]
