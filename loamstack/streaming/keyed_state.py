@@ -7,6 +7,9 @@ arrives for that time afterwards is counted as late and not applied. Without it
 
 Defined cases: a null time sorts before all others and so is settled first; events of one time apply by ``tie``, then by
 name; an unknown or a null event changes nothing but the count; an event given twice is two events.
+
+A key takes one read and one write of its state in a batch, and what is held of its events is one text, since each value that
+passes between the worker and the state store costs more than the fold. State of before this form can't be read.
 """
 
 from __future__ import annotations
@@ -14,15 +17,14 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from loamstack.model import TERMINAL
 from loamstack.operators.work import EVENTS
 
-_STATE = "status string, applied long, n_events long, late long, upto long, timer long, at array<long>, tie array<long>, event array<string>"
+_STATE = "status string, applied long, n_events long, late long, upto long, timer long, waiting string"
 #: Before all times.
 _FIRST = -(1 << 62)
 
@@ -56,20 +58,17 @@ def _operation(name: str, lateness_ms: int | None, lease_ms: int | None) -> Stat
             self.handle = handle
             self.state = handle.getValueState("operation", schema)
 
-        def _row(self, key, status: str, applied: int, seen: int, late: int) -> pd.DataFrame:
-            return pd.DataFrame({name: [key[0]], "status": [status], "applied": [applied], "n_events": [seen], "late": [late]})
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            held = self.state.get() if self.state.exists() else ("received", 0, 0, 0, first, -1, [], [], [])
-            status, applied, seen, late, upto, timer = held[:6]
-            waiting = list(zip(*held[6:]))
-            for frame in rows:
-                seen += len(frame)
-                at, tie, event = (frame.iloc[:, k].tolist() for k in (-3, -2, -1))
-                new = [*zip(at, tie, [x or "" for x in event])]
-                in_time = [x for x in new if x[0] >= upto]
-                late += len(new) - len(in_time)
-                waiting += in_time
+        def _row(self, key, status: str, applied: int, seen: int, late: int) -> Row:
+            return Row(**{name: key[0]}, status=status, applied=applied, n_events=seen, late=late)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            import json
+
+            status, applied, seen, late, upto, timer, held = self.state.get() or ("received", 0, 0, 0, first, -1, "[]")
+            new = [[at, tie, event or ""] for *_, at, tie, event in rows]
+            in_time = [x for x in new if x[0] >= upto]
+            seen, late = seen + len(new), late + len(new) - len(in_time)
+            waiting = json.loads(held) + in_time
             waiting.sort()
             if lateness_ms is not None and waiting:
                 upto = max(upto, waiting[-1][0] - 1000 * lateness_ms)
@@ -84,13 +83,15 @@ def _operation(name: str, lateness_ms: int | None, lease_ms: int | None) -> Stat
                 if shown not in closed:
                     timer = timerValues.getCurrentProcessingTimeInMs() + lease_ms
                     self.handle.registerTimer(timer)
-            self.state.update((status, applied, seen, late, upto, timer, *([x[k] for x in waiting] for k in range(3))))
+            self.state.update((status, applied, seen, late, upto, timer, json.dumps(waiting, separators=(",", ":"))))
             yield self._row(key, shown, changed, seen, late)
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            status, applied, seen, late, upto, _, at, tie, event = self.state.get()
-            self.state.update((status, applied, seen, late, upto, -1, at, tie, event))  # what comes after is folded as before
-            yield self._row(key, "expired", folded(status, applied, event)[1], seen, late)
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            import json
+
+            status, applied, seen, late, upto, _, held = self.state.get()
+            self.state.update((status, applied, seen, late, upto, -1, held))  # what comes after is folded as before
+            yield self._row(key, "expired", folded(status, applied, (x[2] for x in json.loads(held)))[1], seen, late)
 
         def close(self) -> None:
             pass
@@ -107,4 +108,4 @@ def state_stream(events: DataFrame, key: str, at: str, tie: str, lateness_ms: in
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(key, F.coalesce(F.unix_micros(at), F.lit(_FIRST)).alias("at_micros"), F.coalesce(F.col(tie).cast("long"), F.lit(_FIRST)).alias("at_tie"), F.col("event").alias("at_event"))
     schema = f"{key} {kind}, status string, applied long, n_events long, late long"
-    return rows.groupBy(key).transformWithStateInPandas(_operation(key, lateness_ms, lease_ms), schema, "update", "processingtime" if lease_ms else "none")
+    return rows.groupBy(key).transformWithState(_operation(key, lateness_ms, lease_ms), schema, "update", "processingtime" if lease_ms else "none")

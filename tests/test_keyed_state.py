@@ -65,3 +65,27 @@ def test_an_open_key_expires_once_and_a_closed_one_never(spark, tmp_path):
     out = fed(spark, tmp_path, batches, until=lambda rows: any(r[1] == "expired" for r in rows), lease_ms=500)
     rows = [r for b in out for r in b]
     assert sorted(rows) == [(1, "expired", 1, 1, 0), (1, "planned", 1, 1, 0), (2, "failed", 1, 1, 0)]
+
+
+def test_a_key_takes_one_read_and_one_write_of_plain_values_in_a_batch():
+    from pyspark.sql import Row
+
+    from loamstack.streaming.keyed_state import _operation
+
+    class State:
+        value, calls = None, []
+
+        def __getattr__(self, name):
+            self.calls.append(name)
+            return {"get": lambda: self.value, "exists": lambda: self.value is not None, "update": lambda x: setattr(self, "value", x)}[name]
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return state
+
+    state, one = State(), _operation("op", None, None)
+    one.init(Handle())
+    batches = [[(1, 50, 2, "review"), (1, 10, 1, "plan")], [(1, 70, 3, None), (1, 20, 4, "fail  \"]")]]
+    got = [list(one.handleInputRows((1,), iter([Row("op", "at_micros", "at_tie", "at_event")(*r) for r in b]), None)) for b in batches]
+    assert [tuple(r) for b in got for r in b] == [(1, "awaiting_review", 2, 2, 0), (1, "awaiting_review", 2, 4, 0)]
+    assert state.calls == ["get", "update"] * 2 and not any(isinstance(x, list) for x in state.value)
