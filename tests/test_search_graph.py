@@ -145,3 +145,11 @@ def test_read_pages(pages):
 def test_the_plan_of_a_search_is_one_projection_and_a_top_k(pages):
     plan = search.search(pages, "s", "copper ledger", 5, 40)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Python" not in plan and "Join" not in plan
+
+
+def test_the_retrieval_gate_asks_for_every_document(spark, small):
+    from loamstack.plans import catalog
+
+    n = spark.read.parquet(f"{small}/documents.parquet").count()
+    assert catalog.queries()["retrieval_gate"](spark, small).first()["queries"] == n > 20
+    assert "% 20" not in catalog.oracle_sql()["retrieval_gate"] and "% 20" in catalog.oracle_sql()["search_batch"]
